@@ -89,13 +89,17 @@ def line_metrics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_loss: float = 0.5) -> DataFrame:
     """One row per row of docs, with the counts and the verdict. Empty tables give empty results."""
     m = line_metrics(docs, id_col, text_col, max_loss)
-    return m.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    # a generator keeps a later filter from being pushed below the steps above, with a copy of them for each time they are named
+    row = F.struct(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return m.select(F.inline(F.array(row)))
 
 
 def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_loss: float = 0.5, length_col: str = "n_chars") -> DataFrame:
     """The kept rows of docs with their failing lines removed; ``length_col``, where docs has it, follows the text."""
-    m = line_metrics(docs, id_col, text_col, max_loss).filter("kept")
+    m = line_metrics(docs, id_col, text_col, max_loss)
     fixed = {text_col: F.when(F.col("clean_text") == F.col("text"), F.col(f"row.`{text_col}`")).otherwise(F.col("clean_text"))}
     if length_col in docs.columns:
         fixed[length_col] = F.when(F.col("clean_text") == F.col("text"), F.col(f"row.`{length_col}`")).otherwise(F.length("clean_text")).cast(docs.schema[length_col].dataType)
-    return m.select(*[fixed[c].alias(c) if c in fixed else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    # here too rows go by a generator
+    row = F.struct(*[fixed[c].alias(c) if c in fixed else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    return m.select(F.inline(F.when(F.col("kept"), F.array(row))))
