@@ -112,7 +112,7 @@ def test_secrets(spark):
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
     key = "".join(rng.choice(letters) for _ in range(40))
     longer = "".join(rng.choice(letters) for _ in range(900))
-    rows = [*TEXTS, (20, f"é key {key} end"), (21, "123e4567-e89b-12d3-a456-426614174000 x"), (22, "aaaaaaaaaaaaaaaaaaaaaaaaa1"), (23, "secret=ab token=abcdefghijklmnop"), (24, longer), (25, "password=my_secret: abcdefghijklmnop")]
+    rows = [*TEXTS, (20, f"é key {key} end"), (21, "123e4567-e89b-12d3-a456-426614174000 x"), (22, "zzzzzzzzzzzzzzzzzzzzzzzzz1"), (23, "secret=ab token=abcdefghijklmnop"), (24, longer), (25, "password=my_secret: abcdefghijklmnop")]
     got = {r.doc_id: r for r in secrets.secret_report(frame(spark, rows)).collect()}
     for i, t in rows:
         assert got[i].base_sha256 == hashlib.sha256(base_spans(t or "").encode()).hexdigest(), t
