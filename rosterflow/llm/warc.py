@@ -83,15 +83,19 @@ def parse_record(data: bytes, at: int) -> tuple[dict, int]:
 
 
 def inflate(data: bytes, at: int, most: int | None = None) -> tuple[bytes, int]:
-    z = zlib.decompressobj(31)
+    """The member at ``at`` and the place after it. It is fed in growing steps, so that what stands behind it is not copied."""
+    z, view, out, step = zlib.decompressobj(31), memoryview(data), [], 4096
     try:
-        # a start is enough to see what a member holds
-        out = z.decompress(data[at : at + most] if most else data[at:], 64 if most else 0)
+        if most:  # a start is enough to see what a member holds
+            return z.decompress(view[at : at + most], 64), at
+        while not z.eof and at < len(data):
+            out.append(z.decompress(view[at : at + step]))
+            at, step = min(at + step, len(data)), min(2 * step, 1 << 20)
     except zlib.error as e:
         raise Damaged(f"gzip: {e}") from e
-    if not most and not z.eof:
+    if not z.eof:
         raise Damaged("gzip member is cut off")
-    return out, len(data) - len(z.unused_data)
+    return b"".join(out), at - len(z.unused_data)
 
 
 def salvage(data: bytes) -> Iterator[tuple[str, dict]]:
