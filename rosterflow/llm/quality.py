@@ -18,6 +18,9 @@ BOILERPLATE = (
 #: Characters that end a sentence, with what may follow them.
 ENDINGS = r"[.!?:;…。！？]['\")\]»”’]*[\x20\x09-\x0D]*$"
 SYMBOLS = r"[#*$%&|<>]"
+BARS = r"[|•»›]"
+#: A word four times in a row or more, with all its repeats.
+STUTTER = r"(?<![^\x20])([^\x20]+)(?:\x20\1){3,}(?![^\x20])"
 WINDOW = 8
 
 
@@ -26,20 +29,22 @@ def split_words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, GAP))
 
 
-def line_failure(line: Column, min_line_words: int = 5, max_symbols: float = 0.2, max_short_parts: int = 3) -> Column:
+def line_failure(line: Column, min_line_words: int = 5, max_symbols: float = 0.2, max_short_parts: int = 3, max_bars: float = 0.15, max_stutter: float = 0.3) -> Column:
     """The first rule that a line breaks, or null. Blank lines break none.
 
-    navigation: at least ``max_short_parts`` bars, bullets or guillemets; symbols: more marks and doubled exclamation marks than
-    ``max_symbols`` a word; stutter: one word four times in a row; boilerplate: a phrase of BOILERPLATE in a line of at most 300
-    characters; punctuation: fewer than ``min_line_words`` words and no sentence ending. Cheap tests stand before the counts they guard.
+    navigation: at least ``max_short_parts`` bars, bullets or guillemets, and more than ``max_bars`` a word; symbols: more marks and
+    doubled exclamation marks than ``max_symbols`` a word; stutter: more than ``max_stutter`` of the words in runs of one word four times
+    in a row or more; boilerplate: a phrase of BOILERPLATE in a line of at most 300 characters; punctuation: fewer than ``min_line_words`` words and no sentence ending. Cheap tests stand before the counts they guard.
     """
     words = F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))
     short = F.length(line) <= 300
+    bars = F.regexp_count(line, F.lit(BARS))
+    stuttered = F.size(F.split(F.array_join(F.regexp_extract_all(line, F.lit(STUTTER), F.lit(0)), " "), " "))
     phrase = F.lower(line).rlike("|".join(BOILERPLATE))
     return (
-        F.when(line.rlike(r"[|•»›]") & (F.regexp_count(line, F.lit(r"[|•»›]")) >= max_short_parts), "navigation")
+        F.when(line.rlike(BARS) & (bars >= max_short_parts) & (bars > words * max_bars), "navigation")
         .when(line.rlike(SYMBOLS + "|!!") & (F.regexp_count(line, F.lit(SYMBOLS + r"+|!!+")) > words * max_symbols), "symbols")
-        .when(line.rlike(r"(^|\x20)([^\x20]+)(\x20\2){3}(\x20|$)"), "stutter")
+        .when(line.rlike(STUTTER) & (stuttered > words * max_stutter), "stutter")
         .when(short & phrase, "boilerplate")
         .when(short & ~line.rlike(ENDINGS) & (words > 0) & (words < min_line_words), "punctuation")
     )

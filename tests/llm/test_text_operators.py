@@ -93,6 +93,17 @@ def test_quality_counts_and_verdicts(spark):
     assert quality.quality_report(docs.limit(0)).count() == 0
 
 
+def test_a_long_clean_line_survives_one_stutter_or_a_few_quotations(spark):
+    rng = random.Random(11)
+    words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    stutter = f"{words(100)} no no no no {words(100)}."
+    quoted = f"{words(60)} «{words(4)}» {words(60)} «{words(3)}» {words(60)} «{words(5)}»."
+    junk = "go go go go go go now\nHome | About us | Latest news | Contact\n" + "bla " * 30
+    docs = frame(spark, [(1, stutter), (2, quoted), (3, stutter + "\n" + junk)])
+    assert sorted((r.doc_id, r.text) for r in quality.clean_documents(docs).collect()) == [(1, stutter), (2, quoted), (3, stutter)]
+    assert all(r.kept for r in quality.quality_report(docs).filter("doc_id < 3").collect())
+
+
 ASSIGN = re.compile(r"""((?:(?i:password|passwd|secret|token|api_?key)))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
