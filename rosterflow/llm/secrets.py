@@ -2,7 +2,8 @@
 
 A candidate is a run of characters that keys are made of. Going along it, the window's sum of c*log2(c) over its character counts is
 brought up to date by the counts of the character that enters and of the one that leaves. A window whose entropy reaches its character
-class's threshold makes the run a finding, unless it is on the allow list or overlaps a finding of a pattern. Offsets are code points,
+class's threshold makes the run a finding, unless it is on the allow list, is made of words, or overlaps a finding of a pattern. A run
+of digits and separators alone is never an entropy finding; 16 digits in a row are one of the pattern hex. Offsets are code points,
 the end exclusive. A null text is the empty text.
 """
 
@@ -17,11 +18,20 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{16,}"
 PATTERNS = (("assign", ASSIGN, 2, 12), ("access", ACCESS, 0, 18), ("hex", HEX, 0, 16))
 CANDIDATE = r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{20,}"
-#: Not secrets, whatever their entropy. UUIDs, runs of the alphabet or of digits, placeholders, and paths of plain words.
+#: Not secrets, whatever their entropy. UUIDs, runs of the alphabet or of digits, and placeholders.
 ALLOW = (
     r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", r"(?i).*(abcdefghij|0123456789|qwertyuiop|example|placeholder|changeme|x{6}).*",
-    r"[A-Za-z]+([/_=+-]+[A-Za-z]+)*[/_=+-]*", r"[0-9/_=+-]+",
+    r"[0-9/_=+-]+",
 )
+#: Character classes with their thresholds in bits, the first that fits: about 1 % of random keys of 20 characters stay below. Hex and
+#: what fits none (mixed case or base64 with digits) have parameters of their own.
+CLASSES = ((r"[a-z/_=+-]+|[A-Z/_=+-]+", 3.2), (r"[a-z0-9/_=+-]+|[A-Z0-9/_=+-]+", 3.35), (r"[A-Za-z/_=+-]+", 3.5))
+#: Common pairs of letters in English, German, French and Spanish. Words are mostly made of them, random letters are not.
+PAIRS = (
+    "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur ca el ta la ns di fo ho pe ec pr no ct us ac ot il tr ly nc et ut ss so rs un lo wa ge ie wh ee wi em ad ol rt po we na ul ni ts mo ow pa im mi ai "
+    "sh ir su id os iv ia am fi ci vi pl ig tu ev ld ry mp ab gh ty op sa ay ex fr ag if ap do bl qu ue ei sc hn eb ah eu au tz zu ft ht ux em cr gr rc rd ke up ep"
+)
+WORDLIKE = 0.5
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 SEGMENT = 256
 
@@ -53,7 +63,15 @@ def window_entropy(window: int) -> str:
         a -> a.best)"""
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, hex_bits: float = 3.0, mixed_bits: float = 3.9, allow: tuple[str, ...] = ALLOW) -> DataFrame:
+def wordlike(s: str) -> str:
+    """SQL: is the run s made of words and numbers? Common pairs must hold their share of its letter pairs, and of those of each 20
+    characters along it, so that words do not hide a key beside them. Single letters between digits make no word."""
+    share = "(regexp_count(lower({x}), '(?=" + "|".join(dict.fromkeys(PAIRS.split())) + ")') >= {least} * regexp_count({x}, '(?=[A-Za-z]{{2}})'))"
+    pieces = f"transform(sequence(1, greatest(1, length({s}) - 19), 10), k -> substring({s}, k, if(k + 29 > length({s}), 30, 20)))"
+    return f"(not {s} rlike '[0-9]{{9,}}|[0-9][A-Za-z][0-9]' and {share.format(x=s, least=WORDLIKE)} and regexp_count({s}, '(?=[A-Za-z]{{2}})') >= 8 and forall({pieces}, p -> {share.format(x='p', least=WORDLIKE - 0.1)}))"
+
+
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, hex_bits: float = 3.0, mixed_bits: float = 3.65, classes: tuple[tuple[str, float], ...] = CLASSES, allow: tuple[str, ...] = ALLOW) -> DataFrame:
     """Every row of docs in ``row``, with id, text, base (spans of the patterns) and spans (those and the entropy findings), by start, then
     kind. Empty texts and tables have none. Extra columns do not matter, whatever their names."""
     d = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -64,7 +82,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # long runs are gone along in overlapping segments, so that no step looks through a long string
     parts = f"transform(sequence(0, (length(r.s) - 1) div {SEGMENT}), k -> substring(r.s, k * {SEGMENT} + 1, {SEGMENT + window - 1}))"
     best = f"array_max(transform({parts}, s -> {window_entropy(window)}))"
-    d = d.withColumn("added", F.expr(f"transform(filter(runs, r -> {best} >= if(r.s rlike '^[0-9a-fA-F]+$', {float(hex_bits)}D, {float(mixed_bits)}D)), r -> r.r)"))
+    least = f"case when r.s rlike '^[0-9a-fA-F]+$' then {float(hex_bits)}D " + "".join(f"when r.s rlike '^(?:{c})$' then {float(bits)}D " for c, bits in classes) + f"else {float(mixed_bits)}D end"
+    d = d.withColumn("added", F.expr(f"transform(filter(runs, r -> {best} >= {least} and not {wordlike('r.s')}), r -> r.r)"))
     return d.withColumn("spans", F.array_sort(F.concat("base", "added"))).drop("runs", "added")
 
 

@@ -137,6 +137,21 @@ def test_secrets(spark):
     assert secrets.secret_report(docs.limit(0)).count() == 0
 
 
+def test_random_keys_of_every_class_are_secrets_and_words_are_not(spark):
+    rng = random.Random(12)
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    alphabets = {"lower": lower, "upper": upper, "letters": lower + upper, "base32": upper + "234567", "lower+digits": lower + digits, "mixed": lower + upper + digits, "base64": lower + upper + digits + "+/"}
+    cases = [(a, n, "".join(rng.choice(letters) for _ in range(n))) for a, letters in alphabets.items() for n in (20, 32) for _ in range(200)]
+    words = "internationalization Donaudampfschifffahrtsgesellschaft src/main/resources/templates getUserAuthenticationTokenFromRequest MAX_NUMBER_OF_CONNECTIONS chapter-12-introduction-to-databases anticonstitutionnellement chpfheitschverheiten keitstlichschenverpf report_2023_final_version".split()
+    mixed = ["internationalization-" + "".join(rng.choice(lower) for _ in range(40))]
+    rows = [(k, x) for k, x in enumerate([c[2] for c in cases] + words + mixed)]
+    got = {r.doc_id: r.spans for r in secrets.secret_report(frame(spark, rows)).collect()}
+    missed = collections.Counter((a, n) for k, (a, n, _) in enumerate(cases) if not got[k])
+    assert all(v <= 10 for v in missed.values()), missed
+    assert [w for k, w in enumerate(words, len(cases)) if got[k]] == []
+    assert got[len(rows) - 1]
+
+
 def test_window_entropy_is_that_of_its_best_window(spark):
     rng = random.Random(3)
     data = [("".join(rng.choice("ab1C9") for _ in range(n)),) for n in range(20, 60)]
