@@ -3,7 +3,9 @@
 A page is read as a run of text blocks, each with the path of tags from the root to it. Per path, the text length and the punctuation
 are summed and set against the number of its blocks; the two ratios are smoothed with those of the path's container and of the
 containers around it, multiplied, and held against the page's best path. Paths inside site furniture (navigation, asides, forms and so
-on, by tag or by the words of class and id) and paths that are mostly links are never content.
+on, by tag or by a whole name in class, id or role) and paths that are mostly links are never content. A name that only holds such a
+word is a weight: the square of the share of the page's text that its element holds. So is an article or main element: paths outside
+count by the share of the text that lies outside.
 """
 
 from __future__ import annotations
@@ -39,21 +41,38 @@ TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？]")
 INLINE_LINK = frozenset(["a"])
+HOMES = ("article", "main")
 
 
-def _furniture(tag: str, attributes: str, path: list[str]) -> bool:
+#: A header is furniture within a longer name if that says whose header it is: an entry's header holds its heading.
+SITE = frozenset("site page global top nav menu".split())
+
+
+def _furniture(tag: str, attributes: str, path: list[str]) -> int:
+    """2: furniture by its tag or a whole name; 1: a name holds a word of furniture; 0: neither."""
     if tag in FURNITURE or (tag == "header" and "article" not in path and "main" not in path):
-        return True
-    return tag not in ("html", "body", "article", "main") and "=" in attributes and any(w in WORDS for m in NAMED.finditer(attributes) for w in re.split(r"[^a-z0-9]+", m[1].lower()))
+        return 2
+    found = 0
+    if tag not in ("html", "body", "article", "main") and "=" in attributes:
+        for m in NAMED.finditer(attributes):
+            for name in m[1].lower().strip("\"'").split():
+                if name in WORDS:
+                    return 2
+                held = WORDS.intersection(words := re.split(r"[^a-z0-9]+", name))
+                if held - {"header"} or (held and not SITE.isdisjoint(words)):
+                    found = 1
+    return found
 
 
 def blocks(page: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
-    """(path, text, characters within links, furniture?) of each block that has text, in page order."""
+    """(path, text, characters within links, furniture?) of each block that has text, in page order. An element whose name holds a word
+    of furniture stands in the path under a name of its own, with a number after #."""
     out: list[tuple[tuple[str, ...], str, int, bool]] = []
     path: list[str] = []
     hidden: list[bool] = []
+    names: list[str] = []
     parts: list[str] = []
-    linked, at, where, buried = 0, 0, (), False
+    linked, at, where, buried, marked = 0, 0, (), False, 0
 
     def end_block() -> None:
         nonlocal linked, parts
@@ -67,7 +86,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
         nonlocal linked, where, buried
         if text:
             if not parts or not "".join(parts).strip():
-                where, buried = tuple(x for x in path if x in BLOCKS), any(hidden)
+                where, buried = tuple(x for x in names if x in BLOCKS or "#" in x), any(hidden)
             parts.append(text)
             if "a" in path:
                 linked += len(text)
@@ -76,7 +95,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
         for tag in path[k:]:
             if tag in BLOCKS:
                 end_block()
-        del path[k:], hidden[k:]
+        del path[k:], hidden[k:], names[k:]
 
     while True:
         m = TOKEN.search(page, at)
@@ -119,7 +138,10 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
                     break
                 if path[k] in SCOPES:
                     break
-        hidden.append(_furniture(tag, attributes, path))
+        kind = _furniture(tag, attributes, path)
+        marked += kind == 1
+        hidden.append(kind == 2)
+        names.append(f"{tag}#{marked}" if kind == 1 else tag.replace("#", ""))
         path.append(tag)
     end_block()
     return out
@@ -143,17 +165,24 @@ def extract(page: str, threshold: float = 0.15, smooth: float = 0.5) -> str:
             return 0.0
         return math.log1p(length[p] / count[p]) * math.log1p(1 + marks[p] / count[p]) * math.log1p(length[p])
 
+    # characters that are no links, of the page, of its article and main elements, and of each element with a mark
+    held: dict[str, int] = defaultdict(int)
+    for path, text, linked, _ in found:
+        for part in {"", *(x for x in path if "#" in x or x in HOMES)}:
+            held[part] += len(text) - linked
+    share = {x: n / max(held[""], 1) for x, n in held.items()}
+    homes = [h for h in HOMES if h in share]
+
     score: dict[tuple, float] = {}
     for path in {b[0] for b in found}:
         s, weight, p = ratio(path), smooth, path[:-1]
         while p and weight > 0.01:
             s += weight * ratio(p)
             weight, p = weight * smooth, p[:-1]
+        s *= math.prod(share[x] ** 2 for x in path if "#" in x) * math.prod(1 - share[h] for h in homes if h not in path)
         score[path] = s if links[path] <= 0.5 * length[path] else 0.0
     best = max(score.values(), default=0.0)
-    # text right in the body beside an article or a main element belongs to the page around it
-    homes = [h for h in ("article", "main") if any(h in b[0] for b in found)]
-    return "\n".join(text for path, text, _, _ in found if score[path] >= threshold * best and (not homes or homes[0] in path))
+    return "\n".join(text for path, text, _, _ in found if score[path] >= threshold * best)
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

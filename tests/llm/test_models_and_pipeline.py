@@ -77,6 +77,25 @@ def test_html_extraction(spark):
     assert html_extract.extract_main_text(df.limit(0)).count() == 0
 
 
+def test_homes_and_words_of_furniture_weigh_and_do_not_decide():
+    body = "".join(f"<p>Paragraph {k} of the story, which goes on for a while, and says more than any teaser does.</p>" for k in range(12))
+    told = [f"Paragraph {k} of the story, which goes on for a while, and says more than any teaser does." for k in range(12)]
+    cards = "".join(f"<article class=card><a href=/{k}>Teaser {k}</a><p>Short teaser text.</p></article>" for k in range(4))
+    for page in (
+        f"<main><div>{body}</div></main><div>{cards}</div>",
+        f"<div class='content'>{body}</div>{cards}",
+        f"<div class='content-sidebar-wrap'>{body}</div>",
+        f"<div class='has-sidebar'><div class='post share-enabled'>{body}</div></div>",
+        f"<div class='has-sidebar'><p>Short line.</p><div class='share-enabled'>{body}</div></div>",
+    ):
+        assert [x for x in html_extract.extract(f"<html><body>{page}</body></html>").split("\n") if x.startswith("Paragraph")] == told, page
+    comments = "".join(f"<div><p>Comment {k}, rather nice, thanks.</p></div>" for k in range(4))
+    page = f"<html><body><div class='post'><div class='entry-header'><h1>The heading of the story, in full.</h1></div>{body}</div><div class='post-comments'>{comments}</div><div class='sidebar'><p>Other, things.</p></div></body></html>"
+    assert html_extract.extract(page).split("\n") == ["The heading of the story, in full.", *told]
+    # text beside an article that holds nearly all of it still goes
+    assert html_extract.extract(f"<body><article>{body}</article><p>Beside it, a line.</p></body>").split("\n") == told
+
+
 def test_supplied_pages_give_their_articles(spark):
     import html
     import re
