@@ -71,6 +71,24 @@ def person_upsert(r: Roles) -> DataFrame:
     return merged.select("organizer_id", "email", "last_name", "owner_id")
 
 
+@query("person_upsert_whole", """with p as (select organizer_id, lower(trim(email)) as email, id, nullif(trim(last_name), '') as last_name, owner_id, epoch(created_at) as made, min(epoch(created_at)) over () as lo, max(epoch(created_at)) over () as hi from persons),
+    k as (select *, coalesce(2 * made < lo + hi, false) as before from p where email <> ''), f as (select organizer_id, email, before, arg_max(last_name, id) as last_name, arg_min(owner_id, id) as owner_id from k group by 1, 2, 3)
+    select coalesce(o.organizer_id, n.organizer_id) as organizer_id, coalesce(o.email, n.email) as email, coalesce(n.last_name, o.last_name) as last_name, coalesce(o.owner_id, n.owner_id) as owner_id
+    from (select * from f where before) o full join (select * from f where not before) n on n.organizer_id = o.organizer_id and n.email = o.email""", "persons")
+def person_upsert_whole(r: Roles) -> DataFrame:
+    return upsert_by_time(r.persons).select("organizer_id", "email", "last_name", "owner_id")
+
+
+def upsert_by_time(persons: DataFrame) -> DataFrame:
+    """Rows created before the middle of the time covered are the existing side, one row per key; all others come in."""
+    at = F.unix_timestamp("created_at")
+    p = persons.withColumns({"last_name": F.nullif(F.trim("last_name"), F.lit("")), "ord": F.col("id")})
+    middle = p.agg((F.min(at) + F.max(at)).alias("_middle"))
+    p = p.join(F.broadcast(middle)).withColumn("_before", F.coalesce(2 * at < F.col("_middle"), F.lit(False)))
+    old = p.filter("_before")
+    return upsert_persons(upsert_persons(old.limit(0), old), p.filter("not _before"))
+
+
 @query("mining_results_summary", """select job_id, count(*) as results, count(*) filter (where coalesce(status, 'new') = 'new') as fresh, count(*) filter (where len(string_split(emails, ',')) > 1) as several, cast(sum(cast(score as decimal(18, 2))) as double) as total_score
     from mining_results group by job_id""", "mining_results")
 def mining_results_summary(r: Roles) -> DataFrame:

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from rosterflow.catalogue import QUERIES
 from rosterflow.functions.email import is_valid
 from rosterflow.operators import events as ev
 from rosterflow.operators import merge, relational, scope
@@ -24,6 +25,19 @@ def test_person_upsert_keeps_owner_and_takes_filled_names(spark):
     assert rows(merge.upsert_persons(old, new, fill_only=True), "email", "last_name") == [("a@x.co", "Old"), ("b@x.co", None)]
 
 
+def test_upsert_of_all_persons_takes_every_row(spark):
+    from rosterflow.plans.lists import upsert_by_time
+    from rosterflow.roles import Roles
+
+    r = Roles(spark, "/root/testdata/sf0.01")
+    keys = r.persons.filter("trim(email) != ''").selectExpr("organizer_id", "lower(email) as email").distinct()
+    assert keys.exceptAll(QUERIES["person_upsert_whole"](spark, "/root/testdata/sf0.01").select("organizer_id", "email")).count() == 0
+    # ids 1, 2 and 1401 are one person of the old side, 1500 comes in
+    data = [(1, 0, "A@x.co", "a", None, 5, 1), (2, 0, "a@x.co", "a", "Old", 6, 2), (1401, 0, "a@x.co", "a", " ", 8, 3), (1500, 0, "a@X.co", "a", "New", 9, 100), (1501, 1, "b@x.co", "b", None, None, 100)]
+    df = spark.createDataFrame(data, "id long, organizer_id int, email string, first_name string, last_name string, owner_id int, at long").withColumn("created_at", F.timestamp_seconds("at"))
+    assert rows(upsert_by_time(df), "organizer_id", "email", "last_name", "owner_id") == [(0, "a@x.co", "New", 5), (1, "b@x.co", None, None)]
+
+
 def test_affiliation_upsert(spark):
     kind = "organizer_id int, person_id int, company_name string, position string, city string, country_code string, confidence double"
     old = spark.createDataFrame([(1, 1, "Acme", "x", None, "DE", 0.5), (1, 1, None, "y", None, None, 0.1)], kind)
