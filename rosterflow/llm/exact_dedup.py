@@ -58,7 +58,8 @@ class DigestIndex:
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", filter_bits: int = 25, index: DigestIndex | None = None):
     """The index after flushing and compacting docs, the filter of its hits, and the hits' verified classes.
 
-    Classes have digest, text, keep_id and group_size; texts compare equal after lower-casing A-Z; a null text is the empty text.
+    Classes have digest, text, keep_id and group_size, 1 for a text that only shares its digest, or its place in the filter;
+    texts compare equal after lower-casing A-Z; a null text is the empty text.
     """
     index = index or DigestIndex(docs.sparkSession)
     index.flush(docs, id_col, text_col)
@@ -66,7 +67,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sieve = MembershipFilter(hits, "digest", filter_bits)
     kept = F.max("id") if keep == "largest" else F.min("id")
     classes = sieve.mark(index.rows(docs, id_col, text_col), "digest", "_hit").filter("_hit").groupBy("digest", "text").agg(kept.alias("keep_id"), F.count("*").alias("group_size"))
-    return index, sieve, classes.filter("group_size > 1")
+    return index, sieve, classes
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", filter_bits: int = 25, digest=sha256) -> DataFrame:
@@ -76,8 +77,10 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     its id is the one that stays. An empty table gives an empty result; columns of docs other than the two named are not looked at.
     """
     index, _, classes = exact_groups(docs, id_col, text_col, keep, filter_bits, DigestIndex(docs.sparkSession, digest=digest))
-    classes = materialize(classes, "classes")
+    # single texts are counted, as a digest may have one beside a group of copies; they themselves are not stored
+    classes = materialize(classes.withColumn("text", F.expr("if(group_size > 1, text, null)")), "classes")
     several = classes.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest")
+    classes = classes.filter("group_size > 1")
     rows = index.runs()
     if several.isEmpty():
         found = rows.join(classes.drop("text"), "digest", "left")
@@ -95,7 +98,7 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """docs without copies, all columns kept. Rows whose digest no other row has pass straight from the scan; only possible copies are
     shuffled. Rows that repeat one id and text leave one row."""
     index, sieve, classes = exact_groups(docs, id_col, text_col, keep, filter_bits)
-    classes = materialize(classes, "classes")
+    classes = materialize(classes.filter("group_size > 1"), "classes")
     row = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).alias("_text"))
     row = sieve.mark(row.withColumn("_digest", index.digest(F.col("_text"))), "_digest", "_hit")
     alone = row.filter("not _hit").select("_row.*")

@@ -55,6 +55,12 @@ def test_digest_collisions_are_told_apart_by_bytes(spark):
     assert got == [(1, 3, 2), (2, 5, 2), (3, 3, 2), (4, 4, 1), (5, 5, 2)]
 
 
+def test_a_single_text_beside_a_group_with_its_digest_is_no_copy(spark):
+    weak = lambda c: F.unhex(F.sha2(F.length(c).cast("string"), 256))
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_duplicates(frame(spark, [(1, "aa"), (3, "AA"), (2, "bb"), (4, "ccc")]), digest=weak).collect()}
+    assert got == {1: (3, 2, False), 3: (3, 2, True), 2: (2, 1, True), 4: (4, 1, True)}
+
+
 def test_index_over_batches(spark):
     index = exact_dedup.DigestIndex(spark)
     index.flush(frame(spark, [(1, "a"), (2, "b")]))
