@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no folder, as in tests.
-OWN_CHECKPOINT_DIR = "/tmp/checkpoints"
 #: The white space that ends a word, for Java's regular expressions.
 GAP = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder under the one all executors share; Hadoop removes it when the driver's JVM ends."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or OWN_CHECKPOINT_DIR
+    """A new folder under the one all executors share; Hadoop removes it when the driver's JVM ends. Only a session in
+    one JVM, as in tests, may do without the setting."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
+        root = f"file://{tempfile.gettempdir()}/checkpoints"
+    if not root:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = f"{root.rstrip('/')}/rosterflow-{uuid.uuid4().hex}/{name}"
     jvm = spark._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path.rpartition("/")[0])
@@ -69,6 +73,37 @@ class MembershipFilter:
         )
 
 
+class Spread:
+    """Joins of many rows with one row per key, where some keys may hold a large part of the rows.
+
+    counts has a row per key with its number of rows, n. Keys of more than twice as many rows as there are shuffle partitions are hot:
+    their rows are dealt into that many parts, and their one row goes to each part, which makes at most half as many rows as are joined.
+    A bitmap of fixed size marks hot keys; where it errs, a key's one row is copied without need.
+    """
+
+    def __init__(self, counts: DataFrame, key: str, n: str = "n"):
+        self.parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        hot = materialize(counts.filter(F.col(n) > 2 * self.parts).select(key), "hot")
+        self.hot = None if hot.isEmpty() else MembershipFilter(hot, key, bits=22)
+
+    def many(self, df: DataFrame, key: str, by: str) -> DataFrame:
+        """df with ``_part``; by: a column that tells the rows of a key apart."""
+        if self.hot is None:
+            return df.withColumn("_part", F.lit(0).cast("long"))
+        return self.hot.mark(df, key, "_hot").withColumn("_part", F.when(F.col("_hot"), F.pmod(F.xxhash64(by, F.lit(3)), F.lit(self.parts))).otherwise(0)).drop("_hot")
+
+    def one(self, df: DataFrame, key: str) -> DataFrame:
+        if self.hot is None:
+            return df.withColumn("_part", F.lit(0).cast("long"))
+        last = F.when(F.col("_hot"), self.parts - 1).otherwise(0).cast("long")
+        return self.hot.mark(df, key, "_hot").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), last))).drop("_hot")
+
+    def join(self, many: DataFrame, one: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+        if self.hot is None:
+            return many.join(one, key, how)
+        return self.many(many, key, by).join(self.one(one, key), [key, "_part"], how).drop("_part")
+
+
 def head_of(counts: DataFrame, count: str, most: int) -> DataFrame:
     """The rows with the largest counts, ``most`` at most: a histogram of the counts' logarithms gives the least count that they share."""
     step = F.floor(F.log2(count) * 16)

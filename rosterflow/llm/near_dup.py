@@ -3,23 +3,23 @@
 Texts are lower-cased (A-Z) word sequences; texts with the same words are one node. A node's weighted set holds its five-word shingles
 (all its words where there are fewer), weighted by their count times the mean inverse document frequency of their words. Document
 frequencies are counted over all documents by word, not by shingle: a shingle's own frequency is mostly the size of the group of copies
-that it belongs to, which would make a large group's texts look unlike. Words beyond the ``head`` most frequent share the least of
-these frequencies, which bounds what is sent to the tasks.
+that it belongs to, which would make a large group's texts look unlike. They are kept by the word's hash, in a table of fixed size.
 
 Each of ``bands * rows`` samples picks one shingle of a set so that two sets pick the same with the probability of their weighted
-Jaccard similarity. Nodes that agree on all samples of a band share a bucket. In a bucket, each node is compared with a leader: the node
-that shares buckets with the most others (the text that copies were made from shares more than its copies do). Pairs whose samples agree
-too rarely to be similar go; the others are verified on their whole weighted sets. A second round takes the next leaders among the
-classes that have not led. Buckets that still hold such classes are crowded by texts that share much, but not enough; their nodes are
-bucketed anew, by their rare shingles (two sets above the threshold have one in common), and rounds go on there until every class has
-led, each with four times as many leaders as the last. No bucket compares all its pairs: classes that are found meanwhile lead once.
+Jaccard similarity. Nodes that agree on all samples of a band share a bucket. In a bucket, each node is compared with its leader: the
+node that shares buckets with the most others (the text that copies were made from shares more than its copies do). Pairs whose samples
+agree too rarely to be similar go; the others are verified on their whole weighted sets, and links make classes.
+
+Buckets that hold more than one class then may hide links between members that never led. Their nodes are compared by prefix filtering,
+which is exact: two sets above the threshold have a shingle in common among the rarest of either, and may not have too little left from
+there on. Nodes of a rare shingle's most frequent class meet those of its other classes, in tiles of bounded size; what passes both
+bounds and lies in different classes is verified. A class is never compared with itself, and no list of a bucket's pairs is made.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,11 +28,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import MembershipFilter, WordCache, head_of, materialize
+from .common import MembershipFilter, Spread, WordCache, materialize
 
 SHINGLE = 5
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 TABLE_BITS = 16
+#: Document frequencies are kept for 2**DF_BITS values of a word's hash: 2 MB whatever the vocabulary; words with one value share their sum.
+DF_BITS = 18
+TILE = 512
 
 
 def _words(text: str) -> list[bytes]:
@@ -44,11 +47,11 @@ def _node(words: list[bytes]) -> bytes:
 
 
 class Sets:
-    """Weighted shingle sets and their samples. idf: of the words of the head; other: of any other word."""
+    """Weighted shingle sets and their samples. idf: by the upper bits of a word's hash."""
 
-    def __init__(self, idf: dict[bytes, float], other: float, samples: int, seed: int = 7):
+    def __init__(self, idf: np.ndarray, samples: int, seed: int = 7):
         self.hashes = WordCache(xxhash.xxh64_intdigest)
-        self.idf, self.other = idf, other
+        self.idf = idf
         rng = np.random.default_rng(seed)
         size = 1 << TABLE_BITS
         self.r = rng.gamma(2, 1, size).astype(np.float32)
@@ -61,8 +64,7 @@ class Sets:
         """Sorted shingle hashes and their weights."""
         n = len(words)
         h = np.fromiter(map(self.hashes.__getitem__, words), np.uint64, n)
-        get, other = self.idf.get, self.other
-        idf = np.fromiter([get(w, other) for w in words], np.float64, n)
+        idf = self.idf[(h >> np.uint64(64 - DF_BITS)).astype(np.int64)]
         width = min(SHINGLE, n)
         m = n - width + 1
         shingle, weight = np.zeros(m, np.uint64), np.zeros(m)
@@ -98,93 +100,124 @@ class Sets:
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard: sum of minima over sum of maxima."""
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    both = float(np.minimum(a[1][i], b[1][j]).sum())
+    at = np.minimum(np.searchsorted(a[0], b[0]), max(len(a[0]) - 1, 0))
+    same = a[0][at] == b[0] if len(a[0]) else np.zeros(len(b[0]), bool)
+    both = float(np.minimum(a[1][at[same]], b[1][same]).sum())
     total = float(a[1].sum()) + float(b[1].sum()) - both
     return both / total if total else 1.0
 
 
 def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: Counter = Counter()
+    hashes, counts, shift = WordCache(xxhash.xxh64_intdigest), np.zeros(1 << DF_BITS, np.int64), np.uint64(64 - DF_BITS)
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            seen.update(set(_words(text)))
-            if len(seen) > 300_000:
-                yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "df"])
-                seen.clear()
-    yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "df"])
+        for text in batch.column(0):
+            words = set(_words(text.as_py()))
+            h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+            counts[np.unique((h >> shift).astype(np.int64))] += 1
+    at = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["slot", "df"])
+
+
+def inverse_frequencies(texts: DataFrame) -> np.ndarray:
+    """1 + log((documents + 1) / (df + 1)) by the upper DF_BITS of a word's hash; df counts the documents that hold a word of that value."""
+    n_docs = texts.count()
+    counts = texts.select("text").mapInArrow(_document_frequencies, "slot bigint, df bigint").groupBy("slot").agg(F.sum("df").alias("df")).toArrow()
+    df = np.zeros(1 << DF_BITS)
+    df[counts.column("slot").to_numpy()] = counts.column("df").to_numpy()
+    return (1 + np.log((n_docs + 1) / (df + 1))).astype(np.float32)
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, label: the least node of its component. links: a, b. Labels take their neighbours' least, then that label's own label."""
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
+    """node, label: the least node of its component. links: a, b. Labels take their neighbours' least, then that label's own label.
+    Hubs and the labels of large components are spread over the tasks."""
+    both = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    degrees = materialize(both.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("m")), "degrees")
+    hubs = Spread(degrees, "a")
+    labels = materialize(degrees.select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
+    edges = both.select(F.col("a").alias("to"), F.col("b").alias("node"))
     while True:
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near, labels.node == near.a, "left").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
+        near = hubs.join(edges, labels, "node", by="to").groupBy("to").agg(F.min("label").alias("near"))
+        step = materialize(labels.join(near.withColumnRenamed("to", "node"), "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label")), "labels")
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        new = materialize(step.join(jump, "label", "left").select("node", "was", F.least("label", "further").alias("label")), "labels")
-        if new.filter("label < was").isEmpty():
-            return new.select("node", "label")
+        large = Spread(step.groupBy("label").agg(F.count("*").alias("n")), "label")
+        new = materialize(large.join(step, jump, "label", by="node").select("node", "was", F.least("label", "further").alias("label")), "labels")
         labels = new.select("node", "label")
+        if new.filter("label < was").isEmpty():
+            return labels
 
 
 def rare_prefixes(sets: DataFrame, threshold: float) -> DataFrame:
-    """Buckets (key, node, degree, behind, total) by rare shingles: of each set, from the rarest on, the shingles that stand before
-    the last ``threshold`` of its weight. The first shingle that two sets above the threshold have in common is among these in both,
-    and what they have in common weighs no more than what stands from there on (``behind``) in either."""
+    """Buckets (key, node, label, behind, total) by rare shingles, of sets with node, label, shingles, weights: of each set, from the
+    rarest on, the shingles that stand before the last ``threshold`` of its weight. The first shingle that two sets above the threshold
+    have in common is among these in both, and what they have in common weighs no more than what stands from there on (``behind``) in
+    either."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for node, keys, weights in zip(*(batch.column(c) for c in range(3)), strict=True):
-                k = np.frombuffer(keys.as_buffer(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([node.as_py()] * len(k), pa.binary()), pa.array(k), pa.array(np.frombuffer(weights.as_buffer(), np.float32).astype(float))], ["node", "key", "weight"])
-
-    each = sets.select("node", "shingles", "weights").mapInArrow(rows, "node binary, key bigint, weight double")
-    each = materialize(each, "shingles")
-    each = each.join(each.groupBy("key").agg(F.count("*").alias("n")), "key")
-    by_node = Window.partitionBy("node").orderBy(F.desc("n"), F.desc("key")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("node")
-    each = each.withColumn("behind", F.sum("weight").over(by_node)).withColumn("all", F.sum("weight").over(whole))
-    each = each.filter((F.col("n") > 1) & (F.col("behind") >= (threshold - 1e-6) * F.col("all"))).select("key", "node", "n", "behind", F.col("all").alias("total"))
-    degree = each.groupBy("node").agg(F.sum("n").alias("degree"))
-    return materialize(each.join(degree, "node").select("key", "node", "degree", "behind", "total"), "prefixes")
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 14, rows: int = 3, head: int = 65_536) -> DataFrame:
+            for node, label, keys, weights in zip(*(batch.column(c) for c in range(4)), strict=True):
+                k, w = np.frombuffer(keys.as_buffer(), np.int64), np.frombuffer(weights.as_buffer(), np.float32).astype(float)
+                same = lambda x, n=len(k): pa.DictionaryArray.from_arrays(pa.array(np.zeros(n, np.int32)), pa.array([x.as_py()], pa.binary())).dictionary_decode()
+                yield pa.RecordBatch.from_arrays([same(node), same(label), pa.array(k), pa.array(w), pa.array(np.full(len(k), w.sum()))], ["node", "label", "key", "weight", "total"])
+
+    each = materialize(sets.select("node", "label", "shingles", "weights").mapInArrow(rows, "node binary, label binary, key bigint, weight double, total double"), "shingles")
+    # a shingle of one set is the rarest there is, and makes no pair
+    shared = materialize(each.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "frequencies")
+    each = Spread(shared, "key").join(each, shared, "key", by="node")
+    behind = F.sum("weight").over(Window.partitionBy("node").orderBy(F.desc("n"), F.desc("key")).rowsBetween(Window.unboundedPreceding, 0))
+    each = each.withColumn("behind", behind).filter(F.col("behind") >= (threshold - 1e-6) * F.col("total"))
+    return materialize(each.select("key", "node", "label", "behind", "total"), "prefixes")
+
+
+def tiles(prefixes: DataFrame, samples: DataFrame) -> DataFrame:
+    """Rows of tiles: in each bucket the nodes of all classes but its most frequent (``lead``) meet every node, in tiles of about
+    TILE by TILE, each with key, i, j, lead, other (is its class not the most frequent one?), node, label, behind, total, samples."""
+    by_class = prefixes.groupBy("key", "label").agg(F.count("*").alias("c"))
+    stats = by_class.groupBy("key").agg(F.sum("c").alias("n"), F.max("c").alias("most"), F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("classes"))
+    stats = materialize(stats.filter("classes > 1"), "prefix_sizes")
+    rows = Spread(stats, "key").join(prefixes, stats, "key", by="node").join(samples, "node")
+    deal = lambda part, n: F.pmod(F.xxhash64("node", F.lit(part)), n)
+    rows = rows.withColumns({"wide": F.ceil((F.col("n") - F.col("most")) / TILE), "long": F.ceil(F.col("n") / TILE), "other": F.col("label") != F.col("main")})
+    every = rows.withColumns({"lead": F.lit(False), "j": deal(2, F.col("long")), "i": F.explode(F.sequence(F.lit(0).cast("long"), F.col("wide") - 1))})
+    other = rows.filter("other").withColumns({"lead": F.lit(True), "i": deal(1, F.col("wide")), "j": F.explode(F.sequence(F.lit(0).cast("long"), F.col("long") - 1))})
+    names = ["key", "i", "j", "lead", "other", "node", "label", "behind", "total", "samples"]
+    return every.select(names).unionByName(other.select(names)).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", F.desc("lead"))
+
+
+def _fixed(column: pa.Array, width: int) -> np.ndarray:
+    """Binary values of one width, a row of bytes each."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), width)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 14, rows: int = 3) -> DataFrame:
     """One row per row of docs: id_col, class_id (the least id of its class), class_size, n_links (verified links of its text to other
     texts), kept (its id is the class's).
 
     A null text is empty; texts without words are equal to each other and to nothing else. Repeated rows belong to one class, and each
-    counts in its size. Two texts at the threshold share a bucket with a probability of 1 - (1 - threshold**rows)**bands.
+    counts in its size. Of equal degrees the larger node leads, of equal shares the larger label; neither changes the classes. Texts go
+    in whole, whatever their length. Other columns are not read, and may have any names. An empty table gives an empty result.
+    Two texts at the threshold share a bucket with a probability of 1 - (1 - threshold**rows)**bands.
     """
     spark, id_type = docs.sparkSession, docs.schema[id_col].dataType
     id_kind = id_type.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    n_docs = texts.count()
-    counts = texts.select("text").mapInArrow(_document_frequencies, "word binary, df bigint").groupBy("word").agg(F.sum("df").alias("df"))
-    counts = materialize(counts.filter(F.length("word") <= 64), "frequencies")
-    df = {bytes(r.word): r.df for r in head_of(counts, "df", head).collect()}
-    idf = {w: 1 + math.log((n_docs + 1) / (x + 1)) for w, x in df.items()}
-    sent = spark.sparkContext.broadcast((idf, max(idf.values(), default=1.0)))
+    sent = spark.sparkContext.broadcast(inverse_frequencies(texts))
     n_samples = bands * rows
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = Sets(*sent.value, n_samples)
+        sets = Sets(sent.value, n_samples)
         known: dict[bytes, bytes] = {}  # copies in one task are signed once
+        waiting: dict[bytes, tuple] = {}
+
+        def flush() -> None:
+            if waiting:
+                for node, sample in zip(waiting, sets.samples(list(waiting.values())), strict=True):
+                    known[node] = sample.tobytes()
+                waiting.clear()
+
         for batch in batches:
-            nodes, out = [], []
-            waiting: dict[bytes, tuple] = {}
-
-            def flush(waiting=waiting, sets=sets, known=known):
-                if waiting:
-                    for node, sample in zip(waiting, sets.samples(list(waiting.values())), strict=True):
-                        known[node] = sample.tobytes()
-                    waiting.clear()
-
-            size = 0
-            for text in batch.column(1).to_pylist():
-                words = _words(text)
+            nodes, size = [], 0
+            for text in batch.column(1):
+                words = _words(text.as_py())
                 node = _node(words)
                 nodes.append(node)
                 if words and node not in known and node not in waiting:
@@ -196,19 +229,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 elif not words:
                     known[node] = b""
             flush()
-            out = [known[n] for n in nodes]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.binary()), pa.array([known[n] for n in nodes], pa.binary())], ["id", "node", "samples"])
             if len(known) > 20_000:
                 known.clear()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.binary()), pa.array(out, pa.binary())], ["id", "node", "samples"])
 
     signed = materialize(texts.mapInArrow(sign, f"id {id_kind}, node binary, samples binary"), "signed")
     # equal texts meet here, after each task has brought its own together
-    nodes = materialize(signed.groupBy("node").agg(F.min(F.struct("id", "samples")).alias("x"), F.count("*").alias("copies")).select("node", "x.id", "x.samples", "copies"), "nodes")
+    nodes = materialize(signed.groupBy("node").agg(F.min(F.struct("id", "samples")).alias("x"), F.count("*").alias("n")).select("node", "x.id", "x.samples", "n"), "nodes")
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = [k for k, x in enumerate(batch.column(1).to_pylist()) if x]
-            values = np.frombuffer(b"".join(batch.column(1).take(pa.array(keep, pa.int64())).to_pylist()), np.uint32).reshape(len(keep), n_samples) if keep else np.zeros((0, n_samples), np.uint32)
+            values = _fixed(batch.column(1).take(pa.array(keep, pa.int64())), 4 * n_samples).view(np.uint32)
             keys = np.empty((len(keep), bands), np.uint64)
             for b in range(bands):
                 key = np.full(len(keep), b + 1, np.uint64)
@@ -219,98 +251,129 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             node = batch.column(0).take(pa.array(np.repeat(keep, bands), pa.int64()))
             yield pa.RecordBatch.from_arrays([node, pa.array(keys.view(np.int64).ravel())], ["node", "key"])
 
-    rows_of = nodes.select("node", "samples").mapInArrow(buckets, "node binary, key bigint")
-    shared = rows_of.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = materialize(rows_of.join(shared, "key"), "buckets")
-    degree = shared.groupBy("node").agg(F.sum("n").alias("degree"))
-    shared = materialize(shared.select("node", "key").join(degree, "node").select("key", "node", "degree", F.lit(1.0).alias("behind"), F.lit(1.0).alias("total")), "buckets")
+    placed = nodes.select("node", "samples").mapInArrow(buckets, "node binary, key bigint")
+    sizes = materialize(placed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "bucket_sizes")
+    by_key = Spread(sizes, "key")
+    shared = by_key.join(placed, sizes, "key", by="node")
+    shared = materialize(shared.withColumn("degree", F.sum("n").over(Window.partitionBy("node"))).select("key", "node", "degree"), "buckets")
     # whole sets, of the first row of each node that shares a bucket
-    wanted = nodes.join(degree, "node", "left_semi").select("id")
+    wanted = nodes.join(shared, "node", "left_semi").select("id")
     sieve = MembershipFilter(wanted, "id")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = Sets(*sent.value, 1)
+        sets = Sets(sent.value, 1)
         for batch in batches:
-            out: list[tuple] = []
-            for text in batch.column(1).to_pylist():
-                words = _words(text)
+            at, size, out = 0, 0, []
+            for text in batch.column(1):
+                words = _words(text.as_py())
                 if words:
                     k, w = sets.weighted(words)
                     out.append((_node(words), k.tobytes(), w.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.binary()) for c in range(3)], ["node", "shingles", "weights"])
+                    size += len(words)
+                at += 1
+                if size > 500_000 or at == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.binary()) for c in range(3)], ["node", "shingles", "weights"])
+                    size, out = 0, []
 
     by_id = sieve.mark(texts, "id", "maybe").filter("maybe").select("id", "text")
     sets = by_id.mapInArrow(whole, "node binary, shingles binary, weights binary")
     sets = materialize(sets.groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("weights").alias("weights")), "sets")
-    # samples of similar sets agree in threshold * n of n cases; far fewer than that would be 5 standard deviations away
-    least = max(1, math.floor(n_samples * threshold - 5 * math.sqrt(n_samples * threshold * (1 - threshold))))
+    # samples of similar sets agree in threshold * n of n cases; far fewer than that would be 4 standard deviations away
+    least = max(1, math.floor(n_samples * threshold - 4 * math.sqrt(n_samples * threshold * (1 - threshold))))
+    samples = nodes.select("node", "samples")
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, n_samples) for c in (2, 3))
+            a, b = (_fixed(batch.column(c), 4 * n_samples).view(np.uint32) for c in (4, 5))
             mask = pa.array((a == b).sum(1) >= least)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(mask) for c in range(4)], ["a", "b", "la", "lb"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead = None
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in range(2, 6)]
-            ok = [similarity((np.frombuffer(ks, np.uint64), np.frombuffer(ws, np.float32)), (np.frombuffer(kt, np.uint64), np.frombuffer(wt, np.float32))) >= threshold for ks, ws, kt, wt in zip(*cols, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], ["a", "b", "similar"])
-
-    samples = nodes.select("node", "samples")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        x = pairs.join(samples.withColumnRenamed("node", "a").withColumnRenamed("samples", "sa"), "a").join(samples.withColumnRenamed("node", "b").withColumnRenamed("samples", "sb"), "b")
-        x = x.select("a", "b", "sa", "sb").mapInArrow(agree, "a binary, b binary")
-        x = x.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("ka"), F.col("weights").alias("wa")), "a")
-        x = x.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("kb"), F.col("weights").alias("wb")), "b")
-        return x.select("a", "b", "ka", "wa", "kb", "wb").mapInArrow(verify, "a binary, b binary, similar boolean")
-
-    def compare(shared: DataFrame, found: tuple, rounds: int | None = None) -> tuple[tuple, DataFrame, DataFrame]:
-        """Links, pairs tried and classes after comparing within buckets (key, node, degree, behind, total); the buckets' nodes with
-        their classes; and those of them whose class has not led in the bucket. What two sets have in common weighs no more than
-        the lesser ``behind``, and at the threshold at least threshold / (1 + threshold) of their totals' sum."""
-        links, tried, classes = found
-        label = lambda: materialize(shared.join(classes, "node", "left").withColumn("label", F.coalesce("label", "node")), "buckets")
-        everyone = left = label() if classes is not None else shared.withColumn("label", F.col("node"))
-        ever, width, top = None, 1, F.struct("degree", "node", "label", "behind", "total")
-        while rounds is None or rounds > 0:
-            if width == 1:
-                leaders = left.groupBy("key").agg(F.max(top).alias("top"))
-            else:
-                tops = left.groupBy("key", "label").agg(F.max(top).alias("top"))
-                leaders = tops.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("top")))).filter(F.col("rank") <= width)
-            leaders = leaders.select("key", F.col("top.node").alias("b"), F.col("top.label").alias("b_label"), F.col("top.behind").alias("b_behind"), F.col("top.total").alias("b_total"))
-            able = F.least("behind", "b_behind") >= (threshold / (1 + threshold) - 1e-6) * (F.col("total") + F.col("b_total"))
-            pairs = everyone.join(leaders, "key").filter("node != b and label != b_label").filter(able).groupBy(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).agg(F.count("*").alias("n")).select("a", "b")
-            if tried is not None:
-                pairs = pairs.join(tried, ["a", "b"], "left_anti")
-            done = materialize(verified(pairs), "pairs")
-            tried = done.select("a", "b") if tried is None else tried.unionByName(done.select("a", "b"))
-            new = done.filter("similar").select("a", "b")
-            links = new if links is None else links.unionByName(new)
-            if classes is None or not new.isEmpty():
-                classes = components(links)
-                everyone = label()
-            # classes that have led in a bucket are done leading there
-            led = leaders.select("key", F.col("b").alias("node")).join(everyone.select("key", "node", "label"), ["key", "node"]).select("key", "label").distinct()
-            ever = led if ever is None else ever.unionByName(led)
-            left = materialize(everyone.join(ever, ["key", "label"], "left_anti"), "left")
-            if left.isEmpty():
-                break
-            width, rounds = width * (4 if rounds else 16), rounds and rounds - 1
-        return (links, tried, classes), everyone, left
-
-    found, everyone, left = compare(shared, (None, None, None), 2)
-    if not left.isEmpty():
-        crowd = everyone.join(left.select("key").distinct(), "key", "left_semi").select("node").distinct()
-        found, _, _ = compare(rare_prefixes(sets.join(crowd, "node", "left_semi"), threshold), found)
-    links, _, classes = found
+            similar, (b, a, k, w) = [], (batch.column(c) for c in (0, 2, 5, 6))
+            for x in range(batch.num_rows):
+                one = (np.frombuffer(k[x].as_buffer(), np.uint64), np.frombuffer(w[x].as_buffer(), np.float32))
+                if not a[x].is_valid:
+                    lead = (one[0].copy(), one[1].copy())
+                similar.append(a[x].is_valid and similarity(lead, one) >= threshold)
+            mask = pa.array(similar, pa.bool_())
+            yield pa.RecordBatch.from_arrays([c.filter(mask) for c in (a, b, batch.column(3), batch.column(4))], ["a", "b", "la", "lb"])
+
+    def verified(pairs: DataFrame, agreeing: bool) -> DataFrame:
+        """Those of the pairs (a, b, la, lb) that are similar. b's set goes to a task once, before the sets of all the a."""
+        pairs = materialize(pairs, "pairs")
+        leads = pairs.groupBy("b").agg(F.count("*").alias("n"))
+        spread = Spread(leads, "b")
+        if not agreeing:
+            x = spread.join(pairs, samples.select(F.col("node").alias("b"), F.col("samples").alias("sb")), "b", by="a")
+            x = x.join(samples.select(F.col("node").alias("a"), F.col("samples").alias("sa")), "a")
+            pairs = x.select("a", "b", "la", "lb", "sa", "sb").mapInArrow(agree, "a binary, b binary, la binary, lb binary")
+        members = spread.many(pairs.join(sets.select(F.col("node").alias("a"), "shingles", "weights"), "a"), "b", by="a")
+        first = spread.one(sets.withColumnRenamed("node", "b").join(leads, "b", "left_semi"), "b").withColumns({c: F.lit(None).cast("binary") for c in ("a", "la", "lb")})
+        names = ["b", "_part", "a", "la", "lb", "shingles", "weights"]
+        x = first.select(names).unionByName(members.select(names)).repartition("b", "_part").sortWithinPartitions("b", "_part", F.asc_nulls_first("a"))
+        return materialize(x.mapInArrow(verify, "a binary, b binary, la binary, lb binary"), "links")
+
+    leaders = shared.groupBy("key").agg(F.max(F.struct("degree", "node")).alias("top")).select("key", F.col("top.node").alias("b"))
+    pairs = by_key.join(shared.select("key", F.col("node").alias("a")), leaders, "key", by="a").filter("a != b").select("a", "b").distinct()
+    links = verified(pairs.select("a", "b", F.col("a").alias("la"), F.col("b").alias("lb")), agreeing=False)
+    classes = components(links)
+    label = F.coalesce("label", "node").alias("label")
+
+    labelled = materialize(shared.select("key", "node").join(classes, "node", "left").select("key", "node", label), "labelled")
+    several = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
+    crowd = materialize(by_key.join(labelled, several, "key", by="node").select("node", "label").distinct(), "crowd")
+    if not crowd.isEmpty():
+
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            share, tile, held, leads = threshold / (1 + threshold) - 1e-6, None, [], None
+            for batch in batches:
+                place = np.stack([batch.column(c).to_numpy() for c in range(3)], 1)
+                lead, other = (batch.column(c).to_numpy(zero_copy_only=False) for c in (3, 4))
+                node, label = (_fixed(batch.column(c), 16) for c in (5, 6))
+                behind, total = (batch.column(c).to_numpy() for c in (7, 8))
+                sample = _fixed(batch.column(9), 4 * n_samples).view(np.uint32)
+                cuts = [0, *(np.flatnonzero((place[1:] != place[:-1]).any(1) | (lead[1:] != lead[:-1])) + 1), len(place)]
+                for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
+                    if stop == start:
+                        continue
+                    if (at := tuple(place[start])) != tile:
+                        tile, held, leads = at, [], None
+                    part = tuple(x[start:stop] for x in (node, label, behind, total, sample, other))
+                    if lead[start]:
+                        held.append(part)
+                        continue
+                    if leads is None:
+                        leads = tuple(np.concatenate(x) for x in zip(*held, strict=True)) if held else ()
+                    for x in range(0, stop - start if leads else 0, TILE):
+                        n, lab, beh, tot, sam, oth = (c[x : x + TILE] for c in part)
+                        able = np.minimum.outer(beh, leads[2]) >= share * np.add.outer(tot, leads[3])
+                        able &= (lab[:, None, :] != leads[1][None, :, :]).any(2)
+                        one, two = np.nonzero(able)
+                        fit = np.empty(len(one), bool)
+                        for k in range(0, len(one), 50_000):
+                            fit[k : k + 50_000] = (sam[one[k : k + 50_000]] == leads[4][two[k : k + 50_000]]).sum(1) >= least
+                        one, two = one[fit], two[fit]
+                        if len(one):
+                            a, b = ([bytes(v) for v in c] for c in (n[one], leads[0][two]))
+                            once = np.array([not o or p < q for o, p, q in zip(oth[one], a, b, strict=True)])  # two of the others meet twice
+                            columns = (a, b, [bytes(v) for v in lab[one]], [bytes(v) for v in leads[1][two]])
+                            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()).filter(pa.array(once)) for c in columns], ["a", "b", "la", "lb"])
+
+        prefixes = rare_prefixes(sets.join(crowd, "node"), threshold)
+        met = tiles(prefixes, samples).mapInArrow(meet, "a binary, b binary, la binary, lb binary").distinct()
+        more = verified(met, agreeing=True)
+        links = links.unionByName(more)
+        joined = components(more.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("least"))
+        # a node without a link so far is a class of its own
+        classes = classes.unionByName(joined.select(F.col("label").alias("node"), "label").join(classes, "node", "left_anti"))
+        classes = Spread(classes.groupBy("label").agg(F.count("*").alias("n")), "label").join(classes, joined, "label", by="node", how="left").select("node", F.coalesce("least", "label").alias("label"))
     ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
-    of_node = nodes.select("node", "id", "copies").join(classes, "node", "left").join(ends, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    of_class = of_node.groupBy("label").agg(F.min("id").alias("class_id"), F.sum("copies").alias("class_size"))
-    of_node = of_node.join(of_class, "label").select("node", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return signed.select("id", "node").join(of_node, "node").select(
+    of_node = materialize(nodes.select("node", "id", "n").join(classes, "node", "left").join(ends, "node", "left").select("node", "id", "n", label, F.coalesce("n_links", F.lit(0)).alias("n_links")), "labels")
+    of_class = materialize(of_node.groupBy("label").agg(F.min("id").alias("class_id"), F.sum("n").alias("class_size"), F.count("*").alias("nodes")), "classes")
+    of_node = Spread(of_class, "label", "nodes").join(of_node, of_class, "label", by="node").select("node", "class_id", "class_size", "n_links")
+    return Spread(nodes, "node").join(signed.select("id", "node"), of_node, "node", by="id").select(
         F.col("id").alias(id_col), "class_id", "class_size", "n_links", F.col("id").eqNullSafe(F.col("class_id")).alias("kept")
     )
 

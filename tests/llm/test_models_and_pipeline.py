@@ -108,7 +108,7 @@ def test_supplied_pages_give_their_articles(spark):
 
 def test_samples_agree_as_often_as_sets_are_alike():
     rng = np.random.default_rng(1)
-    sets = near_dup.Sets({}, 1.0, 600)
+    sets = near_dup.Sets(np.ones(1 << near_dup.DF_BITS, np.float32), 600)
     keys = np.sort(rng.integers(0, 1 << 63, 500, np.uint64))
     weights = rng.uniform(1, 5, 500).astype(np.float32)
     for kept in (450, 400, 250):
