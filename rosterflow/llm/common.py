@@ -51,10 +51,18 @@ class MembershipFilter:
     def __init__(self, keys: DataFrame, key: str, bits: int = 25):
         if not 15 <= bits <= 30:
             raise ValueError("bits must be from 15 to 30 (4 KB to 128 MB)")
-        self.pages = 1 << (bits - 15)
+        self.bits, self.pages = bits, 1 << (bits - 15)
         page, bit = self._place(F.col(key))
         self.bitmap = keys.select(page.alias("_page"), bit.alias("_bit")).groupBy("_page").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
 
+    @classmethod
+    def stored(cls, bitmaps: DataFrame, bits: int) -> MembershipFilter:
+        """One filter of the stored bitmaps of several, all of so many bits."""
+        out = cls.__new__(cls)
+        out.bits, out.pages = bits, 1 << (bits - 15)
+        out.bitmap = bitmaps.groupBy("_page").agg(F.bitmap_or_agg("_bits").alias("_bits"))
+        return out
+
     def _place(self, key: Column) -> tuple[Column, Column]:
         h = F.xxhash64(key)
         return F.shiftrightunsigned(h, 15).bitwiseAND(F.lit(self.pages - 1)), h.bitwiseAND(F.lit(32767))

@@ -4,144 +4,187 @@ Each source has a queue of its documents' tokens. A round grants every queue its
 grants in pieces of ``piece_tokens``, so what it cannot spend stays as a deficit for later rounds, whichever window or partition they
 fall in. After r rounds queue s has therefore had min(total_s, piece * floor(r * quantum_s / piece)) tokens: the round of any token, and
 its place among the tokens of all queues, follow from the token's place in its own queue by arithmetic. Windows are cut from that order
-without gaps, so only the last is padded. Queue places come from sums by (queue, block), where a block is a hash of the document's id;
-tokens are shuffled once, by block, so that a source with a third of all rows is spread like any other.
+without gaps, so only the last is padded. A window holds window / piece_tokens pieces: more sources than that take turns over windows.
 
-A source whose share is under 1/``max_queues`` cannot be held to it within a window; such sources share one queue, in hashed order.
+Queues are cut into blocks of about ``block_tokens`` of all queues' tokens, dealt by row, so that a source with a third of all rows is
+spread like any other. A block's place in its queue comes from a running sum over the table of (queue, block); tokens are shuffled once.
 """
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import zlib
 from collections.abc import Iterator
-from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import WordCache, materialize
+from .common import materialize
 
 END_ID = 1
+#: Printable ASCII and the letters of Latin-1, whose normal form is themselves and whose lower case is one letter.
+PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+#: The tokenizer's own runs, for these characters in lower case.
+RUNS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+_signs = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
+#: How byte-level vocabularies write bytes: printable Latin-1 as itself, the others in order from U+0100 on.
+BYTE_SIGNS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _signs)}
 _codes: dict[str, "WordIds"] = {}
 
 
-class WordIds(WordCache):
-    """Ids of white-space separated words as little-endian unsigned 32-bit numbers. The tokenizer drops white space and lower-cases,
-    and splits punctuation from letters, so that words are encoded apart, and sentence marks behind a letter apart from their word."""
+class WordIds:
+    """Ids of words between ASCII white space, as little-endian unsigned 32-bit numbers. The tokenizer drops white space and lower-cases,
+    so that words are encoded apart, A-Z as a-z, but for words that hold the start of a special token. Two generations of ``size`` words are kept."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, size: int = 300_000, longest: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        super().__init__(self.ids_of)
-        self.tail = re.compile(r"(.*[^\W_])([.,;:!?]+)", re.S)
-
-    def encode(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def ids_of(self, word: str) -> bytes:
-        if word.isascii() and (low := word.lower()) != word and "<|" not in word:
-            return self[low]
-        if m := self.tail.fullmatch(word):
-            return self[m[1]] + self[m[2]]
-        return self.encode(word)
+        self.tokenizer, self.size, self.longest = Tokenizer.from_file(path), size, longest
+        self.now: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.model = self.tokenizer.model
+        self.packed = [x.to_bytes(4, "little") for x in range(self.tokenizer.get_vocab_size())]
+        self.run = functools.lru_cache(20_000)(self._run)
+
+    def _run(self, run: str) -> bytes:
+        if not run.isascii():
+            run = run.encode().decode("latin-1").translate(BYTE_SIGNS)
+        return b"".join([self.packed[t.id] for t in self.model.tokenize(run)])
+
+    def encoded(self, word: bytes) -> bytes:
+        """The runs of a word of plain characters go to the model at once. All else goes through the whole tokenizer."""
+        text = word.decode()
+        if PLAIN.fullmatch(text) and "<|" not in text:
+            text = text.lower()
+            return self._run(text) if text.isalpha() else b"".join([self._run(x) if x.isalpha() else self.run(x) for x in RUNS.findall(text)])
+        return b"".join([self.packed[x] for x in self.tokenizer.encode(text, add_special_tokens=False).ids])
+
+    def words(self, text: str) -> list[bytes]:
+        plain = text.encode()
+        return plain.lower().split() if b"<|" not in plain else [w if b"<|" in w else w.lower() for w in plain.split()]
+
+    def of_texts(self, texts: list[str], most: int = 2_000_000) -> list[bytes]:
+        """The ids of each text; texts are taken together up to about ``most`` characters."""
+        out, start, size = [], 0, 0
+        for k, text in enumerate(texts):
+            size += len(text)
+            if size >= most or k + 1 == len(texts):
+                out += self._together([self.words(t) for t in texts[start : k + 1]])
+                start, size = k + 1, 0
+        return out
+
+    def _together(self, texts: list[list[bytes]]) -> list[bytes]:
+        table, now, old = dict.fromkeys(set().union(*texts)), self.now, self.old
+        new = []
+        for w in table:
+            if (ids := now.get(w)) is None:
+                if (ids := old.get(w)) is None:
+                    new.append(w)
+                    continue
+                now[w] = ids
+            table[w] = ids
+        table.update(fresh := {w: self.encoded(w) for w in new})
+        now.update(fresh if max(map(len, new), default=0) <= self.longest else {w: ids for w, ids in fresh.items() if len(w) <= self.longest})
+        if len(now) >= self.size:
+            self.old, self.now = now, {}
+        return [b"".join(map(table.__getitem__, words)) for words in texts]
 
 
 def token_ids(docs: DataFrame, tokenizer_file: str, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """Per row: id, source, n (tokens with the end id), ids (binary, without the end id). A null text is empty, a null source is ''."""
+    """Per row: id, source, n (tokens with the end id), ids (binary, without the end id), row (tells rows apart). A null text is empty,
+    a null source is ''."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer_file not in _codes:
             _codes[tokenizer_file] = WordIds(tokenizer_file)
-        get = _codes[tokenizer_file].__getitem__
         for batch in batches:
-            ids = [b"".join(map(get, re.split(r"[ \t\n\r\v\f]+", text))) if text else b"" for text in batch.column(2).to_pylist()]
+            ids = _codes[tokenizer_file].of_texts(batch.column(2).to_pylist())
             n = pa.array([len(x) // 4 + 1 for x in ids], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n, pa.array(ids, pa.binary())], ["id", "source", "n", "ids"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, source string, n bigint, ids binary")
+    ids = rows.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, source string, n bigint, ids binary")
+    return ids.withColumn("row", F.monotonically_increasing_id())
 
 
 class Rounds:
     """The closed form for queues of ``totals`` tokens with ``weights``; all places are exact integers."""
 
     def __init__(self, totals: list[int], weights: list[float], window: int, piece: int):
-        self.totals, self.piece = totals, piece
-        w = [max(1, round(x * (1 << 32) / sum(weights))) for x in weights] if totals else []
-        #: tokens that a round grants each queue
-        self.quantum = [Fraction(window * x, sum(w)) for x in w]
-        # one unit of all quanta: grants after r rounds are r * self.unit[s] // self.scale pieces
-        self.scale = sum(w) * piece
-        self.unit = [window * x for x in w]
-
-    def served(self, queue: int, rounds: int) -> int:
-        return min(self.totals[queue], rounds * self.unit[queue] // self.scale * self.piece)
+        self.totals, self.piece = np.array(totals, np.int64), piece
+        w = np.maximum(1, np.round(np.array(weights) * ((1 << 20) / max(sum(weights), 1e-300)))).astype(np.int64)
+        # grants after r rounds are r * unit // scale pieces, held as whole and part so that r * part stays below 2**63
+        self.scale, self.unit = int(w.sum()) * piece, window * w
+        self.whole, self.part = self.unit // max(self.scale, 1), self.unit % max(self.scale, 1)
+        self.known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def sums(self, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens that each queue has had after so many rounds, and their running sums from 0 on."""
+        if (found := self.known.get(rounds)) is not None:
+            return found
+        if len(self.known) >= 256:
+            self.known.clear()
+        served = np.minimum(self.totals, (rounds * self.whole + rounds * self.part // self.scale) * self.piece)
+        found = self.known[rounds] = served, np.concatenate([[0], np.cumsum(served)])
+        return found
 
     def runs(self, queue: int, start: int, stop: int) -> Iterator[tuple[int, int, int]]:
         """(first token, length, place of the first among all tokens) of the stretches of queue tokens [start, stop)."""
-        others = range(len(self.totals))
+        unit = int(self.unit[queue])
         while start < stop:
             pieces = start // self.piece + 1
-            r = -(-pieces * self.scale // self.unit[queue])
-            end = min(stop, self.served(queue, r))
-            before = sum(self.served(s, r if s < queue else r - 1) for s in others if s != queue)
-            yield start, end - start, before + start
+            r = -(-pieces * self.scale // unit)
+            served, ahead = self.sums(r)
+            behind = self.sums(r - 1)[1]
+            end = min(stop, int(served[queue]))
+            # queues before this one have had this round, those after it the one before
+            yield start, end - start, int(ahead[queue] + behind[-1] - behind[queue + 1]) + start
             start = end
 
 
-def pack(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", window: int = 2048, weights: dict[str, float] | None = None, piece_tokens: int = 256, max_queues: int = 64, blocks: int = 4096) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", window: int = 2048, weights: dict[str, float] | None = None, piece_tokens: int = 256, block_tokens: int = 2_000_000) -> DataFrame:
     """Per piece: id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset, source.
 
-    weights: target proportion by source; without it each source's share of all tokens. Sources not named share what the named leave,
-    as the tail queue. When a queue runs out the others go on with their own quanta. Every token lies in one piece, an empty text's end
-    id too. Repeated rows are packed once each. An empty table gives no pieces.
+    weights: target proportion by source; without it each source's share of all tokens. Sources not named share what the named leave, in
+    proportion to their tokens. When a queue runs out the others go on with their own quanta. Every token lies in one piece, an empty
+    text's end id too. Repeated rows and rows without an id are packed once each, whatever their length; rows of one id stand in the
+    order in which they were read. Other columns are not looked at. An empty table gives no pieces.
     """
     tokens = materialize(token_ids(docs, tokenizer_file, id_col, text_col, source_col), "tokens")
-    total = tokens.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    shares = tokens.groupBy("source").agg(F.sum("n").alias("n"))
+    own = {r.source: r.n for r in tokens.groupBy("source").agg(F.sum("n").alias("n")).collect()}  # a row for each source
+    names, total = sorted(own), sum(own.values())
+    target = [float(own[x]) for x in names]
     if weights:
-        own = {r.source: r.n for r in shares.filter(F.col("source").isin(list(weights))).collect()}
-    else:  # fewer than max_queues sources can have a share of more than 1/max_queues
-        own = {r.source: r.n for r in shares.filter(F.col("n") * max_queues > total).collect()}
-    names = sorted(own)
-    rest = total - sum(own.values())
-    target = [float((weights or own)[x]) for x in names]
-    totals = [own[x] for x in names]
-    if rest:
-        totals.append(rest)
-        target.append(max(1 - sum(target), 0.01) if weights else float(rest))
-    rounds = Rounds(totals, target, window, piece_tokens)
-    queue = F.lit(len(names))
-    for k, x in enumerate(names):
-        queue = F.when(F.col("source") == x, k).otherwise(queue)
-    dealt = tokens.withColumns({"queue": queue.cast("int"), "block": F.pmod(F.xxhash64(F.col("id")), F.lit(blocks)).cast("int")})
-    # how many tokens of its queue stand before each block: a row for each block that holds some, counts of all queues side by side
-    sums = dealt.groupBy("block").agg(*[F.sum(F.when(F.col("queue") == k, F.col("n")).otherwise(0)).alias(f"q{k}") for k in range(len(totals))]) if totals else None
-    before: dict[int, list[int]] = {}
-    if sums is not None:
-        run = [0] * len(totals)
-        for row in sorted(sums.collect()):  # at most `blocks` rows
-            before[row[0]] = list(run)
-            run = [a + b for a, b in zip(run, row[1:], strict=True)]
+        rest = sum(own[x] for x in names if x not in weights)
+        left = max(1 - sum(weights.get(x, 0.0) for x in names), 0.01)
+        target = [float(weights[x]) if x in weights else left * own[x] / rest for x in names]
+    rounds = Rounds([own[x] for x in names], target, window, piece_tokens)
+    queues = docs.sparkSession.sparkContext.broadcast({x: k for k, x in enumerate(names)})  # as many entries as sources
+    blocks = max(1, total // block_tokens)
+    dealt = tokens.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)))
+    sums = dealt.groupBy("source", "block").agg(F.sum("n").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = sums.select("block", "source", F.lit(None).cast("bigint").alias("row"), F.lit(None).cast(docs.schema[id_col].dataType).alias("id"), before.alias("n"), F.lit(None).cast("binary").alias("ids"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, at = None, []
+        q = at = 0
         for batch in batches:
             out: list[tuple] = []
-            cols = [batch.column(k).to_pylist() for k in range(6)]
-            for doc, source, n, ids, q, b in zip(*cols, strict=True):
-                if b != block:
-                    block, at = b, list(before[b])
+            cols = [batch.column(k).to_pylist() for k in range(1, 6)]
+            for source, row, doc, n, ids in zip(*cols, strict=True):
+                if row is None:  # a block's first row says where it stands in its queue
+                    q, at = queues.value[source], n
+                    continue
                 ids += END_ID.to_bytes(4, "little")
                 merged: list[list[int]] = []
-                for first, length, pos in rounds.runs(q, at[q], at[q] + n):
-                    start = first - at[q]
+                for first, length, pos in rounds.runs(q, at, at + n):
+                    start = first - at
                     while length:  # cut at the window's end
                         fits = min(length, window - pos % window)
                         if merged and merged[-1][2] + merged[-1][1] == pos and pos % window:
@@ -149,16 +192,14 @@ def pack(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col:
                         else:
                             merged.append([start, fits, pos])
                         start, length, pos = start + fits, length - fits, pos + fits
-                at[q] += n
+                at += n
                 out += [(doc, s, m, zlib.crc32(ids[4 * s : 4 * (s + m)]), n, p // window, p % window, source) for s, m, p in merged]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], fields)
 
     id_type = docs.schema[id_col].dataType
-    from pyspark.sql.pandas.types import to_arrow_type
-
     fields = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"]
     kinds = [to_arrow_type(id_type), *[pa.int64()] * 6, pa.string()]
     schema = f"doc_id {id_type.simpleString()}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, source string"
-    ordered = dealt.select("id", "source", "n", "ids", "queue", "block").repartition("block").sortWithinPartitions("block", "queue", "id", "source", "n", "ids")
+    ordered = first.unionByName(dealt.select("block", "source", "row", "id", "n", "ids")).repartition("block", "source").sortWithinPartitions("block", "source", F.asc_nulls_first("row"))
     return ordered.mapInArrow(place, schema).withColumnRenamed("doc_id", id_col)

@@ -3,8 +3,8 @@
 The merges of a text's prefix end in one token that no other choice can replace. So the table keeps a single token for each prefix: of
 the vocabulary's tokens that end there (an automaton finds them), the one whose neighbour to the left, the last token of the prefix
 before it, can stand beside it, that is, merging the two tokens' text gives the same two tokens. The ids are read off backwards.
-Pieces never run past a word start (a white-space mark after another character) or a character outside the vocabulary, so a text is cut
-there first; frequent cuts are kept in bounded caches.
+Pieces never run past a word start (a white-space mark after another character), nor between two characters that stand together in no
+piece, so a text is cut there first; frequent cuts are kept in bounded caches.
 """
 
 from __future__ import annotations
@@ -23,6 +23,21 @@ from .common import WordCache
 
 MARK = "▁"
 START = 1 << 19
+#: Marks behind a word; known words are found more often without them.
+TAIL = ".,;:!?#*$%&|<>\"')]}"
+
+
+class Pairs(dict):
+    """May two tokens (left << 20 | right) stand side by side? Answers are kept, up to ``size``."""
+
+    def __init__(self, fits, size: int = 500_000):
+        self.fits, self.size = fits, size
+
+    def __missing__(self, pair: int) -> bool:
+        if len(self) >= self.size:
+            self.clear()
+        answer = self[pair] = self.fits(pair >> 20, pair & 0xFFFFF)
+        return answer
 
 
 class PrefixTable:
@@ -49,41 +64,58 @@ class PrefixTable:
         self.found.make_automaton()
         self.lengths = [len(x) for x in self.pieces]
         self.texts = [b"%d," % i for i in range(len(self.pieces))]
-        self.pairs: dict[int, bool] = {}
+        self.pairs = Pairs(self.fits)
+        #: what the last merge of a piece put together
+        self.halves: dict[str, tuple[str, str]] = {}
         #: pairs of characters that stand together in some piece
         self.together = {x[k : k + 2] for x in self.ids for k in range(len(x) - 1)}
 
-    def merge(self, text: str) -> list[str]:
-        """The merges themselves, over a short text: the best pair first, the leftmost of equals."""
+    def merge(self, text: str, until: int = 1) -> list[str]:
+        """The merges themselves, over a short text: the best pair first, the leftmost of equals, while more than ``until`` parts stand."""
         parts = list(text)
-        while len(parts) > 1:
+        while len(parts) > until:
             best, at = min((self.rank.get(a + b, float("inf")), k) for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
             if best == float("inf"):
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def _halves(self, piece: str) -> tuple[str, str]:
+        halves = self.halves.get(piece)
+        if halves is None:
+            left, right = self.merge(piece, 2)
+            halves = self.halves[piece] = left, right
+        return halves
+
     def fits(self, left: int, right: int) -> bool:
-        """May these two tokens stand side by side? left is START where right begins the text."""
-        parts = [self.pieces[x] for x in (left, right) if x != START]
-        return self.merge("".join(parts)) == parts
+        """May these two tokens stand side by side? left is START where right begins the text. The merges that made them are undone, the
+        latest first: what then stands on both sides of their border must not be a pair that merges before the merge just undone."""
+        if left == START:
+            return len(self.merge(self.pieces[right])) == 1
+        x, y, rank = self.pieces[left], self.pieces[right], self.rank
+        limit = float("inf")
+        while True:
+            r = rank.get(x + y)
+            if r is not None and r < limit:
+                return False
+            made_x, made_y = (rank[z] if len(z) > 1 else -1.0 for z in (x, y))
+            if made_x < 0 and made_y < 0:
+                return True
+            if made_x > made_y:
+                limit, x = made_x, self._halves(x)[1]
+            else:  # of equal pairs the leftmost merges first
+                limit, y = made_y + 0.5, self._halves(y)[0]
 
     def _known_run(self, run: str) -> list[int]:
-        last, lengths, pairs = [-1] * (len(run) + 1), self.lengths, self.pairs
-        last[0] = START
+        last, lengths, pairs = [-1] * len(run) + [START], self.lengths, self.pairs
+        # place -1 stands for the start
         for end, token in self.found.iter(run):
-            end += 1
             if last[end] < 0:
                 left = last[end - lengths[token]]
-                ok = pairs.get(left << 20 | token)
-                if ok is None:
-                    if len(pairs) > 500_000:
-                        pairs.clear()
-                    ok = pairs[left << 20 | token] = self.fits(left, token)
-                if ok:
+                if left >= 0 and pairs[left << 20 | token]:
                     last[end] = token
-        out, at = [], len(run)
-        while at:
+        out, at = [], len(run) - 1
+        while at >= 0:
             token = last[at]
             out.append(token)
             at -= lengths[token]
@@ -91,19 +123,8 @@ class PrefixTable:
         return out
 
     def encode_chunk(self, chunk: str) -> list[int]:
-        if self.known.issuperset(chunk):
-            return self._known_run(chunk)
-        out: list[int] = []
-        start = 0
-        for k, ch in enumerate(chunk):
-            if ch not in self.known:
-                if start < k:
-                    out += self._known_run(chunk[start:k])
-                out += [self.byte_ids[b] for b in ch.encode()]
-                start = k + 1
-        if start < len(chunk):
-            out += self._known_run(chunk[start:])
-        return out
+        """A run of characters that stand together in pieces, or a character outside the vocabulary, which goes by its bytes."""
+        return self._known_run(chunk) if chunk[0] in self.known else [self.byte_ids[b] for b in chunk.encode()]
 
     def decode_ids(self, ids: list[int]) -> bytes:
         """The bytes of the pieces, white-space marks as spaces, the first word's own mark included."""
@@ -124,14 +145,26 @@ class Coder:
         self.bare = WordCache(self._bare)
         self.marked = WordCache(lambda x: self._bare(MARK + x))
         self.back = WordCache(lambda x: table.decode_ids([int(i) for i in x.split(b",")[:-1]]))
+        self.run = WordCache(self._encoded)
         self.line_end = self._bare("\n")
 
+    def _encoded(self, run: str) -> bytes:
+        return b"".join(map(self.table.texts.__getitem__, self.table.encode_chunk(run)))
+
     def _bare(self, chunk: str) -> bytes:
-        # a last character that no piece holds behind the one before it stands alone: the rest is more often known already
-        if len(chunk) > 2 and chunk[-2:] not in self.table.together:
-            rest = self.marked[chunk[1:-1]] if chunk[0] == MARK else self.bare[chunk[:-1]]
-            return rest + self.bare[chunk[-1]]
-        return b"".join(map(self.table.texts.__getitem__, self.table.encode_chunk(chunk)))
+        together = self.table.together
+        if len(chunk) <= self.run.longest and self.table.known.issuperset(chunk):  # a word, and marks behind it
+            k = len(chunk.rstrip(TAIL))
+            if k in (0, len(chunk)) or chunk[k - 1 : k + 1] in together:
+                return self.run[chunk]
+            return self.run[chunk[:k]] + self.run[chunk[k:]]
+        start, out = 0, []
+        for k in range(1, len(chunk)):
+            if chunk[k - 1 : k + 1] not in together:
+                out.append(self.run[chunk[start:k]])
+                start = k
+        out.append(self.run[chunk[start:]])
+        return b"".join(out)
 
     def chunks(self, text: str) -> list[bytes]:
         out: list[bytes] = []

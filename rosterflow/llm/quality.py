@@ -29,29 +29,30 @@ def split_words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, GAP))
 
 
-def line_failure(line: Column, min_line_words: int = 5, max_symbols: float = 0.2, max_short_parts: int = 3, max_bars: float = 0.15, max_stutter: float = 0.3) -> Column:
+def line_failure(line: Column, min_line_words: int = 5, max_symbols: float = 0.2, max_short_parts: int = 3, max_bars: float = 0.15, max_stutter: float = 0.3, phrase_words: int = 25) -> Column:
     """The first rule that a line breaks, or null. Blank lines break none.
 
     navigation: at least ``max_short_parts`` bars, bullets or guillemets, and more than ``max_bars`` a word; symbols: more marks and
     doubled exclamation marks than ``max_symbols`` a word; stutter: more than ``max_stutter`` of the words in runs of one word four times
-    in a row or more; boilerplate: a phrase of BOILERPLATE in a line of at most 300 characters; punctuation: fewer than ``min_line_words`` words and no sentence ending. Cheap tests stand before the counts they guard.
+    in a row or more; boilerplate: a phrase of BOILERPLATE for every ``phrase_words`` words or fewer; punctuation: fewer than
+    ``min_line_words`` words and no sentence ending. Lines of every length are judged alike. Cheap tests stand before the counts they guard.
     """
     words = F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))
-    short = F.length(line) <= 300
     bars = F.regexp_count(line, F.lit(BARS))
     stuttered = F.size(F.split(F.array_join(F.regexp_extract_all(line, F.lit(STUTTER), F.lit(0)), " "), " "))
-    phrase = F.lower(line).rlike("|".join(BOILERPLATE))
+    phrases = "(?i)" + "|".join(BOILERPLATE)
     return (
         F.when(line.rlike(BARS) & (bars >= max_short_parts) & (bars > words * max_bars), "navigation")
         .when(line.rlike(SYMBOLS + "|!!") & (F.regexp_count(line, F.lit(SYMBOLS + r"+|!!+")) > words * max_symbols), "symbols")
         .when(line.rlike(STUTTER) & (stuttered > words * max_stutter), "stutter")
-        .when(short & phrase, "boilerplate")
-        .when(short & ~line.rlike(ENDINGS) & (words > 0) & (words < min_line_words), "punctuation")
+        .when(line.rlike(phrases) & (F.regexp_count(line, F.lit(phrases)) * phrase_words >= words), "boilerplate")
+        .when(~line.rlike(ENDINGS) & (words > 0) & (words < min_line_words), "punctuation")
     )
 
 
 def line_metrics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_loss: float = 0.5) -> DataFrame:
-    """docs with the base counts, base_failed, clean_text and kept; every column of docs stays in ``row``.
+    """docs with the base counts, base_failed, clean_text and kept; every column of docs stays in ``row``, whatever its name. Repeated
+    rows are judged once each; texts are judged whole, whatever their length, each in its own row.
 
     kept is false where base_failed (fewer than 20 words, or over 30 % of the words in repeated 8-word windows), else false where the
     removed lines held more than ``max_loss`` of the words.

@@ -1,7 +1,7 @@
 """Secret scans in DataFrame operations: three patterns, and a sliding window of Shannon entropy over candidate strings.
 
-A candidate is a run of characters that keys are made of. Going along it, the window's sum of c*log2(c) over its character counts is
-brought up to date by the counts of the character that enters and of the one that leaves. A window whose entropy reaches its character
+A candidate is a run of characters that keys are made of. Going along it, the window's character counts, and the sum of c*log2(c) over
+them, are brought up to date for the character that enters and the one that leaves. A window whose entropy reaches its character
 class's threshold makes the run a finding, unless it is on the allow list, is made of words, or overlaps a finding of a pattern. A run
 of digits and separators alone is never an entropy finding; 16 digits in a row are one of the pattern hex. Offsets are code points,
 the end exclusive. A null text is the empty text.
@@ -18,10 +18,11 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{16,}"
 PATTERNS = (("assign", ASSIGN, 2, 12), ("access", ACCESS, 0, 18), ("hex", HEX, 0, 16))
 CANDIDATE = r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{20,}"
-#: Not secrets, whatever their entropy. UUIDs, runs of the alphabet or of digits, and placeholders.
+#: Not secrets, whatever their entropy, each for a whole run: UUIDs, numbers, rows of the alphabet, of digits and of keys,
+#: and keys of manuals, which end in EXAMPLE or EXAMPLEKEY or open with a placeholder.
 ALLOW = (
-    r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", r"(?i).*(abcdefghij|0123456789|qwertyuiop|example|placeholder|changeme|x{6}).*",
-    r"[0-9/_=+-]+",
+    r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", r"[0-9/_=+-]+", r"(?i)(abcdefghijklmnopqrstuvwxyz|0123456789|1234567890|qwertyuiop|asdfghjkl|zxcvbnm|[/_=+-]){1,16}",
+    r"[A-Za-z0-9/+]{0,64}EXAMPLE(KEY)?", r"(?i)(example|placeholder|changeme|x{6,})[/_=+-].*",
 )
 #: Character classes with their thresholds in bits, the first that fits: about 1 % of random keys of 20 characters stay below. Hex and
 #: what fits none (mixed case or base64 with digits) have parameters of their own.
@@ -48,18 +49,17 @@ def find_spans(pattern: str, group: int, least: int, rank: int) -> Column:
 
 
 def window_entropy(window: int) -> str:
-    """SQL for the largest entropy of any window of a string ``s``, or of the whole of a shorter one, by counts brought up to date."""
-    grow = "(({c} + 1) * log2({c} + 1) - if({c} > 0, {c} * log2({c}), 0))"
-    seen = "(length({w}) - length(replace({w}, {ch}, '')))"
-    # x.i is the place of the character that enters; before it the window holds at most `window` characters
-    before = f"substring(s, greatest(i - {window}, 1), least(i - 1, {window}))"
-    after = f"substring(s, greatest(i - {window - 1}, 1), least(i - 1, {window - 1}))"
-    leaving = f"substring(s, i - {window}, 1)"
-    out = f"if(i > {window}, {grow.format(c='(' + seen.format(w=before, ch=leaving) + ' - 1)')}, 0D)"
-    enter = grow.format(c=seen.format(w=after, ch="substring(s, i, 1)"))
-    return f"""aggregate(sequence(1, length(s)), named_struct('sum', 0D, 'best', 0D),
-        (a, i) -> named_struct('sum', a.sum - {out} + {enter},
-            'best', if(i >= {window}, greatest(a.best, log2({window}) - (a.sum - {out} + {enter}) / {window}), a.best)),
+    """SQL for the largest entropy of any window of an ASCII string ``s``, or 0 for a shorter one. The state holds the window's counts by
+    character code and their sum of c*log2(c); a step changes both by the character that enters (e) and the one that leaves (l)."""
+    grown = "(({c} + 1) * log2({c} + 1) - if({c} > 0, {c} * log2({c}), 0D))"
+    change = f"if(p.e = p.l, 0D, {grown.format(c='a.n[p.e]')} - if(p.l < 0, 0D, {grown.format(c='(a.n[p.l] - 1)')}))"
+    return f"""aggregate(
+        transform(sequence(1, length(s)), i -> named_struct('i', i, 'e', ascii(substring(s, i, 1)), 'l', if(i > {window}, ascii(substring(s, i - {window}, 1)), -1))),
+        named_struct('n', array_repeat(0, 128), 'sum', 0D, 'best', 0D),
+        (a, p) -> named_struct(
+            'n', if(p.e = p.l, a.n, transform(a.n, (c, k) -> c + if(k = p.e, 1, 0) - if(k = p.l, 1, 0))),
+            'sum', a.sum + {change},
+            'best', if(p.i >= {window}, greatest(a.best, log2({window}) - (a.sum + {change}) / {window}), a.best)),
         a -> a.best)"""
 
 
@@ -73,7 +73,8 @@ def wordlike(s: str) -> str:
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, hex_bits: float = 3.0, mixed_bits: float = 3.65, classes: tuple[tuple[str, float], ...] = CLASSES, allow: tuple[str, ...] = ALLOW) -> DataFrame:
     """Every row of docs in ``row``, with id, text, base (spans of the patterns) and spans (those and the entropy findings), by start, then
-    kind. Empty texts and tables have none. Extra columns do not matter, whatever their names."""
+    kind, then end. Empty texts and tables have none. Repeated rows are scanned once each; texts are scanned whole, whatever their length.
+    Extra columns do not matter, whatever their names."""
     d = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     d = d.withColumns({f"s{k}": find_spans(p, group, least, k) for k, (_, p, group, least) in enumerate(PATTERNS)})
     d = d.withColumn("base", F.array_sort(F.concat("s0", "s1", "s2"))).drop("s0", "s1", "s2")

@@ -226,7 +226,7 @@ def test_packing_holds_each_id_once(spark, weights):
     rng = random.Random(4)
     texts = [(i, None if i % 11 == 0 else " ".join(rng.choice(["Alpha,", "beta's", "<|endoftext|>", "don't", "x9!", "naïve."]) for _ in range(rng.choice([0, 5, 90, 3000])))) for i in range(60)]
     docs = spark.createDataFrame([(i, t, ("a", "b", "c", None)[i % 4]) for i, t in texts], "doc_id bigint, text string, source string").withColumn("queue", F.lit(9))
-    got = packing.pack(docs, WORDS, weights=weights, max_queues=8).collect()
+    got = packing.pack(docs, WORDS, weights=weights, block_tokens=20_000).collect()
     ids = {i: b"".join(x.to_bytes(4, "little") for x in [*tk.encode(t or "", add_special_tokens=False).ids, 1]) for i, t in texts}
     by_doc, by_sequence = collections.defaultdict(list), collections.defaultdict(list)
     for r in got:
@@ -271,3 +271,76 @@ def test_warc_round_trip_and_salvage(spark, tmp_path):
     b = a + len(broken) + 7
     c = b + len(parts[2])
     assert gaps == [(a, b), (c, c + len(bad)), (len(data) - len(parts[4]) + 15, len(data))]
+
+
+def test_long_and_odd_texts_are_scanned_whole(spark):
+    rng = random.Random(9)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = "".join(rng.choice(letters) for _ in range(30))
+    rows = [(1, "a-" * 50_000 + "b"), (2, "0123456789" * 10_000), (3, "x" * 100_000), (4, "é " * 50_000 + f"token={key}"), (5, "example-" + "z" * 20), (6, f"some.example.{key}"), (7, "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"), (8, "password" * 10_000)]
+    got = {r.doc_id: r.spans for r in secrets.secret_report(frame(spark, rows)).collect()}
+    assert got[1] == got[3] == got[5] == got[7] == got[8] == ""
+    assert got[2] == "hex:0:100000"
+    assert got[4] == f"assign:100000:{100_000 + 36}"
+    assert got[6] == "entropy:13:43"
+    cleaned = {r.doc_id: r for r in quality.quality_report(frame(spark, rows)).collect()}
+    assert all(cleaned[i].n_words == len(re.findall(r"[^\x20\x09-\x0D]+", t)) for i, t in rows)
+
+
+def test_lines_of_every_length_are_judged_alike(spark):
+    line = lambda n, end: "word" * n + end
+    rows = [(1, line(3, "")), (2, line(200, "")), (3, line(200, ".")), (4, "click here to read more " * 2), (5, "click here to read more " * 40), (6, "plain words of a tale " * 20 + "click here.")]
+    got = {r.i: r.f for r in spark.createDataFrame(rows, "i int, s string").select("i", quality.line_failure(F.col("s")).alias("f")).collect()}
+    assert got == {1: "punctuation", 2: "punctuation", 3: None, 4: "boilerplate", 5: "boilerplate", 6: None}
+
+
+@pytest.mark.parametrize("text", ["語" * 100_000, "東京は日本の首都です。" * 9_000, "\U0001f600" * 50_000, "1234567890" * 10_000, "0x9f8a7b" * 12_000, "a-" * 50_000, "ab" * 50_000, "aaa" * 33_333, " " * 100_000, "\n" * 1000 + "x"])
+def test_long_runs_are_encoded_as_the_library_does(text):
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    table = pieces.coder(PIECES).table
+    assert table.encode(text) == (ids := sp.encode(text))
+    assert table.decode(ids) == sp.decode(ids)
+
+
+def test_pairs_fit_as_the_merges_say():
+    table, rng = pieces.coder(PIECES).table, random.Random(6)
+    ids = [i for x, i in table.ids.items() if len(x) <= 6]
+    for _ in range(20_000):
+        a, b = rng.choice(ids), rng.choice(ids)
+        assert table.fits(a, b) == (table.merge(table.pieces[a] + table.pieces[b]) == [table.pieces[a], table.pieces[b]])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(list("abcIXÉé \t\n\r\x0b\x0c\x1c\x85.,:;!?'’İıßſΣς1²_-<|>漢\u0307\u0301\u0338\u00a0\u2028") + ["<|endoftext|>", "'s", "K"]), max_size=60).map("".join), max_size=6))
+def test_word_ids_equal_the_tokenizer(texts):
+    ids = packing._codes.setdefault("test", packing.WordIds(WORDS))
+    assert ids.of_texts(texts, most=50) == [b"".join(x.to_bytes(4, "little") for x in ids.tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
+def test_packing_takes_null_ids_many_sources_and_long_texts(spark):
+    rows = [(None, "a b c", f"s{k}") for k in range(200)] + [(1, LONG, "s0"), (2, "İ: x " * 3000, None), (2, "İ: x " * 3000, None)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), WORDS, block_tokens=5_000).collect()
+    assert sum(r.length for r in got) == 200 * 4 + 30_001 + sum(r.length for r in got if r.doc_id == 2)
+    assert len({r.source for r in got if r.doc_id is None}) == 200
+    places = sorted((r.sequence_id, r.offset, r.length) for r in got)
+    assert all(a + n == b if s == t else a + n == 2048 and b == 0 for (s, a, n), (t, b, _) in zip(places, places[1:], strict=False))
+
+
+def test_lookups_probe_the_filters_of_all_runs(spark):
+    index = exact_dedup.DigestIndex(spark, filter_bits=15)
+    for k in range(3):
+        index.flush(frame(spark, [(k, f"text {k}"), (10 + k, "shared")]))
+        if k != 1:
+            index.compact()
+    asked = frame(spark, [(100 + k, f"Text {k}") for k in range(60)] + [(200, "shared"), (201, None)])
+    assert sorted(r.doc_id for r in index.contains(asked).filter("known").collect()) == [100, 101, 102, 200]
+    let_through = index.filter().mark(index.rows(asked, "doc_id", "text"), "digest", "maybe").filter("maybe").count()
+    assert 4 <= let_through <= 10
+    assert {(r.least_id, r.last_id, r.n) for r in index.level().filter("n > 1").collect()} == {(10, 12, 3)}
+
+
+def test_hot_digests_are_spread(spark):
+    rows = [(k, "copy") for k in range(200)] + [(1000 + k, f"t{k}") for k in range(50)]
+    got = exact_dedup.exact_duplicates(frame(spark, rows)).collect()
+    assert {(r.keep_id, r.group_size) for r in got if r.doc_id < 200} == {(199, 200)}
+    assert sorted(r.doc_id for r in exact_dedup.drop_exact_copies(frame(spark, rows)).collect()) == [199, *range(1000, 1050)]
