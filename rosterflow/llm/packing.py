@@ -96,15 +96,20 @@ class WordIds:
         return [b"".join(map(table.__getitem__, words)) for words in texts]
 
 
+def word_ids(tokenizer_file: str) -> WordIds:
+    """One for each Python worker."""
+    if tokenizer_file not in _codes:
+        _codes[tokenizer_file] = WordIds(tokenizer_file)
+    return _codes[tokenizer_file]
+
+
 def token_ids(docs: DataFrame, tokenizer_file: str, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """Per row: id, source, n (tokens with the end id), ids (binary, without the end id), row (tells rows apart). A null text is empty,
     a null source is ''."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer_file not in _codes:
-            _codes[tokenizer_file] = WordIds(tokenizer_file)
         for batch in batches:
-            ids = _codes[tokenizer_file].of_texts(batch.column(2).to_pylist())
+            ids = word_ids(tokenizer_file).of_texts(batch.column(2).to_pylist())
             n = pa.array([len(x) // 4 + 1 for x in ids], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n, pa.array(ids, pa.binary())], ["id", "source", "n", "ids"])
 

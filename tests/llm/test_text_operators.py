@@ -313,7 +313,7 @@ def test_pairs_fit_as_the_merges_say():
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.lists(st.sampled_from(list("abcIXÉé \t\n\r\x0b\x0c\x1c\x85.,:;!?'’İıßſΣς1²_-<|>漢\u0307\u0301\u0338\u00a0\u2028") + ["<|endoftext|>", "'s", "K"]), max_size=60).map("".join), max_size=6))
 def test_word_ids_equal_the_tokenizer(texts):
-    ids = packing._codes.setdefault("test", packing.WordIds(WORDS))
+    ids = packing.word_ids(WORDS)
     assert ids.of_texts(texts, most=50) == [b"".join(x.to_bytes(4, "little") for x in ids.tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
