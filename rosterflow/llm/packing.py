@@ -153,7 +153,7 @@ class Rounds:
             start = end
 
 
-def pack(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", window: int = 2048, weights: dict[str, float] | None = None, piece_tokens: int = 256, block_tokens: int = 2_000_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", window: int = 2048, weights: dict[str, float] | None = None, piece_tokens: int = 256, block_tokens: int = 500_000) -> DataFrame:
     """Per piece: id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset, source.
 
     weights: target proportion by source; without it each source's share of all tokens. Sources not named share what the named leave, in
