@@ -35,7 +35,7 @@ MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 TABLE_BITS = 16
 #: Document frequencies are kept for 2**DF_BITS values of a word's hash: 2 MB whatever the vocabulary; words with one value share their sum.
 DF_BITS = 18
-TILE = 512
+TILE = 256
 
 
 def _words(text: str) -> list[bytes]:

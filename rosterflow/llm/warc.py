@@ -156,7 +156,13 @@ def payload_roles(pages: DataFrame, id_col: str, html_col: str, least: int = 0)
     rows = rows.select("id", F.unhex(F.sha2("html", 256)).alias("digest"), F.octet_length("html").alias("size")).filter(F.col("size") >= least)
     rows = materialize(rows, "payloads")
     groups = rows.groupBy("digest").agg(F.max("id").alias("leader"), F.count("*").alias("n")).filter("n > 1").select("digest", "leader")
-    return rows.join(groups, "digest").filter("id != leader").select("id", "digest", "leader")
+    return rows.join(groups, "digest").filter("not id <=> leader").select("id", "digest", "leader")
+
+
+def archive_folder(folder: str) -> tuple[arrow_fs.FileSystem, str]:
+    if folder.startswith("file:/") and "://" not in folder:
+        folder = folder.replace("file:/", "file:///", 1)
+    return arrow_fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
 
 
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0, roll_bytes: int = 16_000_000) -> DataFrame:
@@ -170,12 +176,13 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     marked = MembershipFilter(revisits, "id").mark(rows, "id", "maybe")
     # a repeated page id may stand for several payloads
     again = marked.filter("maybe").drop("maybe").withColumn("digest", F.unhex(F.sha2("html", 256)))
-    again = again.join(revisits.distinct(), ["id", "digest"], "left").select("id", "url", "html", "leader").sortWithinPartitions("id", "url", "html")
+    leaders = revisits.distinct().select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), "leader")
+    again = again.join(leaders, F.expr("id <=> _id and digest = _digest"), "left").select("id", "url", "html", "leader").sortWithinPartitions("id", "url", "html")
     first = marked.filter("not maybe").select("id", "url", "html", F.lit(None).cast(pages.schema[id_col].dataType).alias("leader"))
 
     def write(part: str):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            fs, root = arrow_fs.FileSystem.from_uri(folder if "://" in folder else folder.replace("file:/", "file:///", 1) if folder.startswith("file:/") else f"file://{folder}")
+            fs, root = archive_folder(folder)
             fs.create_dir(root, recursive=True)
             task = TaskContext.get()
             made: list[tuple[str, int, int]] = []
@@ -206,9 +213,16 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     return materialize(first.mapInArrow(write("first"), schema).unionByName(again.mapInArrow(write("again"), schema)), "files")
 
 
-def read_archives(spark: SparkSession, folder: str, names: str = "*.warc.gz") -> DataFrame:
+def read_archives(spark: SparkSession, folder: str, names: str = "*.warc.gz", listed: DataFrame | None = None) -> DataFrame:
     """Every record and every gap of the archives: kind, file, start, end, reason, page_id, url, payload_bytes, payload_digest,
-    record_type, refers_to, payload."""
+    record_type, refers_to, payload. listed: the list that write_archives returned; then no other file of the folder is read."""
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = archive_folder(folder)
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                with fs.open_input_file(f"{root}/{name}") as f:
+                    yield from run(iter([pa.RecordBatch.from_arrays([pa.array([name]), pa.array([f.read()], pa.binary())], ["path", "content"])]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
@@ -231,19 +245,26 @@ def read_archives(spark: SparkSession, folder: str, names: str = "*.warc.gz") ->
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
+    schema = "kind string, file string, start bigint, end bigint, reason string, page_id string, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to string, payload binary"
+    if listed is not None:
+        return listed.select("file").repartition("file").mapInArrow(opened, schema)
     files = spark.read.format("binaryFile").option("pathGlobFilter", names).load(folder).select("path", "content")
-    return files.mapInArrow(run, "kind string, file string, start bigint, end bigint, reason string, page_id string, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to string, payload binary")
+    return files.mapInArrow(run, schema)
 
 
 def archive_round_trip(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0) -> DataFrame:
     """Writes pages and reads them back: one row per record, with id_col, payload_bytes, payload_digest, record_type, refers_to.
 
-    A null page has an empty payload. Pages that repeat one id and payload are written once each, with one role. An empty table writes
-    nothing and reads nothing.
+    A null page has an empty payload. Pages that repeat one id and payload are written once each, with one role; a page without an id
+    has the least of all. Gaps are logged as a table beside the archives, in the folder ``gaps``: file, start, end, reason. Other
+    columns are not read. An empty table writes nothing and reads nothing.
     """
     spark, kind = pages.sparkSession, pages.schema[id_col].dataType
     folder = folder or scratch_path(spark, "archives")
-    if write_archives(pages, folder, id_col, url_col, html_col, least).isEmpty():
+    written = write_archives(pages, folder, id_col, url_col, html_col, least)
+    if written.isEmpty():
         return spark.createDataFrame([], f"{id_col} {kind.simpleString()}, payload_bytes bigint, payload_digest string, record_type string, refers_to {kind.simpleString()}")
-    r = read_archives(spark, folder).filter("kind = 'record'")
+    found = materialize(read_archives(spark, folder, listed=written).drop("payload", "url"), "read")
+    found.filter("kind = 'gap'").select("file", "start", "end", "reason").coalesce(1).write.mode("overwrite").parquet(f"{folder}/gaps")
+    r = found.filter("kind = 'record'")
     return r.select(F.col("page_id").cast(kind).alias(id_col), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))

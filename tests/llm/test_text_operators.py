@@ -344,3 +344,13 @@ def test_hot_digests_are_spread(spark):
     got = exact_dedup.exact_duplicates(frame(spark, rows)).collect()
     assert {(r.keep_id, r.group_size) for r in got if r.doc_id < 200} == {(199, 200)}
     assert sorted(r.doc_id for r in exact_dedup.drop_exact_copies(frame(spark, rows)).collect()) == [199, *range(1000, 1050)]
+
+
+def test_stale_archives_are_not_read_and_gaps_are_logged(spark, tmp_path):
+    folder = f"file://{tmp_path}/a"
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "first-000000-00099.warc.gz").write_bytes(warc.member(warc.record(77, "u", b"stale")))
+    df = spark.createDataFrame([(None, "u", "same"), (3, "u", "same"), (None, "u", "other")], "page_id bigint, url string, html string")
+    got = sorted(((r.page_id, r.record_type, r.refers_to) for r in warc.archive_round_trip(df, folder).collect()), key=repr)
+    assert got == [(3, "response", None), (None, "response", None), (None, "revisit", 3)]
+    assert spark.read.parquet(f"{folder}/gaps").count() == 0
