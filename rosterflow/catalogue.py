@@ -1,6 +1,6 @@
 """All registered queries by name, with the SQL that says the same."""
 
-from .plans import audience, campaigns, lists, people, quality, quotes, text, work  # noqa: F401
+from .plans import audience, campaigns, fields, lists, people, quality, quotes, surface, text, work  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -36,7 +36,7 @@ def title_case(x: Column) -> Column:
     """Lower case, then the first letter or digit after anything but [A-Za-z0-9_] in upper case."""
     low = F.lower(x)
     pieces = F.regexp_extract_all(low, F.lit(r"([A-Za-z0-9_]+|[^A-Za-z0-9_]+)"), F.lit(1))
-    return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike("^[a-z0-9_]"), F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1000))).otherwise(p)), "")
+    return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike("^[a-z0-9_]"), F.concat(F.upper(F.substring(p, F.lit(1), F.lit(1))), F.substring(p, F.lit(2), F.length(p)))).otherwise(p)), "")
 
 
 def _one_case(x: Column, both: bool = True) -> Column:
@@ -167,3 +167,11 @@ def cell_type(x: Column) -> Column:
         .when(F.length(digits(s)).between(7, 16) & s.rlike(r"^[+\d\s().\-]+$"), "phone").when(s.rlike(r"^-?\d+([.,]\d+)?$"), "number")
         .when(F.lower(s).rlike(r"\b(" + "|".join(COMPANY_WORDS) + r")\b"), "company").when(s.rlike(r"^\p{Lu}\p{L}+(\s\p{Lu}\p{L}+){1,3}$"), "name").otherwise("text")
     )
+
+
+def text_to_html(text: Column) -> Column:
+    """Plain text as paragraphs with line breaks; what holds tags already stays as it is, as do blank texts. Placeholders are no tags."""
+    tags = F.regexp_replace(text, r"\{\{[^}]+\}\}", "").rlike(r"(?is)<[a-z].*?>")
+    parts = F.transform(F.split(text, r"\n\s*\n", -1), lambda p: F.concat(F.lit("<p>"), F.replace(F.trim(F.regexp_replace(p, r"^\s+|\s+$", "")), F.lit("\n"), F.lit("<br>")), F.lit("</p>")))
+    page = F.concat(F.lit('<div style="font-family:Arial,Helvetica,sans-serif;font-size:14px;line-height:1.6;color:#333">'), F.array_join(parts, ""), F.lit("</div>"))
+    return F.when(F.coalesce(F.trim(text), F.lit("")) == "", text).when(tags, text).otherwise(page)

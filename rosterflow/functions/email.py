@@ -24,6 +24,27 @@ JUNK_DOMAINS = (
 TYPE_GENERIC = ("info", "contact", "sales", "support", "hello", "enquiry", "enquiries", "office", "admin", "mail", "general")
 TYPE_ROLE = ("ceo", "cfo", "cto", "hr", "marketing", "pr", "legal", "accounting")
 
+#: Hosts of trackers and tools, senders of no person, addresses made up, and providers of throw-away mailboxes.
+GARBAGE_HOSTS = (
+    "wix.com", "sentry.io", "hotjar.com", "googletagmanager.com", "google-analytics.com", "facebook.com", "twitter.com", "linkedin.com",
+    "cloudflare.com", "amazonaws.com", "azure.com", "github.com", "gitlab.com", "example.com", "test.com",
+)
+GARBAGE_PARTS = ("noreply@", "no-reply@", "donotreply@", "mailer-daemon@", "postmaster@", "localhost", "@example.", "@test.")
+THROW_AWAY = (
+    "mailinator.com", "guerrillamail.com", "tempmail.com", "throwaway.email", "fakeinbox.com", "10minutemail.com", "temp-mail.org",
+    "sharklasers.com", "yopmail.com",
+)
+
+
+def is_garbage(email: Column) -> Column:
+    """To be rejected at once: null, a listed host or sender, six digits in a row or one or two letters and digits before the @, a local
+    part of one character, or no address at all."""
+    low = F.trim(F.lower(email))
+    ends = "(" + "|".join(h.replace(".", r"\.") for h in GARBAGE_HOSTS) + ")$"
+    parts = "|".join(x.replace(".", r"\.") for x in GARBAGE_PARTS)
+    bad = low.rlike(ends) | low.rlike(parts) | low.rlike("[0-9]{6,}@") | low.rlike("^[a-z]{1,2}[0-9]+@")
+    return F.coalesce(bad | domain(low).isin(*THROW_AWAY) | (F.length(local_part(low)) == 1) | ~low.contains("@") | ~low.contains("."), F.lit(True))
+
 
 def extract_emails(text: Column) -> Column:
     """All addresses of a text, lower-cased, each once, in order of appearance; an empty array for null."""

@@ -115,7 +115,7 @@ def sequence_exhausted(recipients: DataFrame, events: DataFrame, items: DataFram
 
 def unsnooze(items: DataFrame, as_of: str) -> DataFrame:
     due = (F.col("status") == "snoozed") & (F.col("snoozed_until") <= F.lit(as_of).cast("timestamp"))
-    return items.withColumn("status", F.when(due, "open").otherwise(F.col("status"))).withColumn("snoozed_until", F.when(due, None).otherwise(F.col("snoozed_until")))
+    return items.withColumns({"status": F.when(due, "open").otherwise(F.col("status")), "snoozed_until": F.when(due, None).otherwise(F.col("snoozed_until"))})
 
 
 def advance_sequences(recipients: DataFrame, steps: DataFrame, events: DataFrame, as_of: str, most: int = 50) -> DataFrame:

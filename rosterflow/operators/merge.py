@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.contact import field_score, mergeable_company
@@ -104,8 +104,23 @@ def merge_by_length(contacts: DataFrame, key: str, ord_col: str = "ord", phones:
     """Longest texts, the first of equals; the first distinct phones; all sources."""
     longest = lambda c: F.max_by(F.col(c), F.struct(F.length(c), -F.col(ord_col)))
     texts = [c for c in ("contact_name", "company_name", "website") if c in contacts.columns]
-    in_order = F.transform(F.array_sort(F.collect_list(F.when(F.col("phone").isNotNull(), F.struct(ord_col, "phone")))), lambda x: x["phone"])
-    return contacts.groupBy(key).agg(*[longest(c).alias(c) for c in texts], F.slice(F.array_distinct(in_order), 1, phones).alias("phones"), F.sort_array(F.collect_set("source")).alias("sources"))
+    # the first distinct phones: each number's first place is found before numbers of a key meet
+    numbers = contacts.filter("phone is not null").groupBy(key, "phone").agg(F.min(ord_col).alias("_at"))
+    first = numbers.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy("_at"))).filter(F.col("_rank") <= phones)
+    first = first.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_rank", "phone"))).getField("phone").alias("phones"))
+    merged = contacts.groupBy(key).agg(*[longest(c).alias(c) for c in texts], F.sort_array(F.collect_set("source")).alias("sources"))
+    return merged.join(first, key, "left").withColumn("phones", F.coalesce("phones", F.array().cast("array<string>")))
+
+
+def merge_two_keys(contacts: DataFrame, ord_col: str = "ord", profile_confidence: int = 25) -> DataFrame:
+    """Contacts with an e-mail merge by it; those without, but with a name and a source URL, by these, with a confidence of at most
+    ``profile_confidence``. Others go. kind: email or profile; rank: e-mail rows come first."""
+    name = F.lower(F.trim(F.regexp_replace(F.coalesce("contact_name", F.lit("")), r"\s+", " ")))
+    has = F.coalesce(F.col("email"), F.lit("")) != ""
+    by_email = merge_contacts(contacts.filter(has).withColumn("key", F.lower("email")), "key", ord_col).withColumn("kind", F.lit("email"))
+    profiles = contacts.filter(~has & (name != "") & (F.coalesce("source_url", F.lit("")) != "")).withColumn("key", F.concat(name, F.lit("|"), F.lower("source_url")))
+    profiles = merge_contacts(profiles.withColumn("confidence", F.least("confidence", F.lit(profile_confidence))), "key", ord_col).withColumn("kind", F.lit("profile"))
+    return by_email.unionByName(profiles).withColumn("rank", F.when(F.col("kind") == "email", 1).otherwise(2))
 
 
 def import_batch(rows: DataFrame, is_valid, id_col: str = "id") -> DataFrame:

@@ -24,23 +24,18 @@ def distinct_on(df: DataFrame, keys: list[str], order: list[Column]) -> DataFram
 
 
 def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int, total: str | None = None) -> DataFrame:
-    """At most n rows of each key, with the key's row count where asked for."""
-    w = W.partitionBy(*keys)
-    df = df.withColumn("_rank", F.row_number().over(w.orderBy(*order)))
-    if total:
-        df = df.withColumn(total, F.count("*").over(w))
-    return df.filter(F.col("_rank") <= n).drop("_rank")
+    """At most n rows of each key, with the key's row count where asked for. Counts are aggregated apart, so that the ranks' window can
+    drop rows before the shuffle."""
+    top = df.withColumn("_rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col("_rank") <= n).drop("_rank")
+    return top.join(df.groupBy(*keys).agg(F.count("*").alias(total)), keys) if total else top
 
 
-#: Optional predicates by name. Unknown names raise; None leaves a predicate out.
+#: Optional predicates by name. Unknown names are ignored; None leaves a predicate out.
 Filters = dict[str, Callable[[object], Column]]
 
 
 def where(df: DataFrame, allowed: Filters, given: dict[str, object]) -> DataFrame:
-    unknown = set(given) - set(allowed)
-    if unknown:
-        raise ValueError(f"unknown filters: {sorted(unknown)}")
-    parts = [allowed[k](v) for k, v in given.items() if v is not None]
+    parts = [allowed[k](v) for k, v in given.items() if k in allowed and v is not None]
     return df.filter(reduce(lambda a, b: a & b, parts)) if parts else df
 
 
@@ -117,3 +112,51 @@ def text_of_list(column: str, distinct: bool = True) -> Column:
 
 def typed_null(kind: T.DataType) -> Column:
     return F.lit(None).cast(kind)
+
+
+def normalized_in(column: str, values: list[str]) -> Column:
+    """Is the trimmed, lower-cased text one of the values, trimmed and lower-cased too?"""
+    return F.lower(F.trim(F.col(column))).isin([v.strip().lower() for v in values])
+
+
+def enrichment(df: DataFrame, by: str, columns: list[str]) -> DataFrame:
+    """by, rows, rate: filled cells of the columns as a share of all."""
+    filled = [F.when(F.nullif(F.trim(F.col(c).cast("string")), F.lit("")).isNotNull(), 1).otherwise(0) for c in columns]
+    return df.groupBy(by).agg(F.count("*").alias("rows"), F.round(F.sum(reduce(lambda a, b: a + b, filled)) / (len(columns) * F.count("*")), 4).alias("rate"))
+
+
+def keep_least(df: DataFrame, keys: list[str], id_col: str) -> DataFrame:
+    """Of the rows of a key the one with the least id. Rows with a null in the key have no duplicates."""
+    whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    first = df.filter(whole).groupBy(*keys).agg(F.min_by(F.struct(*df.columns), id_col).alias("_first")).select("_first.*")
+    return first.unionByName(df.filter(~whole))
+
+
+def lookup(df: DataFrame, small: DataFrame, key: str, most: int = 100_000, how: str = "inner") -> DataFrame:
+    """A join that sends the small side to all tasks if it has at most ``most`` rows, and else shuffles."""
+    few = small.limit(most + 1).count() <= most
+    return df.join(F.broadcast(small) if few else small, key, how)
+
+
+def update_from(df: DataFrame, other: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """df with the columns of the matching row of other, which has each key once; rows without a match stay as they are."""
+    come = other.select(*keys, *[F.col(c).alias(f"_{c}") for c in columns], F.lit(True).alias("_come"))
+    out = df.join(come, keys, "left").withColumns({c: F.when(F.col("_come"), F.col(f"_{c}")).otherwise(F.col(c)) for c in columns})
+    return out.select(*df.columns)
+
+
+def ranked(column: str, values: list[str]) -> Column:
+    """The place of a value in a list, others last: an order by cases."""
+    return F.coalesce(*[F.when(F.col(column) == v, k) for k, v in enumerate(values)], F.lit(len(values)))
+
+
+def after(df: DataFrame, key: str, last: object, n: int) -> DataFrame:
+    """The next n rows by key: paging by the last key seen."""
+    return df.filter(F.col(key) > F.lit(last)).orderBy(key).limit(n)
+
+
+def json_merge(old: Column, new: Column) -> Column:
+    """Top-level merge of two JSON objects: the new one's fields win. Null counts as an empty object."""
+    parsed = lambda x: F.coalesce(F.from_json(x, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    kept = F.map_filter(parsed(old), lambda k, v: ~F.map_contains_key(parsed(new), k))
+    return F.to_json(F.map_concat(kept, parsed(new)))

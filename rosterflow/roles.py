@@ -54,6 +54,19 @@ ROLES = {
         substring(o_orderpriority, 1, 1) as office_code, o_orderkey as af_sequence, cast(o_orderdate as date) as valid_until, 0.5 + (o_orderkey % 5) / 4.0 as rate from {orders}""",
     "quote_items": """select l_orderkey as quote_id, l_linenumber as line, l_quantity as quantity, l_extendedprice / l_quantity as unit_price, l_discount * 100 as discount_percent,
         l_tax * 100 as tax_percent, case when l_returnflag = 'A' then 'm2' else 'piece' end as unit_type from {lineitem}""",
+    "contacts": """select c_custkey as id, cast(floor(c_custkey / 4) as bigint) as k,
+        case cast(c_custkey % 11 as int) when 0 then concat('Info@firm', cast(c_custkey % 31 as string), '.com') when 1 then 'noreply@wix.com' when 2 then concat('john.smith@mail.', lower(c_mktsegment), '.org')
+            when 3 then concat('x', cast(c_custkey as string), '@shop.example') when 4 then null when 5 then 'ceo@yopmail.com' when 6 then concat('anna_', lower(c_mktsegment), '@sub.google.com')
+            when 7 then '1234567@bulk.net' when 8 then 'q@tiny.io' when 9 then concat(' Sales@Firm', cast(c_custkey % 31 as string), '.de') else concat('desk', cast(cast(floor(c_custkey / 4) as bigint) as string), '@plain.net') end as email,
+        case cast(c_custkey % 5 as int) when 0 then concat('Name: ', lower(c_mktsegment), ' von berg') when 1 then concat(c_mktsegment, ' SMITH') when 2 then 'Mary O''Neil' when 3 then null else concat(' Ann ', initcap_(c_mktsegment), ' ') end as contact_name,
+        case cast(c_custkey % 4 as int) when 0 then concat(c_mktsegment, ' GMBH') when 1 then concat('Company: Acme ', cast(c_custkey % 9 as string)) when 2 then '' else concat('Firm ', cast(c_custkey % 13 as string)) end as company_name,
+        case cast(c_custkey % 6 as int) when 0 then concat('Tel: +49 (30) ', cast(100000 + c_custkey as string)) when 1 then '2019' when 2 then '12345' when 3 then null when 4 then concat('0', cast(5550000 + c_custkey as string)) else '+1-202-555-0143' end as phone,
+        case cast(c_custkey % 3 as int) when 0 then concat('https://www.firm', cast(c_custkey % 31 as string), '.com/about') when 1 then 'https://linkedin.com/in/x' else null end as website,
+        case cast(c_custkey % 7 as int) when 0 then 'Germany' when 1 then 'france' when 2 then null when 3 then 'Email: none' else 'United Kingdom of Great Britain and more' end as country,
+        case cast(c_custkey % 4 as int) when 0 then 'Paris' when 1 then 'Berlin: Mitte' when 2 then null else 'London' end as city,
+        case cast(c_custkey % 3 as int) when 0 then 'aiMiner' when 1 then 'table' else 'page' end as source, cast(c_custkey % 90 as int) as confidence from {customer}""".replace("initcap_(c_mktsegment)", "concat(substring(c_mktsegment, 1, 1), lower(substring(c_mktsegment, 2, 20)))"),
+    "cards": """select c_custkey as id, concat('Company: Firm ', cast(c_custkey % 13 as string), chr(10), 'Contact: Person ', cast(c_custkey as string), chr(10), case when c_custkey % 5 = 0 then '' else concat('E-mail: P', cast(c_custkey as string), '@firm.com', chr(10)) end,
+        'no label here', chr(10), 'Telefon - +49 30 ', cast(100000 + c_custkey as string), chr(10), chr(10), 'Firma: Other ', cast(c_custkey % 7 as string), chr(10), 'Web: other', cast(c_custkey % 7 as string), '@other.de', chr(10), 'Phone: 12') as text from {customer}""",
     "mining_results": f"""select c_custkey as id, cast(c_custkey % 40 as int) as job_id, c_name as contact_name,
         concat({EMAIL.format(k="c_custkey")}, case when c_custkey % 3 = 0 then concat(',', {EMAIL.format(k="(c_custkey + 7)")}) else '' end) as emails,
         case when c_custkey % 8 = 0 then cast(null as string) else 'imported' end as status, c_acctbal as score from {{customer}}""",
@@ -91,5 +104,5 @@ def oracle(sql: str, *roles: str) -> str:
     if body[:14].lower() == "with recursive":
         return f"with recursive {', '.join(parts)}, {body[14:].strip()}" if parts else body
     if body[:5].lower() == "with ":
-        return f"with {', '.join(parts)}, {body[5:]}"
+        return f"with {', '.join(parts)}, {body[5:]}" if parts else body
     return f"with {', '.join(parts)} {body}" if parts else body
