@@ -13,7 +13,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,10 +37,13 @@ FURNITURE = frozenset("nav aside footer form button select input dialog menu hea
 WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo cookie cookies consent notice gdpr newsletter subscribe subscription popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs sidebar widget related share sharing social comment comments respond disqus replies footer header masthead toolbar pagination pager login signup search skip".split()
 )
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+OPEN = re.compile(r"<(?=!--|[!?]|/?[a-zA-Z])")
+NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+VALUE_END = re.compile(r"[>\"']")
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？]")
-INLINE_LINK = frozenset(["a"])
+#: A block's path is that of its nearest elements, so that pages of open tags without end stay linear.
+DEEPEST = 64
 HOMES = ("article", "main")
 
 
@@ -48,6 +51,38 @@ HOMES = ("article", "main")
 SITE = frozenset("site page global top nav menu".split())
 
 
+class Tags:
+    """Tags and comments of a page, in order. A quote that does not close before the page ends is no quote; where the last one of a kind
+    stands is looked up once, so that open quotes cost no second pass."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, {q: page.rfind(q) for q in "\"'"}
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """(start, end, closing, tag, attributes) of the next one from ``at`` on; the tag is empty for comments and declarations."""
+        page = self.page
+        while m := OPEN.search(page, at):
+            start = m.start()
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                return start, len(page) if end < 0 else end + 3, False, "", ""
+            if page[start + 1] in "!?":
+                end = page.find(">", start)
+                return start, len(page) if end < 0 else end + 1, False, "", ""
+            name = NAME.match(page, start + 1)
+            k = name.end()
+            while (q := VALUE_END.search(page, k)) and q[0] != ">":
+                k = q.end()
+                if self.last[q[0]] >= k:
+                    k = page.find(q[0], k) + 1
+            if not q:
+                q = re.compile(">").search(page, name.end())  # an open quote ran to the end: the tag ends at the first bracket
+            if not q:  # a tag that the page's end cuts off
+                return start, len(page), False, "", ""
+            return start, q.end(), bool(name[1]), name[2], page[name.end() : q.start()]
+        return None
+
+
 def _furniture(tag: str, attributes: str, path: list[str]) -> int:
     """2: furniture by its tag or a whole name; 1: a name holds a word of furniture; 0: neither."""
     if tag in FURNITURE or (tag == "header" and "article" not in path and "main" not in path):
@@ -72,10 +107,12 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
     hidden: list[bool] = []
     names: list[str] = []
     parts: list[str] = []
-    linked, at, where, buried, marked = 0, 0, (), False, 0
+    linked, at, where, buried, marked, anchors, shut, filled = 0, 0, (), False, 0, 0, 0, False
+    tags, opened = Tags(page), Counter()
 
     def end_block() -> None:
-        nonlocal linked, parts
+        nonlocal linked, parts, filled
+        filled = False
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
@@ -83,31 +120,36 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
         parts, linked = [], 0
 
     def add(text: str) -> None:
-        nonlocal linked, where, buried
+        nonlocal linked, where, buried, filled
         if text:
-            if not parts or not "".join(parts).strip():
-                where, buried = tuple(x for x in names if x in BLOCKS or "#" in x), any(hidden)
+            if not filled and not text.isspace():
+                where, buried, filled = tuple(x for x in names[-DEEPEST:] if x in BLOCKS or "#" in x), shut > 0, True
             parts.append(text)
-            if "a" in path:
+            if anchors:
                 linked += len(text)
 
     def pop(k: int) -> None:
-        for tag in path[k:]:
+        nonlocal anchors, shut
+        for tag, is_hidden in zip(path[k:], hidden[k:], strict=True):
+            opened[tag] -= 1
+            anchors -= tag == "a"
+            shut -= is_hidden
             if tag in BLOCKS:
                 end_block()
         del path[k:], hidden[k:], names[k:]
 
     while True:
-        m = TOKEN.search(page, at)
-        add(page[at : m.start()] if m else page[at:])
+        m = tags.next(at)
+        add(page[at : m[0]] if m else page[at:])
         if not m:
             break
-        at = m.end()
-        closing, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        _, at, closing, tag, attributes = m
         if not tag:
             continue
         tag = tag.lower()
         if closing:
+            if not opened[tag]:
+                continue
             for k in range(len(path) - 1, -1, -1):
                 if path[k] == tag:
                     pop(k)
@@ -141,6 +183,9 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
         kind = _furniture(tag, attributes, path)
         marked += kind == 1
         hidden.append(kind == 2)
+        anchors += tag == "a"
+        shut += kind == 2
+        opened[tag] += 1
         names.append(f"{tag}#{marked}" if kind == 1 else tag.replace("#", ""))
         path.append(tag)
     end_block()
@@ -182,12 +227,15 @@ def extract(page: str, threshold: float = 0.15, smooth: float = 0.5) -> str:
         s *= math.prod(share[x] ** 2 for x in path if "#" in x) * math.prod(1 - share[h] for h in homes if h not in path)
         score[path] = s if links[path] <= 0.5 * length[path] else 0.0
     best = max(score.values(), default=0.0)
+    if not best:  # links alone
+        return ""
     return "\n".join(text for path, text, _, _ in found if score[path] >= threshold * best)
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row per page, in place: id_col, url_col, text, n_chars. A null page is empty; a page without content has an empty text.
-    Repeated pages each give a row; other columns are not read."""
+    """One row per page, in place: id_col, url_col, text, n_chars. A null page is empty; a page without content, such as one of links
+    alone, has an empty text. Repeated pages each give a row; pages are read whole, whatever their length; paths of equal scores are kept
+    or dropped alike. Other columns are not read. An empty table gives an empty result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -4,11 +4,11 @@ A word's segmentations into the pieces of an existing vocabulary are weighted by
 up all of them. The vocabulary's own scores (a merge vocabulary has ranks, which Zipf's law turns into log-probabilities) are the prior;
 how often the vocabulary's own encoding uses each piece in the distinct words of training brings them to the corpus. Pieces do not run
 past word starts, so a document's lattice is its words' lattices in a row and its marginal probability their product; the recursion
-runs once for each distinct word of the corpus. A word seen in training also has one edge of its own across the lattice, with its
-share of the training tokens; the pieces get the mass that training left to unseen words (the share of tokens seen once).
+runs once for each distinct word of the corpus. A document ends with the probability that training gives to ends among its tokens.
 
 Word counts are made in bounded tables within the tasks and added up by word. The most frequent words (at most ``head``, each of at
-most 64 bytes) are sent to all tasks; all others meet their counts in a join on the word, by (document, word).
+most 64 bytes) are sent to all tasks; all others meet their scores in a join on the word, by (document, word), where longer words that
+many documents hold are spread.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, head_of, materialize
+from .common import Spread, fold_of, head_of, materialize
 
 END = b""  # no word is empty: the key of the end token
 HELD_OUT_FOLDS = 10
@@ -99,17 +99,17 @@ def score_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", te
     """One row per row of docs: id_col, held_out, n_tokens, n_known, train_tokens, base_score, score (both log10).
 
     The model learns from rows whose id's crc32 modulo folds is not 0. A null text is empty: its end is its only token. Repeated rows
-    count as often as they stand. Without training rows every word is unseen.
+    count as often as they stand. Without training rows every word is unseen. Texts are scored whole, whatever their length; words of
+    equal counts count alike. Other columns are not read. An empty table gives an empty result.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("held", fold_of(F.col("id"), folds) == 0)
     counts = rows.select("text", "held").mapInArrow(_count, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
     counts = materialize(counts, "words")
-    n, v, once, ends = counts.agg(
-        F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.count_if(F.col("c") == 1), F.coalesce(F.sum(F.when(F.col("word") == END, F.col("c"))), F.lit(0))
+    n, v, ends = counts.agg(
+        F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.coalesce(F.sum(F.when(F.col("word") == END, F.col("c"))), F.lit(0))
     ).first()
-    unseen = min(max(once, 1) / n, 0.5) if n else 1.0
     stop = (ends + 1) / (n + 2)
     floor = math.log10(n + 0.1 * (v + 1))
 
@@ -119,23 +119,14 @@ def score_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", te
         pieces = Lattice(model_file, uses)
         for batch in batches:
             words, cs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            score = []
-            for word, c in zip(words, cs, strict=True):
-                own = (1 - unseen) * c / n if n else 0.0
-                if word == END:
-                    score.append(math.log10(own + unseen * stop))
-                    continue
-                spelled = math.log10(unseen * (1 - stop)) + pieces.log10(word.decode(errors="replace"))
-                if own:  # own + spelled, where the second may be too small for a float
-                    spelled = math.log10(own) + math.log1p(10 ** min(spelled - math.log10(own), 300)) / math.log(10)
-                score.append(spelled)
+            score = [math.log10(stop) if w == END else math.log10(1 - stop) + pieces.log10(w.decode(errors="replace")) for w in words]
             base = [math.log10(c + 0.1) - floor for c in cs]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([int(c > 0) for c in cs], pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())], ["word", "known", "base", "score"])
 
     kinds = "word binary, known bigint, base double, score double"
     frequent = head_of(counts.filter((F.length("word") <= 64) & (F.col("word") != END) & (F.col("c") > 0)), "c", head)
     table = {bytes(r.word): (r.known, r.base, r.score) for r in frequent.unionByName(counts.filter(F.col("word") == END)).coalesce(6).mapInArrow(scored, kinds).collect()}
-    table.setdefault(END, (0, math.log10(0.1) - floor, math.log10(unseen * stop)))
+    table.setdefault(END, (0, math.log10(0.1) - floor, math.log10(stop)))
     sent = docs.sparkSession.sparkContext.broadcast(table)
 
     def per_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +164,8 @@ def score_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", te
     parts = marked.mapInArrow(per_document, kinds_of)
     seen = parts.filter("word is not null").select("id", "mark", "held", "word", "times")
     words = counts.filter(F.col("word") != END).mapInArrow(scored, kinds)
-    seen = seen.join(words, "word").select(
+    spread = Spread(counts.filter(F.length("word") > 64), "word", "c")
+    seen = spread.join(seen, words, "word", by="mark").select(
         "id", "mark", "held", F.lit(0).cast("bigint").alias("rows"), F.lit(0).cast("bigint").alias("tokens"),
         (F.col("times") * F.col("known")).alias("n_known"), (F.col("times") * F.col("base")).alias("base"), (F.col("times") * F.col("score")).alias("score"),
     )

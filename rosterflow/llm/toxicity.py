@@ -2,9 +2,9 @@
 
 Labels are by document. Tokens get theirs from them: in the toxic texts of a bounded sample, a token is toxic if its word or its stem
 (the first five letters) stands in many different places of toxic texts and hardly any of others; a place is the pair of neighbouring
-words, so that copies of one text count once. The field has two states, weights for hashed features of the token (word, stems) and for
-transitions, and is trained on those token labels by gradient. Forward-backward gives each token's marginal; a logistic over the
-largest marginal and the expected number of toxic tokens, fitted on the sample, gives the document's score.
+words, so that copies of one text count once. The field has two states, weights for hashed features of the token (word, stems) and for transitions, and is trained on those token labels by gradient. Forward-backward gives
+each token's marginal; a logistic over the largest marginal and the expected number of toxic tokens, fitted on the sample, gives the
+document's score.
 """
 
 from __future__ import annotations
@@ -80,7 +80,7 @@ def token_labels(texts: list[list[bytes]], toxic: list[int], least: int = 4, pur
         plain = [normal(w) for w in words]
         for k, w in enumerate(plain):
             if len(w) >= 3:
-                place = hash((plain[k - 1] if k else b"", plain[k + 1] if k + 1 < len(plain) else b""))
+                place = zlib.crc32((plain[k - 1] if k else b"") + b" " + (plain[k + 1] if k + 1 < len(plain) else b""))
                 places[w][label].add(place)
                 if len(w) >= 6:
                     places[b"^" + w[:5]][label].add(place)
@@ -207,25 +207,27 @@ def summaries(field: Field, texts: list[list[bytes]], emissions: WordCache) -> t
     return largest, expected
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, folds: int, per_class: int, longest: int) -> tuple[list[str], list[int], float]:
-    """At most ``per_class`` labelled texts of each class, of at most ``longest`` characters, by the hash of their ids; and the share of
-    toxic ones among all labelled rows outside the held-out fold."""
+def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, folds: int, per_class: int) -> tuple[list[str], list[int], float]:
+    """At most ``per_class`` labelled texts of each class by the hash of their ids, of any length; and the share of toxic ones among all
+    labelled rows outside the held-out fold. Of several rows of one id the least text counts; null texts are empty."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter("label in (0, 1)").filter(fold_of(F.col("id"), folds) != 0)
     share = known.agg(F.avg("label")).first()[0] or 0.0
     picked = [known.filter(F.col("label") == k).select("id", "label").orderBy(F.xxhash64("id"), "id").limit(per_class) for k in (0, 1)]
     ids = F.broadcast(picked[0].unionByName(picked[1]).groupBy("id").agg(F.max("label").alias("label")))  # at most 2 * per_class rows
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.length("text") <= longest).join(ids, "id").select("id", "text", "label")
-    rows = sorted({(r.id, r.text, r.label) for r in rows.collect()})
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(ids, "id")
+    rows = rows.groupBy("id").agg(F.min("text").alias("text"), F.max("label").alias("label"))  # a row an id: at most 2 * per_class
+    rows = sorted((r.id, r.text, r.label) for r in rows.collect())
     return [r[1] for r in rows], [r[2] for r in rows], share
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = HELD_OUT_FOLDS, per_class: int = 2000, longest: int = 20_000, with_spans: bool = False) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = HELD_OUT_FOLDS, per_class: int = 2000, with_spans: bool = False) -> DataFrame:
     """One row per row of docs: id_col, held_out, score, predicted; with_spans adds the offending offsets (code points, end exclusive).
 
     Only labels of rows outside the held-out fold are read, at most ``per_class`` of each class. Without labels of both classes every
-    score is the share of toxic rows. A null or empty text has no tokens and scores as one without toxic tokens. Texts go in whole.
+    score is the share of toxic rows. A null or empty text has no tokens and scores as one without toxic tokens. Texts go in whole,
+    whatever their length. Repeated rows each give a row, with one score. Other columns are not read.
     """
-    field = train(*training_sample(docs, labels, id_col, text_col, label_col, folds, per_class, longest))
+    field = train(*training_sample(docs, labels, id_col, text_col, label_col, folds, per_class))
     sent = docs.sparkSession.sparkContext.broadcast(field)
     kind = docs.schema[id_col].dataType.simpleString()
 

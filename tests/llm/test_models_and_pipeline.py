@@ -178,3 +178,104 @@ def test_pipeline_stages_take_effect(spark):
     first = ids(pipeline.STAGES[0][1](spark, docs, SF))
     long_enough = {r.doc_id for r in docs.collect() if len(r.text.split()) >= 20}
     assert len(first & good & long_enough) >= 0.98 * len(good & long_enough)
+
+
+@pytest.mark.parametrize("page", ["<div>x" * 17_000, "<a '" * 25_000, '<a "' * 25_000, "<ul>" + "<li><a href=/a>Menu entry</a></li>" * 3_000 + "</ul>", "</p>" * 25_000, "<" * 100_000, "<!--" * 25_000, "<b>x" * 25_000])
+def test_odd_pages_take_no_longer_than_their_length_allows(page):
+    import time
+
+    began = time.perf_counter()
+    html_extract.extract(page)
+    assert time.perf_counter() - began < 5
+
+
+def test_a_page_of_links_alone_has_no_text():
+    assert html_extract.extract("<div><ul>" + "".join(f"<li><a href=/{k}>Menu entry {k}, here.</a></li>" for k in range(9)) + "</ul></div>") == ""
+
+
+def test_toxic_scores_are_those_of_the_field(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.limit(60)
+    field = toxicity.train(*toxicity.training_sample(docs, labels, "doc_id", "text", "toxic", 5, 2000))
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, labels).collect()}
+    for r in docs.collect():
+        words = (r.text or "").encode().lower().split()
+        g = [field.emission(w) for w in words]
+        (a, b), (c, d) = np.exp(field.transitions)
+        # forward and backward over both states, each step scaled
+        f, back = np.ones((len(g), 2)), np.ones((len(g), 2))
+        for k, x in enumerate(g):
+            prior = f[k - 1] @ np.array([[a, b], [c, d]]) if k else np.ones(2)
+            f[k] = prior * np.array([1.0, x])
+            f[k] /= f[k].sum()
+        for k in range(len(g) - 2, -1, -1):
+            back[k] = np.array([[a, b], [c, d]]) @ (back[k + 1] * np.array([1.0, g[k + 1]]))
+            back[k] /= back[k].sum()
+        p = f * back
+        p = p[:, 1] / p.sum(1) if len(g) else np.zeros(1)
+        expected = field.score(np.array([p.max()]), np.array([p.sum() if len(g) else 0.0]))[0]
+        assert abs(got[r.doc_id] - expected) < 1e-6
+
+
+def test_training_keeps_long_and_repeated_rows(spark):
+    bad = "you utter scum " * 5_000
+    docs = spark.createDataFrame([(k, bad if k % 2 else "a fine day in the park") for k in range(40)] + [(1, bad)] * 30 + [(7, None)], "doc_id bigint, text string").withColumns({"label": F.lit(3), "held_out": F.lit("x"), "id": F.lit(0)})
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id bigint, toxic int")
+    texts, toxic, _ = toxicity.training_sample(docs, labels, "doc_id", "text", "toxic", 5, 2000)
+    assert len(texts) == len({k for k in range(40) if zlib.crc32(str(k).encode()) % 5}) and any(len(t) > 20_000 for t in texts)
+    assert toxicity.score_toxicity(docs, labels).count() == 71
+
+
+def test_weighted_recall_against_brute_force(spark):
+    rng = random.Random(14)
+    word = lambda: f"w{int(rng.paretovariate(0.4)) % 20_000}"
+    rows = []
+    for _ in range(70):
+        base = [word() for _ in range(rng.choice([80, 200, 500]))]
+        for copy in range(7):
+            text = list(base)
+            for _ in range(copy and rng.randrange(1, max(2, len(base) // 40))):
+                text[rng.randrange(len(text))] = word()
+            rows.append((len(rows), " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    sets = near_dup.Sets(near_dup.inverse_frequencies(docs.select("text")), 1)
+    held = [sets.weighted(t.encode().lower().split()) for _, t in rows]
+    links = [(s, a, b) for a, b in itertools.combinations(range(len(rows)), 2) if a // 7 == b // 7 and (s := near_dup.similarity(held[a], held[b])) < 1]
+    of = {r.doc_id: r.class_id for r in near_dup.near_duplicates(docs).collect()}
+    for least in (0.8, 0.9):
+        pairs = [(a, b) for s, a, b in links if s >= least]
+        assert sum(of[a] == of[b] for a, b in pairs) >= 0.98 * len(pairs) > 50, (least, len(pairs))
+    assert all(a // 7 == b // 7 for a, b in of.items())
+
+
+def test_links_between_members_that_never_lead_are_found(spark):
+    """A chain of revisions: each is like the next, hardly any like the text that shares the most buckets."""
+    rng = random.Random(8)
+    word = lambda: "w" + str(rng.randrange(10**6))
+    rows = []
+    for chain in range(6):
+        text = [word() for _ in range(300)]
+        for step in range(12):
+            rows.append((chain * 100 + step, " ".join(text)))
+            at = rng.randrange(280)
+            text[at : at + 14] = [word() for _ in range(14)]
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    sets = {i: shingles(t) for i, t in rows}
+    of = {r.doc_id: r.class_id for r in got}
+    links = [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= 0.83 * len(sets[a] | sets[b])]
+    assert len(links) > 60 and all(of[a] == of[b] for a, b in links)
+
+
+def test_pipeline_takes_nulls_empty_tables_repeats_and_clashing_columns(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(4)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) + "."
+    one, two = text(), text()
+    rows = [(1, one), (2, one.upper()), (3, two), (3, two), (4, None), (5, ""), (None, text()), (6, "x" * 100_000), (7, "語" * 5_000)]
+    schema = "doc_id bigint, text string"
+    docs = spark.createDataFrame(rows, schema).withColumns({"lang": F.lit(None).cast("string"), "source": F.lit(None).cast("string"), "n_chars": F.length("text").cast("bigint"), "id": F.lit(1), "row": F.lit("r"), "kept": F.lit(0), "digest": F.lit(0), "node": F.lit(0), "label": F.lit(0)})
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} == {2, 3, None} or {r.doc_id for r in got} == {1, 3, None}
+    docs.limit(0).write.parquet(f"{tmp_path}/empty/documents.parquet")
+    assert pipeline.run(spark, f"{tmp_path}/empty").count() == 0

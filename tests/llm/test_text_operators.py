@@ -170,6 +170,9 @@ def test_scores_equal_brute_force(spark):
     tokens = [(i, [*low(t).split(), b""]) for i, t in rows]
     counts = collections.Counter(w for i, ws in tokens for w in ws if zlib.crc32(str(i).encode()) % 10)
     n, v = sum(counts.values()), len(counts)
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    uses = collections.Counter(p for w in counts if w for p in sp.encode(w.decode(), out_type=str))
+    lattice, stop = lm_score.Lattice(PIECES, uses), (counts[b""] + 1) / (n + 2)
     for head in (65_536, 2):  # all words sent to the tasks, or nearly all met in the join
         got = collections.defaultdict(list)
         for r in lm_score.score_documents(frame(spark, rows), PIECES, head=head).collect():
@@ -178,7 +181,8 @@ def test_scores_equal_brute_force(spark):
         for i, ws in tokens:
             base = sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws)
             assert any(abs(r.base_score - base) < 1e-6 * abs(base) and r.n_tokens == len(ws) and r.n_known == sum(counts[w] > 0 for w in ws) and r.train_tokens == n and r.held_out == (zlib.crc32(str(i).encode()) % 10 == 0) for r in got[i])
-            assert all(r.score < 0 for r in got[i])
+            score = math.log10(stop) + sum(math.log10(1 - stop) + lattice.log10(w.decode()) for w in ws[:-1])
+            assert any(abs(r.score - score) < 1e-6 * abs(score) for r in got[i])
     assert lm_score.score_documents(frame(spark).limit(0), PIECES).count() == 0
 
 
