@@ -5,9 +5,6 @@ A null text has no words. Lines are split at \\n; a word is a run of characters
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +29,8 @@ def split_words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, GAP))
 
 
-def line_failure(line: Column, min_line_words: int = 5, max_symbols: float = 0.2, max_short_parts: int = 3, max_bars: float = 0.15, max_stutter: float = 0.3, phrase_words: int = 25, phrased: Column | None = None) -> Column:
-    """The first rule that a line breaks, or null. Blank lines break none. phrased: false where the line is known to hold no phrase.
+def line_failure(line: Column, min_line_words: int = 5, max_symbols: float = 0.2, max_short_parts: int = 3, max_bars: float = 0.15, max_stutter: float = 0.3, phrase_words: int = 25) -> Column:
+    """The first rule that a line breaks, or null. Blank lines break none.
 
     navigation: at least ``max_short_parts`` bars, bullets or guillemets, and more than ``max_bars`` a word; symbols: more marks and
     doubled exclamation marks than ``max_symbols`` a word; stutter: more than ``max_stutter`` of the words in runs of one word four times
@@ -41,16 +38,17 @@ def line_failure(line: Column, min_line_words: int = 5, max_symbols: float = 0.2
     ``min_line_words`` words and no sentence ending. Lines of every length are judged alike. Cheap tests stand before the counts they guard.
     """
     words = F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))
+    # one word or more, but fewer than min_line_words: told by the line's first words
+    few = r"^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){0,%d}[^\x20\x09-\x0D]+[\x20\x09-\x0D]*$" % max(min_line_words - 2, 0)
     bars = F.regexp_count(line, F.lit(BARS))
     stuttered = F.size(F.split(F.array_join(F.regexp_extract_all(line, F.lit(STUTTER), F.lit(0)), " "), " "))
     phrases = "|".join(BOILERPLATE)
-    phrased = F.lit(True) if phrased is None else phrased
     return (
         F.when(line.rlike(BARS) & (bars >= max_short_parts) & (bars > words * max_bars), "navigation")
         .when(line.rlike(SYMBOLS + "|!!") & (F.regexp_count(line, F.lit(SYMBOLS + r"+|!!+")) > words * max_symbols), "symbols")
         .when(line.rlike(STUTTER) & (stuttered > words * max_stutter), "stutter")
-        .when(phrased & F.lower(line).rlike(phrases) & (F.regexp_count(F.lower(line), F.lit(phrases)) * phrase_words >= words), "boilerplate")
-        .when(~line.rlike(ENDINGS) & (words > 0) & (words < min_line_words), "punctuation")
+        .when(F.lower(line).rlike(phrases) & (F.regexp_count(F.lower(line), F.lit(phrases)) * phrase_words >= words), "boilerplate")
+        .when(line.rlike(few) & ~line.rlike(ENDINGS), "punctuation")
     )
 
 
@@ -90,11 +88,10 @@ def line_metrics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     d = d.withColumn("n_repeat_words", F.expr(f"aggregate(zip_with(at, slice(at, 2, size(at)), (a, b) -> coalesce(least({WINDOW}, b - a), {WINDOW})), 0L, (s, x) -> s + x)")).drop("at")
     d = d.withColumn("full_lines", F.filter("lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     d = d.withColumn("n_dup_lines", (F.size("full_lines") - F.size(F.array_distinct("full_lines"))).cast("long"))
-    d = d.withColumn("low", F.lower("text")).withColumn("phrased", reduce(or_, [F.col("low").contains(x) for x in BOILERPLATE])).drop("low")
-    d = d.withColumn("clean_lines", F.filter("lines", lambda x: line_failure(x, phrased=F.col("phrased")).isNull())).withColumn("clean_text", F.array_join("clean_lines", "\n"))
+    d = d.withColumn("clean_lines", F.filter("lines", lambda x: line_failure(x).isNull())).withColumn("clean_text", F.array_join("clean_lines", "\n"))
     d = d.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
     left = F.when(F.size("clean_lines") == F.size("lines"), F.col("n_words")).otherwise(F.size(split_words(F.col("clean_text"))))
-    return d.withColumn("kept", ~F.col("base_failed") & (left >= F.col("n_words") * (1 - max_loss))).drop("words", "lines", "full_lines", "clean_lines", "phrased")
+    return d.withColumn("kept", ~F.col("base_failed") & (left >= F.col("n_words") * (1 - max_loss))).drop("words", "lines", "full_lines", "clean_lines")
 
 
 def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_loss: float = 0.5) -> DataFrame:
