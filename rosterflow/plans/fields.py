@@ -147,6 +147,6 @@ def mined_addresses(r: Roles) -> DataFrame:
     return miners.mine_addresses(r.table("documents"), "doc_id").withColumn("context", F.md5("context"))
 
 
-@query("result_candidates", "select distinct id, email, split_part(email, '@', 2) as domain, 'https://' || split_part(email, '@', 2) as website from (select id, unnest(string_split(lower(emails), ',')) as email from mining_results) where not regexp_matches(email, '^[a-z]{1,2}[0-9]+@')", "mining_results")
+@query("result_candidates", "select id, trim(lower(email)) as email, split_part(trim(lower(email)), '@', 2) as domain, 'https://' || split_part(trim(lower(email)), '@', 2) as website from contacts where regexp_matches(trim(lower(email)), '^(info|john|anna|sales|desk)')", "contacts")
 def result_candidates(r: Roles) -> DataFrame:
-    return miners.candidates(r.mining_results).select("id", "email", "domain", "website")
+    return miners.candidates(r.contacts.drop("website"), "email").select("id", "email", "domain", "website")

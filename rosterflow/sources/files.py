@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Header names of list uploads, by the field they mean.
@@ -79,18 +79,24 @@ def infer_header(rows: list[list[str]]) -> tuple[int, dict[int, str]] | None:
 
 
 def read_sheet_like(spark: SparkSession, path: str) -> DataFrame:
-    """A delimited file whose header may stand in one of its first rows, in the fields that the header names."""
-    df = read_delimited(spark, path, header=False).withColumn("_row", F.monotonically_increasing_id())
-    first = [list(r)[:-1] for r in df.limit(5).collect()]
-    found = infer_header(first)
+    """Delimited files whose header may stand in one of their first rows, in the fields that the header names. Each file has its own
+    header, found among its first five rows; rows down to it go, and later rows that look like it stay. Without a header no row comes."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+    cells = lines.withColumn("cells", F.transform(F.split("value", r',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1), lambda c: F.trim(F.regexp_replace(F.trim(c), '^"|"$', ""))))
+    # a file's first block is read by one task in the order of its lines, so that this number tells them apart there
+    cells = cells.withColumn("row", F.monotonically_increasing_id())
+    first = cells.filter("block = 0").withColumn("rank", F.row_number().over(Window.partitionBy("file").orderBy("row"))).filter("rank <= 5")
+    head = first.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("row", "cells"))).alias("first"))
+    found, fields = [], {}
+    for r in head.collect():  # five rows a file
+        if header := infer_header([list(x.cells) for x in r.first]):
+            found.append((r.file, r.first[header[0]].row, {f: k for k, f in header[1].items()}))
+            fields |= dict.fromkeys(header[1].values())
     if not found:
-        return df.drop("_row")
-    at, fields = found
-    head = first[at]
-    same = F.lit(True)
-    for k, cell in enumerate(head):
-        same = same & F.col(df.columns[k]).eqNullSafe(F.lit(cell))
-    return df.filter(~same).select(*[F.col(df.columns[k]).alias(f) for k, f in fields.items()])
+        return spark.createDataFrame([], "email string")
+    headers = F.broadcast(spark.createDataFrame(found, "file string, header bigint, places map<string,int>"))  # a row a file
+    rows = cells.join(headers, "file").filter((F.col("block") > 0) | (F.col("row") > F.col("header"))).filter(F.length("value") > 0)
+    return rows.select(*[F.nullif(F.get("cells", F.col("places")[f]), F.lit("")).alias(f) for f in fields])
 
 
 def read_text_files(spark: SparkSession, path: str) -> DataFrame:

@@ -147,3 +147,27 @@ def test_filters_ignore_unknown_names(spark):
     allowed = {"least": lambda v: F.col("id") >= v}
     assert relational.where(df, allowed, {"least": 1}).count() == 2
     assert relational.where(df, allowed, {"other": 1}).count() == df.count()
+
+
+def test_sheets_have_a_header_of_their_own_each(spark, tmp_path):
+    from rosterflow.sources import files
+
+    (tmp_path / "a.csv").write_text('Exhibitors 2024,,\nE-mail,Company,Name\na@b.de,"Firm, Inc",Ann\nE-mail,Company,Name\n\n')
+    (tmp_path / "b.csv").write_text("Company,Email\nOther,c@d.de\n")
+    got = files.read_sheet_like(spark, f"file://{tmp_path}")
+    assert rows(got.select("email", "company"), "email", "company") == [("E-mail", "Company"), ("a@b.de", "Firm, Inc"), ("c@d.de", "Other")]
+
+
+def test_closures_follow_any_depth(spark):
+    from rosterflow.operators import scope
+
+    users = spark.createDataFrame([(k, k - 1 if k else None) for k in range(70)], "id int, reports_to int")
+    tree = scope.closure(users)
+    assert tree.count() == 70 * 71 // 2 and tree.filter("viewer = 0 and member = 69 and depth = 69").count() == 1
+
+
+def test_long_words_keep_all_their_letters(spark):
+    from rosterflow.functions import contact
+
+    (r,) = spark.createDataFrame([("A" * 3000,)], "s string").select(contact.title_case(F.col("s"))).collect()
+    assert r[0] == "A" + "a" * 2999
