@@ -78,7 +78,7 @@ def normalize_phone(x: Column) -> Column:
 
 def extract_phones(text: Column) -> Column:
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"((?:\+?\d{1,4}[\s\-.]?)?\(?\d{1,5}\)?[\s\-.]?\d{2,5}[\s\-.]?\d{2,5}(?:[\s\-.]?\d{1,5})?)"), F.lit(1))
-    return F.array_distinct(F.filter(F.transform(found, clean_phone), lambda p: p.isNotNull()))
+    return F.array_distinct(F.filter(F.transform(found, lambda p: clean_phone(p)), lambda p: p.isNotNull()))
 
 
 def clean_website(x: Column, blocked: tuple[str, ...] = SOCIAL_HOSTS) -> Column:

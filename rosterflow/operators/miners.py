@@ -9,8 +9,8 @@ from ..functions import email as em
 
 #: Labels by field, in several languages; a label may be followed by a colon or a dash.
 LABELS = {
-    "company": ("company", "organization", "organisation", "firm", "firma", "şirket", "société", "entreprise", "unternehmen", "empresa", "azienda", "bedrijf"),
-    "name": ("contact person", "contact name", "full name", "name", "contact", "person", "isim", "ad soyad", "nom", "nombre", "ansprechpartner"),
+    "company": ("company", "organization", "organisation", "firm", "firma", "firma adı", "şirket", "société", "entreprise", "unternehmen", "empresa", "azienda", "bedrijf"),
+    "name": ("contact person", "contact name", "full name", "name", "contact", "person", "yetkili kişi", "isim", "ad soyad", "nom", "nombre", "ansprechpartner"),
     "email": ("e-mail", "email", "mail", "e-posta", "correo", "courriel"),
     "phone": ("telephone", "telefon", "phone", "tel", "mobile", "gsm", "teléfono", "telefono", "telefone"),
     "website": ("website", "web site", "web", "homepage", "url"),
