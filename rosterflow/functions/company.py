@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .signature import bound
+
 #: Words that name a page and no company, mailbox providers, and endings of domains, of which the first that fits goes.
 PAGE_WORDS = (
     "home", "contact", "about", "services", "products", "team", "blog", "news", "events", "careers", "jobs", "faq", "help", "support", "login",
@@ -33,8 +35,8 @@ PAGERS = r"pagination|paging|page-numbers|pager"
 
 def company_name(x: Column) -> Column:
     """A name of 2 to 200 characters that holds a letter and is not a page's, else null."""
-    c = F.trim(F.regexp_replace(x, r"\s+", " "))
-    return F.when(F.length(c).between(2, 200) & c.rlike("[a-zA-ZÀ-ÿ]") & ~F.lower(c).isin(*PAGE_WORDS), c)
+    good = lambda c: F.when(F.length(c).between(2, 200) & c.rlike("[a-zA-ZÀ-ÿ]") & ~F.lower(c).isin(*PAGE_WORDS), c)
+    return bound(F.trim(F.regexp_replace(x, r"\s+", " ")), good)
 
 
 def _host(email: Column) -> Column:
@@ -48,13 +50,16 @@ def company_of_title(title: Column) -> Column:
     for tail in TITLE_TAILS:
         t = F.regexp_replace(t, rf"(?i)\s*[-|–—]\s*{tail}.*$", "")
     for part in TITLE_PARTS:
-        t = F.when(F.instr(t, part) > 1, F.substring_index(t, part, 1)).otherwise(t)
+        t = F.regexp_replace(t, rf"(?s)^([^{part}]+)[{part}].*$", "$1") if part != "-" else F.regexp_replace(t, r"(?s)^([^\-]+)-.*$", "$1")
     return company_name(t)
 
 
 def company_of_domain(email: Column) -> Column:
     """The words of a domain without its ending, each with a capital; none for a mailbox provider's."""
-    host = _host(email)
+    return bound(_host(email), _company_of_host)
+
+
+def _company_of_host(host: Column) -> Column:
     bare = F.coalesce(*[F.when(F.endswith(host, F.lit(e)), F.substring(host, F.lit(1), F.length(host) - len(e))) for e in ENDINGS], host)
     words = F.filter(F.split(F.regexp_replace(bare, r"^www\.", ""), "[-_.]", -1), lambda w: w != "")
     named = F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w)))), " ")

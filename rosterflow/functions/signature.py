@@ -28,7 +28,7 @@ SITE = r"(?i)(?:www\.|https?://)[\w.-]+\.\w{2,}(?:/[\w./-]*)?"
 LONGEST = 20
 
 
-def _bound(x: Column, f: Callable[[Column], Column]) -> Column:
+def bound(x: Column, f: Callable[[Column], Column]) -> Column:
     """f of x, with x worked out once however often f names it."""
     return F.get(F.transform(F.array(x), lambda v: f(v)), F.lit(0))
 
@@ -37,7 +37,7 @@ def signature_lines(body: Column) -> Column:
     """The trimmed, filled lines of the signature: those after a separating line, else after a closing phrase (1 to 20 lines either way),
     else the last ten filled lines of a message of three and more. Null if there are none. Quoted lines do not count."""
     text = F.trim(F.regexp_replace(F.regexp_replace(body, r"(?i)<br\s*/?>", "\n"), "<[^>]+>", ""))
-    return _bound(F.filter(F.split(text, "\n", -1), lambda x: ~F.startswith(F.ltrim(x), F.lit(">"))), _block)
+    return bound(F.filter(F.split(text, "\n", -1), lambda x: ~F.startswith(F.ltrim(x), F.lit(">"))), _block)
 
 
 def _block(lines: Column) -> Column:
@@ -52,7 +52,7 @@ def _block(lines: Column) -> Column:
     found.append(F.when(closing > 0, after(closing + first - 1)))
     every = filled(lines)
     found.append(F.when(F.size(every) >= 3, F.slice(every, F.greatest(F.size(every) - 9, F.lit(1)), F.lit(10))))
-    return _bound(filled(F.coalesce(*found)), lambda block: F.when(F.size(block) > 0, block))
+    return bound(filled(F.coalesce(*found)), lambda block: F.when(F.size(block) > 0, block))
 
 
 def title_in(lines: Column) -> Column:
@@ -68,7 +68,7 @@ def parse_signature(body: Column, lines: Column | None = None) -> Column:
     comma, a slash or a dash in the last line with a title. A name that loses a closing comma is looked for in vain, so it is its own company.
     """
     lines = signature_lines(body) if lines is None else lines
-    return _bound(lines, lambda xs: _bound(title_in(xs), lambda title: _bound(_name_in(xs, title), lambda name: _parsed(xs, title, name))))
+    return bound(lines, lambda xs: bound(title_in(xs), lambda title: bound(_name_in(xs, title), lambda name: _parsed(xs, title, name))))
 
 
 def _plain(lines: Column) -> Column:
