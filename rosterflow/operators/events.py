@@ -42,10 +42,19 @@ def recipient_state(sent: DataFrame, events: DataFrame) -> DataFrame:
     and are counted; the status is that of the last event that sets it. A reply or an unsubscription, once there, stays, but for a
     bounce. sent: recipient_id, status, with the state before; events: recipient_id, event_type, occurred_at, id, reason.
     """
+    return settle(sent.join(folded_events(events), "recipient_id", "left"))
+
+
+#: How an event leaves a recipient; others do not set the status. All bounces leave it bounced.
+STATUS_OF = {"open": "opened", "click": "clicked", "reply": "replied", **dict.fromkeys(BOUNCES, "bounced")}
+
+
+def folded_events(events: DataFrame) -> DataFrame:
+    """What a recipient's state needs of its events: firsts and lasts in order of time and id, and counts. Parts of it merge in any order."""
     when = F.struct("occurred_at", "id")
-    sets = F.col("event_type").isin("open", "click", "reply", *BOUNCES)
-    name = F.when(F.col("event_type") == "open", "opened").when(F.col("event_type") == "click", "clicked").when(F.col("event_type") == "reply", "replied").otherwise("bounced")
-    e = events.groupBy("recipient_id").agg(
+    sets = F.col("event_type").isin(*STATUS_OF)
+    name = F.element_at(F.create_map(*[F.lit(x) for pair in STATUS_OF.items() for x in pair]), F.col("event_type"))
+    return events.groupBy("recipient_id").agg(
         F.min(F.when(sets, when)).alias("first_set"),
         F.max(F.when(F.col("event_type") == "reply", when)).alias("last_reply"),
         F.max(F.when(F.col("event_type").isin(*BOUNCES), when)).alias("last_bounce"),
@@ -59,7 +68,10 @@ def recipient_state(sent: DataFrame, events: DataFrame) -> DataFrame:
         F.count_if(F.col("event_type") == "open").alias("open_count"), F.count_if(F.col("event_type") == "click").alias("click_count"),
         F.max(F.when(F.col("event_type") == "reply", F.col("occurred_at"))).alias("replied_at"),
     )
-    s = sent.join(e, "recipient_id", "left")
+
+
+def settle(s: DataFrame) -> DataFrame:
+    """The state of recipients from their status before and folded_events()."""
     delivers = (F.col("status") == "sent") & F.col("first_delivered").isNotNull() & (F.col("first_set").isNull() | (F.col("first_delivered") < F.col("first_set")))
     held = F.col("status").isin("replied", "unsubscribed")
     replied = F.col("last_reply").isNotNull() & (F.col("last_bounce").isNull() | (F.col("last_reply") > F.col("last_bounce")))

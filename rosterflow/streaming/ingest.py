@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..operators import events as ev
 from ..operators.merge import insert_or_ignore
+from .store import BucketStore
 
 #: Provider types and what they are here. Other types are left out.
 TYPES = {
@@ -34,18 +35,21 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return canonical(spark.readStream.schema(SCHEMA).json(path))
 
 
-def append_once(store: str):
-    """For foreachBatch: adds what the store does not have by the event key. A batch that is run again adds nothing twice: events with
-    an id are left out by key, those without by the batch number that they were written under."""
+def append_once(store: str, keys: list[str] | None = None, order: list[str] | None = None, need: str = "provider_event_id", buckets: int = 256, runs: int = 8):
+    """For foreachBatch: adds what the store does not have by the event key, the first of equal ones. A batch that is run again adds
+    nothing twice: its rows stand in a folder of its own, and it looks only at the keys of batches before it.
+
+    The keys stand apart in a BucketStore, of which a batch reads the buckets of its own keys; the events themselves are never read.
+    Events without an id always count as new.
+    """
+    keys, order = keys or KEY, order or ["occurred_at", "url"]
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(store)
-        there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-        columns = batch.columns
-        old = spark.read.parquet(store).filter(F.col("batch") != batch_id).select(*columns) if there else batch.limit(0)
-        fresh = insert_or_ignore(old, batch, KEY, ["occurred_at", "url"], need="provider_event_id")
+        held = BucketStore(batch.sparkSession, f"{store.rstrip('/')}/_keys", batch.select(*keys).schema, keys, buckets, runs)
+        named = batch.filter(F.col(need).isNotNull())
+        fresh = insert_or_ignore(held.lookup(named, batch_id), batch, keys, order, need=need)
         fresh.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(store)
+        held.put(named.select(*keys).distinct(), batch_id)
 
     return write
 
