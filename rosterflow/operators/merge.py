@@ -71,33 +71,57 @@ def merge_by_field(contacts: DataFrame, ord_col: str = "ord", fields: tuple[str,
     return keyed.groupBy("email").agg(*[best(f).alias(f) for f in fields if f in contacts.columns], F.count("*").alias("merged"))
 
 
-def merge_contacts(contacts: DataFrame, key: str, ord_col: str = "ord") -> DataFrame:
+def merge_contacts(contacts: DataFrame, key: str, ord_col: str = "ord", settled: int | None = None) -> DataFrame:
     """Pairwise merges in order: the first of two stays the base unless the other alone has an e-mail or is more confident; texts take
-    the longer value, the base's of equal ones; confidence is the larger; other addresses join up.
+    the longer value, the base's of equal ones; confidence is the larger; other addresses join up, the base's first. With ``settled``, what
+    has been merged has that confidence from then on.
 
-    The result depends on the order, so a key's rows meet in one array. A key is one person's records, a bounded few.
+    The order decides, but no key's rows are gathered: a row becomes the base if it is the first with an e-mail, or more confident than all
+    before it (and not without an e-mail where one before has it). Such rows are found from the least ord of each confidence, of which a key
+    has few. A text is then the longest, of equals the last base's, else the first. Rows with a null key are left out; ord_col must tell a
+    key's rows apart.
     """
     texts = [c for c in ("contact_name", "job_title", "company_name", "website", "country", "city", "address", "phone") if c in contacts.columns]
-    row = F.struct(ord_col, "email", *texts, "additional_emails", "source", "confidence")
-    ordered = F.transform(F.array_sort(F.collect_list(row)), lambda x: F.struct(*[x[c].alias(c) for c in ("email", *texts, "additional_emails", "source", "confidence")]))
-    has = lambda x: F.coalesce(x["email"], F.lit("")) != ""
-
-    def longer(a: Column, b: Column) -> Column:
-        x, y = F.nullif(a, F.lit("")), F.nullif(b, F.lit(""))
-        return F.when(x.isNull(), y).when(y.isNull() | (F.length(x) >= F.length(y)), x).otherwise(y)
-
-    def fold(a: Column, b: Column) -> Column:
-        first = F.when(has(a) & ~has(b), True).when(has(b) & ~has(a), False).otherwise(F.coalesce(a["confidence"], F.lit(0)) >= F.coalesce(b["confidence"], F.lit(0)))
-        base, other = lambda c: F.when(first, a[c]).otherwise(b[c]), lambda c: F.when(first, b[c]).otherwise(a[c])
-        return F.struct(
-            F.coalesce(F.nullif(base("email"), F.lit("")), F.nullif(other("email"), F.lit(""))).alias("email"), *[longer(base(c), other(c)).alias(c) for c in texts],
-            F.array_union(F.coalesce(base("additional_emails"), F.array().cast("array<string>")), F.coalesce(other("additional_emails"), F.array().cast("array<string>"))).alias("additional_emails"),
-            base("source").alias("source"), F.greatest(a["confidence"], b["confidence"]).alias("confidence"),
-        )
-
-    grouped = contacts.groupBy(key).agg(ordered.alias("rows"))
-    merged = grouped.withColumn("m", F.expr("rows[0]")).withColumn("m", F.aggregate(F.slice("rows", 2, F.greatest(F.size("rows") - 1, F.lit(0))), F.col("m"), fold))
-    return merged.select(key, *[F.col(f"m.{c}").alias(f"merged_{c}" if c == key else c) for c in ("email", *texts, "additional_emails", "source", "confidence")], F.size("rows").alias("merged"))
+    c = contacts.filter(F.col(key).isNotNull()).withColumns({"_k": F.col(key), "_ord": F.col(ord_col), "_conf": F.coalesce("confidence", F.lit(0)), "_has": F.coalesce("email", F.lit("")) != ""})
+    bases = _bases(c, settled)
+    filled_text = lambda t: F.nullif(F.col(t), F.lit(""))
+    value = lambda t: F.struct(F.length(t).alias("n"), F.col(t).alias("v"))
+    whole = c.groupBy("_k").agg(
+        F.max("confidence").alias("confidence"), F.count("*").cast("int").alias("merged"),
+        *[F.min_by(value(t), F.when(filled_text(t).isNotNull(), F.struct(-F.length(t), "_ord"))).alias(f"f_{t}") for t in texts],
+    )
+    marked = c.join(bases, ["_k", "_ord"])
+    leading = marked.groupBy("_k").agg(
+        F.max_by(F.struct(F.nullif("email", F.lit("")).alias("email"), "source"), "_ord").alias("base"),
+        *[F.max_by(value(t), F.when(filled_text(t).isNotNull(), F.struct(F.length(t), "_ord"))).alias(f"r_{t}") for t in texts],
+    )
+    others = c.select("_k", "_ord", F.posexplode("additional_emails").alias("_at", "_other")).join(bases.withColumn("_base", F.lit(True)), ["_k", "_ord"], "left")
+    # later bases first, then other rows in order
+    rank = F.struct(F.when(F.col("_base"), 0).otherwise(1), F.when(F.col("_base"), -F.col("_ord")).otherwise(F.col("_ord")), "_at")
+    others = others.groupBy("_k", "_other").agg(F.min(rank).alias("_rank")).groupBy("_k").agg(F.array_sort(F.collect_list(F.struct("_rank", "_other")))["_other"].alias("additional_emails"))
+    out = whole.join(leading, "_k").join(others, "_k", "left")
+    text = lambda t: F.when(F.col(f"r_{t}.n") == F.col(f"f_{t}.n"), F.col(f"r_{t}.v")).otherwise(F.col(f"f_{t}.v")).alias(t)
+    confidence = F.col("confidence") if settled is None else F.when(F.col("merged") > 1, settled).otherwise(F.col("confidence"))
+    named = {"email": F.col("base.email"), **{t: text(t) for t in texts}, "additional_emails": F.coalesce("additional_emails", F.array().cast("array<string>")), "source": F.col("base.source"), "confidence": confidence}
+    return out.select(F.col("_k").alias(key), *[v.alias(f"merged_{n}" if n == key else n) for n, v in named.items()], "merged")
+
+
+def _bases(c: DataFrame, settled: int | None) -> DataFrame:
+    """_k, _ord of the rows that become the base when their turn comes."""
+    mailed = c.filter("_has").groupBy("_k").agg(F.min("_ord").alias("_mail"))
+    if settled is None:
+        levels = c.groupBy("_k", "_conf").agg(F.min("_ord").alias("_ord"))
+        higher = F.min("_ord").over(Window.partitionBy("_k").orderBy(F.desc("_conf")).rowsBetween(Window.unboundedPreceding, -1))
+        best = levels.withColumn("_higher", higher).filter("_higher is null or _ord < _higher").select("_k", "_ord")
+    else:  # the first two alone are held against each other, later ones against what is settled
+        first = c.groupBy("_k").agg(F.min(F.struct("_ord", "_conf")).alias("_a"))
+        second = c.join(first, "_k").filter(F.col("_ord") > F.col("_a._ord")).groupBy("_k").agg(F.min(F.struct("_ord", "_conf")).alias("_b"))
+        later = c.filter(F.col("_conf") > settled).groupBy("_k", "_conf").agg(F.min("_ord").alias("_ord"))
+        if not later.isEmpty():
+            raise ValueError("no confidence may be above the settled one")
+        best = first.select("_k", "_a._ord").unionByName(second.join(first, "_k").filter(F.col("_b._conf") > F.col("_a._conf")).select("_k", "_b._ord"))
+    told = best.join(c.select("_k", "_ord", "_has"), ["_k", "_ord"]).join(mailed, "_k", "left").filter(F.col("_mail").isNull() | (F.col("_ord") <= F.col("_mail")) | F.col("_has"))
+    return told.select("_k", "_ord").unionByName(mailed.select("_k", F.col("_mail").alias("_ord"))).distinct()
 
 
 def merge_by_length(contacts: DataFrame, key: str, ord_col: str = "ord", phones: int = 3) -> DataFrame:
@@ -112,14 +136,16 @@ def merge_by_length(contacts: DataFrame, key: str, ord_col: str = "ord", phones:
     return merged.join(first, key, "left").withColumn("phones", F.coalesce("phones", F.array().cast("array<string>")))
 
 
-def merge_two_keys(contacts: DataFrame, ord_col: str = "ord", profile_confidence: int = 25) -> DataFrame:
+def merge_two_keys(contacts: DataFrame, ord_col: str = "ord", profile_confidence: int = 25, settled: bool = False) -> DataFrame:
     """Contacts with an e-mail merge by it; those without, but with a name and a source URL, by these, with a confidence of at most
-    ``profile_confidence``. Others go. kind: email or profile; rank: e-mail rows come first."""
+    ``profile_confidence``. Others go. kind: email or profile; rank: e-mail rows come first. settled: a profile without a confidence has
+    that one, and so has a merged one."""
     name = F.lower(F.trim(F.regexp_replace(F.coalesce("contact_name", F.lit("")), r"\s+", " ")))
     has = F.coalesce(F.col("email"), F.lit("")) != ""
     by_email = merge_contacts(contacts.filter(has).withColumn("key", F.lower("email")), "key", ord_col).withColumn("kind", F.lit("email"))
     profiles = contacts.filter(~has & (name != "") & (F.coalesce("source_url", F.lit("")) != "")).withColumn("key", F.concat(name, F.lit("|"), F.lower("source_url")))
-    profiles = merge_contacts(profiles.withColumn("confidence", F.least("confidence", F.lit(profile_confidence))), "key", ord_col).withColumn("kind", F.lit("profile"))
+    own = F.coalesce(F.nullif("confidence", F.lit(0)), F.lit(profile_confidence)) if settled else F.col("confidence")
+    profiles = merge_contacts(profiles.withColumn("confidence", F.least(own, F.lit(profile_confidence))), "key", ord_col, profile_confidence if settled else None).withColumn("kind", F.lit("profile"))
     return by_email.unionByName(profiles).withColumn("rank", F.when(F.col("kind") == "email", 1).otherwise(2))
 
 

@@ -119,6 +119,25 @@ def contacts_by_two_keys(r: Roles) -> DataFrame:
     return merge.merge_two_keys(c).select("kind", "key", "confidence", F.col("merged").cast("long").alias("merged"))
 
 
+_TEXTS = ("contact_name", "company_name", "website", "country", "city", "phone")
+_STEP = ", ".join(f"'{t}': case when coalesce(x.{t}, '') = '' then nullif(y.{t}, '') when coalesce(y.{t}, '') = '' or length(x.{t}) >= length(y.{t}) then x.{t} else y.{t} end" for t in _TEXTS)
+_FOLD = f"""list_reduce(list({{'email': email, {", ".join(f"'{t}': nullif({t}, '')" for t in _TEXTS)}, 'source': source, 'confidence': confidence, 'others': others}} order by id),
+    lambda a, b: list_transform([case when a.confidence >= b.confidence then {{'x': a, 'y': b}} else {{'x': b, 'y': a}} end], lambda p: list_transform([{{'x': p.x, 'y': p.y}}], lambda q: {{'email': q.x.email, {_STEP.replace("x.", "q.x.").replace("y.", "q.y.")},
+      'source': q.x.source, 'confidence': SETTLED(greatest(a.confidence, b.confidence)), 'others': list_concat(q.x.others, list_filter(q.y.others, lambda o: not list_contains(q.x.others, o)))}})[1])[1])"""
+
+
+@query("contacts_merged", f"""with c as (select *, list_filter([lower(source), website], lambda x: x is not null) as others from (select id, lower(trim(email)) as email, contact_name, company_name, website, country, city, phone, source, confidence from contacts)),
+    e as (select 'email' as kind, email as key, {_FOLD.replace("SETTLED", "")} as m, count(*)::int as merged from c where coalesce(email, '') <> '' group by 2),
+    p as (select 'profile' as kind, lower(trim(regexp_replace(contact_name, '\\s+', ' ', 'g'))) || '|' || lower(website) as key, {_FOLD.replace("SETTLED(greatest(a.confidence, b.confidence))", "25").replace("'confidence': confidence", "'confidence': least(coalesce(nullif(confidence, 0), 25), 25)")} as m, count(*)::int as merged
+      from c where coalesce(email, '') = '' and trim(coalesce(contact_name, '')) <> '' and coalesce(website, '') <> '' group by 2)
+    select kind, key, m.contact_name as contact_name, m.company_name as company_name, m.website as website, m.country as country, m.city as city, m.phone as phone, m.source as source, m.confidence as confidence, array_to_string(m.others, ';') as others, merged
+    from (select * from e union all select * from p)""", "contacts")
+def contacts_merged(r: Roles) -> DataFrame:
+    others = F.array_distinct(F.filter(F.array(F.lower("source"), "website"), lambda x: x.isNotNull()))
+    c = r.contacts.withColumnRenamed("id", "ord").withColumns({"email": F.lower(F.trim("email")), "source_url": F.col("website"), "additional_emails": others})
+    return merge.merge_two_keys(c, settled=True).select("kind", "key", *_TEXTS, "source", "confidence", F.array_join("additional_emails", ";").alias("others"), "merged")
+
+
 @query("people_filled", """with n as (select organizer_id, lower(trim(email)) as e, arg_min(contact, id) filter (where contact is not null) as f from (select id, organizer_id, email, case when id % 4 = 0 then null else 'New ' || cast(id % 3 as varchar) end as contact from persons) group by 1, 2)
     select p.organizer_id, lower(trim(p.email)) as email, coalesce(nullif(trim(p.first_name), ''), n.f) as first_name, p.owner_id from persons p left join n on n.organizer_id = p.organizer_id and n.e = lower(trim(p.email))""", "persons")
 def people_filled(r: Roles) -> DataFrame:

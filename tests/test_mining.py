@@ -59,3 +59,40 @@ def test_foreign_addresses_and_page_hashes(spark):
     c = lambda e, co, na: F.struct(F.lit(e).cast("string").alias("email"), F.lit(co).cast("string").alias("company_name"), F.lit(na).cast("string").alias("contact_name"))
     r = one(spark, yes=foreign("https://www.fair.com/x", ["a@dlg.org"], 1), own=foreign("https://fair.com", ["a@dlg.org", "b@fair.com"], 2), many=foreign("https://fair.com", ["a@dlg.org"], 3), bad=foreign("nonsense", ["a@dlg.org"], 1), hash=mining.page_hash(F.array(c("B@x.com", None, "Bo"), c("a@x.com", "Acme", "Ann"))))
     assert tuple(r) == (True, False, False, False, "a@x.com|acme::b@x.com|bo")
+
+
+def test_merges_equal_the_fold_one_by_one(spark):
+    """Shared mailboxes: ties of confidence and length, rows without e-mail, nulls, and a key with most rows."""
+    import random
+
+    from rosterflow.operators import merge
+
+    rnd = random.Random(4)
+    texts = ("contact_name", "company_name", "phone")
+    rows = [
+        (k, rnd.choice(["a", "a", "a", "b", "c", None]), rnd.choice([None, "", "m@x.co", "M@X.co"]), *[rnd.choice([None, "", "x", "y", "xx", "yy", "zzz"]) for _ in texts], rnd.choice([None, [], ["p"], ["q", "p"], ["r"]]), f"s{k}", rnd.choice([None, 0, 5, 20, 20, 25, 60]))
+        for k in range(120)
+    ]
+    rnd.shuffle(rows)
+
+    def pick(x, y):
+        return (y or None) if not x else x if not y or len(x) >= len(y) else y
+
+    def fold(key, settled):
+        acc = None
+        for r in sorted(r for r in rows if r[1] == key):
+            b = [r[2] or None, *[t or None for t in r[3:6]], list(r[6] or []), r[7], r[8]]
+            if acc is None:
+                acc = b
+                continue
+            first = bool(acc[0]) if bool(acc[0]) != bool(b[0]) else (acc[6] or 0) >= (b[6] or 0)
+            x, y = (acc, b) if first else (b, acc)
+            confidence = max((c for c in (x[6], y[6]) if c is not None), default=None)
+            acc = [x[0] or y[0], *[pick(x[k], y[k]) for k in (1, 2, 3)], x[4] + [o for o in y[4] if o not in x[4]], x[5], settled or confidence]
+        return tuple(acc)
+
+    schema = "ord int, k string, email string, contact_name string, company_name string, phone string, additional_emails array<string>, source string, confidence int"
+    for settled in (None, 60):
+        got = merge.merge_contacts(spark.createDataFrame(rows, schema), "k", settled=settled).collect()
+        assert {r.k: (r.email, r.contact_name, r.company_name, r.phone, r.additional_emails, r.source, r.confidence) for r in got} == {k: fold(k, settled) for k in "abc"}
+        assert sum(r.merged for r in got) == sum(r[1] is not None for r in rows)

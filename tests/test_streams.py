@@ -96,3 +96,69 @@ def test_a_store_holds_the_latest_row_of_each_key(spark, tmp_path):
         asked = spark.createDataFrame([(k,) for k in (*range(12), None)], "k long")
         assert {tuple(r) for r in store.lookup(asked, b + 1).collect()} == set(now.items())
     assert {r.v for r in store.lookup(spark.createDataFrame([(0,), (1,)], "k long"), 1).collect()} == {"0"}
+
+
+def reply_tables(spark):
+    frame = spark.createDataFrame
+    return {
+        "recipients": frame([(k, k % 2, k % 3, f"0000000{k % 3}", f"0000000{k}", f"P{k}@x.co", "sent" if k % 4 else "bounced", None) for k in range(8)], "recipient_id long, organizer_id int, campaign_id int, campaign_short string, short_id string, email string, status string, sent_at timestamp"),
+        "persons": frame([(100 + k, k % 2, f"p{k}@X.co", None if k % 3 else "Had", "" if k % 2 else None, None, [None, 0, 3, 9][k % 4]) for k in range(7)], "id long, organizer_id int, email string, first_name string, last_name string, phone string, stage_id int"),
+        "stages": frame([(s, o, n) for o in (0, 1) for s, n in enumerate(["New", "Contacted", "Interested", "Won"])], "id int, organizer_id int, name string"),
+        "campaigns": frame([(0, 5, "A"), (1, None, "B"), (2, None, None)], "id int, created_by int, name string"),
+        "owners": frame([(1, 77)], "organizer_id int, owner_id int"),
+        "sequences": frame([(k % 3, k % 2, f"p{k}@X.co", "active" if k % 3 else "paused") for k in range(8)], "campaign_id int, organizer_id int, email string, status string"),
+        "affiliations": frame([(k, 100 + k // 2, (k // 2) % 2, None if k % 3 else "Boss", "", None) for k in range(14)], "id long, person_id long, organizer_id int, position string, company_name string, created_at timestamp"),
+        "intents": frame([(0, 100, 0, "reply")], "organizer_id int, person_id long, campaign_id int, intent_type string"),
+        "history": frame([(101, 1, "click", 0), (101, 1, "open", 5000)], "person_id long, organizer_id int, event_type string, t long").withColumn("occurred_at", F.timestamp_seconds("t")).drop("t"),
+    }
+
+
+def reply_mail(spark, n=120):
+    rnd = random.Random(7)
+    rows = []
+    for k in range(n):
+        who = rnd.randrange(9)
+        body = rnd.choice([None, "", "thanks", f"Hi\n-- \nAnn Lee{k}\nSales Manager\nFirm {k}\n+49 30 12345{k:02d}", f"Hi\n-- \nJoe{k}x\nFirm {k}"])
+        to = rnd.choice([None, "me@x.co", f"me@x.co, Rep <rep+C-0000000{who % 3}-r-0000000{who}@x.co>", "rep+c-00000000-r-00000000@x.co"])
+        rows.append((k, rnd.choice([f"P{who}@x.co", f"N <p{who}@X.CO>", None]), to, rnd.choice([None, "Re: hi", "Re: hi", "OOO", "Re: " + "x" * 300]), rnd.choice([None, None, None, "Auto-Submitted: no", "Precedence: bulk"]), body, k * 1000))
+    return spark.createDataFrame(rows, "mail_id long, sender string, receiver string, subject string, headers string, body string, t long").withColumn("received_at", F.timestamp_seconds("t")).drop("t")
+
+
+def test_reply_batches_equal_one_and_may_be_repeated(spark, tmp_path):
+    from rosterflow.streaming import replies as rp
+
+    out, mail = str(tmp_path / "out"), reply_mail(spark)
+    write = rp.apply_replies(out, lambda: reply_tables(spark), buckets=2)
+    names = ("events", "intents", "states", "activities", "people", "affiliations", "sequence_stops", "items")
+
+    def held(name, drop=("batch",)):
+        df = spark.read.parquet(f"{out}/{name}")
+        return sorted(map(str, df.select([c for c in df.columns if c not in drop]).collect()))
+
+    for b in range(3):
+        batch = mail.filter(F.col("mail_id").between(b * 40, b * 40 + 39))
+        write(batch, b)
+        if b == 1:  # again
+            was = {n: held(n, ()) for n in names}
+            write(batch.orderBy(F.desc("mail_id")), b)
+            assert {n: held(n, ()) for n in names} == was
+    given = reply_tables(spark)
+    whole = rp.effects(rp.resolved(mail, given.pop("recipients"), given["persons"]), **given)
+    for name in ("events", "intents", "sequence_stops", "activities"):
+        columns = sorted(whole[name].columns)
+        assert sorted(map(str, spark.read.parquet(f"{out}/{name}").select(columns).collect())) == sorted(map(str, whole[name].select(columns).collect())), name
+    assert whole["events"].count() > 10 and whole["people"].count() > 2
+    for name, key in (("people", "person_id"), ("affiliations", "id")):
+        last = {}
+        for r in spark.read.parquet(f"{out}/{name}").orderBy("batch").collect():
+            last.setdefault(r[key], {})
+            for c, v in r.asDict().items():
+                if v is not None and c not in ("batch", key):
+                    assert c == "organizer_id" or c not in last[r[key]]  # a blank is filled once
+                    last[r[key]][c] = v
+        assert last == {r[key]: {c: v for c, v in r.asDict().items() if v is not None and c != key} for r in whole[name].collect()}
+    scores = {r.person_id: r.engagement_score for r in spark.read.parquet(f"{out}/items").orderBy("last_activity_at").collect()}
+    assert scores == {r.person_id: r.engagement_score for r in whole["items"].collect()}
+    empty = mail.limit(0)
+    write(empty, 3)
+    assert len(held("events")) == whole["events"].count()
