@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import re
 import unicodedata
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.patterns import names_in, spaced
+
 #: Everyday names that are no official ones.
 EVERYDAY = {"usa": "US", "u.s.a.": "US", "uk": "GB", "great britain": "GB", "england": "GB", "uae": "AE", "holland": "NL", "korea": "KR", "türkiye": "TR", "turkey": "TR"}
 LANGUAGES = ("en", "tr", "de", "fr", "es", "it", "pt", "nl")
@@ -45,19 +49,30 @@ def with_country_code(df: DataFrame, column: str, names: DataFrame, into: str =
     return out.withColumn(into, F.coalesce("_code", "_other")).select(*df.columns, into)
 
 
-def countries_in(df: DataFrame, id_col: str, text_col: str, names: DataFrame, longest: int = 8) -> DataFrame:
-    """id, code of the longest country name (up to ``longest`` words) in each text, else of its first pair of capitals if that is a code;
-    texts without either have no row. Of names of one length the least counts. id_col must be unique; null texts hold nothing."""
-    spaced = lambda x: F.trim(F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}_]+", " "))
-    heads = names.select(spaced(F.col("name")).alias("name"), F.upper("code").alias("code")).filter("name != ''").groupBy("name").agg(F.min("code").alias("code"))
-    heads = heads.withColumn("head", F.substring_index("name", " ", 1))
-    rows = df.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    words = rows.withColumn("words", F.split(spaced(F.col("text")), " "))
-    near = words.select("id", F.explode(F.transform("words", lambda w, i: F.struct(w.alias("head"), F.concat(F.array_join(F.slice("words", i + 1, F.lit(longest)), " "), F.lit(" ")).alias("rest")))).alias("w"))
-    met = near.select("id", "w.*").join(heads, "head").filter("startswith(rest, concat(name, ' '))")
-    # the longest name first: least by (negative length, name)
-    named = met.select("id", "code", F.struct((-F.length("name")).alias("n"), "name").alias("by"))
-    pair = F.regexp_extract("text", r"\b([A-Z]{2})\b", 1)
-    coded = rows.select("id", pair.alias("code")).join(names.select(F.upper("code").alias("code")).distinct(), "code", "left_semi")
-    coded = coded.select("id", "code", F.struct(F.lit(1).alias("n"), F.col("code").alias("name")).alias("by"))
-    return named.unionByName(coded).groupBy("id").agg(F.min_by("code", "by").alias("code"))
+def country_of(text: Column, names: dict[str, str]) -> Column:
+    """The code of the longest country name in a text (the least of equals), else of its first pair of capitals if that is a code, else
+    null. Within the row: one pattern holds all names. names: code by name."""
+    by_name: dict[str, str] = {}
+    for name, code in sorted(names.items(), key=lambda x: (x[0], x[1].upper())):
+        key = " ".join(re.findall(r"\w+", name.lower()))
+        if key:
+            by_name[key] = min(by_name.get(key, code.upper()), code.upper())
+    text = F.coalesce(text, F.lit(""))
+    found = names_in(spaced(text), by_name)
+    best = F.array_min(F.transform(found, lambda n: F.struct((-F.length(n)).alias("n"), n.alias("name"))))["name"]
+    named = F.try_element_at(F.from_json(F.lit(json.dumps(by_name)), "map<string,string>"), best)
+    pair = F.regexp_extract(text, "(?<![A-Za-z0-9_])([A-Z]{2})(?![A-Za-z0-9_])", 1)
+    return F.coalesce(named, F.when(pair.isin(*sorted(set(by_name.values()))), pair)) if by_name else F.lit(None).cast("string")
+
+
+def countries_in(df: DataFrame, id_col: str, text_col: str, names: DataFrame | dict[str, str], most: int = 20_000) -> DataFrame:
+    """id, code: country_of() of each text; texts without one have no row, and a null text holds none. names: code by name, or a table
+    of name and code with ``most`` rows at most, which goes into the pattern."""
+    if isinstance(names, DataFrame):
+        rows = names.select("name", "code").limit(most + 1).collect()
+        if len(rows) > most:
+            raise ValueError(f"more than {most} names")
+        names = {}
+        for r in rows:
+            names[r.name] = min(names.get(r.name, r.code), r.code)
+    return df.select(F.col(id_col).alias("id"), country_of(F.col(text_col), names).alias("code")).filter("code is not null")

@@ -2,24 +2,73 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import email as em
+from ..functions.patterns import one_of
 
-#: Labels by field, in several languages; a label may be followed by a colon or a dash.
+#: Labels by field, a language a line (English, Turkish, French, German, Spanish, Italian, Dutch, Portuguese, Arabic, Russian,
+#: Chinese, Japanese, Korean); a label may be followed by a colon or a dash. A label of two fields is the first one's.
 LABELS = {
-    "company": ("company", "organization", "organisation", "firm", "firma", "firma adı", "şirket", "société", "entreprise", "unternehmen", "empresa", "azienda", "bedrijf"),
-    "name": ("contact person", "contact name", "full name", "name", "contact", "person", "yetkili kişi", "isim", "ad soyad", "nom", "nombre", "ansprechpartner"),
-    "email": ("e-mail", "email", "mail", "e-posta", "correo", "courriel"),
-    "phone": ("telephone", "telefon", "phone", "tel", "mobile", "gsm", "teléfono", "telefono", "telefone"),
-    "website": ("website", "web site", "web", "homepage", "url"),
-    "country": ("country", "ülke", "pays", "land", "país", "paese"),
-    "city": ("city", "şehir", "ville", "stadt", "ciudad", "città"),
-    "address": ("address", "adresse", "adres", "dirección", "indirizzo", "anschrift"),
-    "title": ("job title", "position", "title", "ünvan", "görev"),
-}
+    "company": (
+        "company", "organization", "organisation", "firm", "business", "corp", "corporation", "firma", "firma adı", "şirket", "kuruluş", "işletme", "kurumsal",
+        "société", "entreprise", "compagnie", "établissement", "unternehmen", "betrieb", "gesellschaft", "empresa", "compañía", "organización", "corporación",
+        "azienda", "società", "impresa", "ditta", "bedrijf", "onderneming", "companhia", "organização", "شركة", "مؤسسة", "منظمة",
+        "компания", "организация", "фирма", "предприятие", "公司", "企业", "组织", "机构", "会社", "企業", "組織", "회사", "기업", "조직",
+    ),
+    "name": (
+        "name", "contact", "person", "representative", "contact person", "contact name", "full name", "fullname", "isim", "ad", "kişi", "yetkili", "yetkili kişi",
+        "temsilci", "ad soyad", "adsoyad", "nom", "prénom", "personne", "représentant", "nom complet", "ansprechpartner", "kontakt", "kontaktperson",
+        "vollständiger name", "nombre", "contacto", "persona", "representante", "nombre completo", "nome", "contatto", "referente", "nome completo",
+        "naam", "contactpersoon", "volledige naam", "contato", "pessoa", "اسم", "جهة الاتصال", "شخص", "ممثل", "الاسم الكامل",
+        "имя", "контакт", "контактное лицо", "представитель", "полное имя", "姓名", "联系人", "联络人", "代表", "名前", "氏名", "担当者", "連絡先", "이름", "담당자", "연락처", "대표자",
+    ),
+    "email": (
+        "email", "e-mail", "mail", "email address", "e-mail address", "e-posta", "eposta", "posta", "courriel", "adresse email", "adresse e-mail", "mél",
+        "email-adresse", "mailadresse", "correo", "correo electrónico", "posta elettronica", "indirizzo email", "emailadres", "correio eletrônico",
+        "البريد الإلكتروني", "إيميل", "بريد", "электронная почта", "почта", "имейл", "电子邮件", "邮箱", "电邮", "メール", "メールアドレス", "eメール", "이메일", "메일", "전자메일",
+    ),
+    "phone": (
+        "phone", "telephone", "tel", "mobile", "cell", "cellphone", "phone number", "contact number", "fax", "telefon", "gsm", "cep", "cep telefonu", "mobil", "faks",
+        "téléphone", "tél", "portable", "numéro", "handy", "mobiltelefon", "rufnummer", "teléfono", "móvil", "celular", "número", "telefono", "cellulare", "numero",
+        "telefoon", "mobiel", "telefone", "telemóvel", "هاتف", "تلفون", "جوال", "موبايل", "رقم", "فاكس", "телефон", "тел", "мобильный", "сотовый", "факс",
+        "电话", "手机", "移动电话", "联系电话", "传真", "電話", "携帯", "携帯電話", "ファックス", "전화", "휴대폰", "핸드폰", "팩스",
+    ),
+    "country": (
+        "country", "nation", "country/region", "ülke", "memleket", "pays", "land", "staat", "país", "nación", "paese", "nazione", "nação",
+        "بلد", "دولة", "الدولة", "страна", "государство", "国家", "国", "地区", "国名", "국가", "나라",
+    ),
+    "city": (
+        "city", "town", "location", "şehir", "il", "ilçe", "bölge", "lokasyon", "ville", "cité", "localité", "stadt", "ort", "standort", "ciudad", "localidad", "ubicación",
+        "città", "località", "luogo", "stad", "plaats", "locatie", "cidade", "localidade", "local", "مدينة", "موقع", "город", "населённый пункт", "местоположение",
+        "城市", "市", "地点", "都市", "所在地", "도시", "시", "위치",
+    ),
+    "address": (
+        "address", "street", "postal address", "adres", "adress", "sokak", "cadde", "adresse", "rue", "adresse postale", "anschrift", "straße", "dirección", "calle", "domicilio",
+        "indirizzo", "via", "sede", "straat", "endereço", "morada", "rua", "عنوان", "شارع", "адрес", "улица", "地址", "街道", "住所", "주소", "거리",
+    ),
+    "website": (
+        "website", "web", "url", "site", "homepage", "web address", "www", "web sitesi", "web site", "internet sitesi", "site web", "site internet", "page web",
+        "webseite", "internetseite", "sitio web", "página web", "sito web", "sito internet", "webpagina", "موقع الويب", "الموقع الإلكتروني", "сайт", "веб-сайт", "интернет-сайт",
+        "网站", "网址", "官网", "ウェブサイト", "ホームページ", "웹사이트", "홈페이지",
+    ),
+    "title": (
+        "title", "position", "role", "job title", "designation", "occupation", "ünvan", "pozisyon", "görev", "iş unvanı", "meslek", "titre", "poste", "fonction", "rôle",
+        "titel", "funktion", "stelle", "beruf", "título", "cargo", "puesto", "posición", "titolo", "posizione", "ruolo", "mansione", "functie", "positie", "função", "posição",
+        "المسمى الوظيفي", "وظيفة", "منصب", "должность", "позиция", "звание", "职位", "头衔", "职务", "役職", "職位", "肩書き", "직함", "직위", "역할",
+    ),
+}
 FIELDS = tuple(LABELS)
+FIELD_OF = {word: field for field, words in reversed(LABELS.items()) for word in words}
+LABELLED = r"(?iu)^(" + one_of(FIELD_OF) + r")\s*[:\-]\s*(.+)$"
+
+
+def field_of(label: Column) -> Column:
+    """The field that a label names, or null."""
+    return F.try_element_at(F.from_json(F.lit(json.dumps(FIELD_OF)), "map<string,string>"), F.lower(F.trim(label)))
 
 
 def lines_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -29,11 +78,9 @@ def lines_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def label_of(text: Column) -> Column:
     """struct(field, value) of a line that opens with a label, else null. A value that holds an address is an e-mail's, whatever its label."""
-    found = []
-    for field, words in LABELS.items():
-        pattern = r"(?iu)^(?:" + "|".join(sorted(words, key=len, reverse=True)) + r")\s*[:\-]\s*(.+)$"
-        found.append(F.when(text.rlike(pattern), F.struct(F.lit(field).alias("field"), F.trim(F.regexp_extract(text, pattern, 1)).alias("value"))))
-    label = F.coalesce(*found)
+    may = F.contains(text, F.lit(":")) | F.contains(text, F.lit("-"))
+    word = F.when(may, F.regexp_extract(text, LABELLED, 1))
+    label = F.when(word != "", F.struct(field_of(word).alias("field"), F.trim(F.regexp_extract(text, LABELLED, 2)).alias("value")))
     return F.when(label["value"].rlike(em.PATTERN), F.struct(F.lit("email").alias("field"), label["value"].alias("value"))).otherwise(label)
 
 
