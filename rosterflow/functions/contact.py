@@ -175,3 +175,44 @@ def text_to_html(text: Column) -> Column:
     parts = F.transform(F.split(text, r"\n\s*\n", -1), lambda p: F.concat(F.lit("<p>"), F.replace(F.trim(F.regexp_replace(p, r"^\s+|\s+$", "")), F.lit("\n"), F.lit("<br>")), F.lit("</p>")))
     page = F.concat(F.lit('<div style="font-family:Arial,Helvetica,sans-serif;font-size:14px;line-height:1.6;color:#333">'), F.array_join(parts, ""), F.lit("</div>"))
     return F.when(F.coalesce(F.trim(text), F.lit("")) == "", text).when(tags, text).otherwise(page)
+
+
+#: What a field is worth in the weighted score, and words of pages that keep visitors out.
+FIELD_WEIGHTS = {"email": 30, "name": 20, "company": 15, "phone": 15, "country": 5, "website": 5, "city": 3, "title": 3, "address": 2}
+BLOCK_WORDS = (
+    "cloudflare", "cf-error", "access denied", "forbidden", "security check", "captcha", "verify you are human", "please wait", "checking your browser",
+    "ddos protection", "rate limit", "too many requests", "blocked", "403 error", "401 error", "unauthorized",
+)
+PAGE_MARKS = ("<html", "<body", "</html>", "</body>")
+
+
+def weighted_score(c: dict[str, Column]) -> Column:
+    """0 to 100: the weights of filled fields with extra points for a full name, a firm's legal form, an international number and a secure
+    site, as a share of all weights. Fields that c lacks count as blank."""
+    extra = {
+        "name": lambda s: F.when(s.contains(" ") & (F.length(s) >= 5), 5), "company": lambda s: F.when(s.rlike(r"(?i)\b(ltd|inc|corp|llc|gmbh|ag)\b"), 3),
+        "phone": lambda s: F.when(F.startswith(s, F.lit("+")), 3), "website": lambda s: F.when(F.startswith(s, F.lit("https://")), 2),
+    }
+    total = F.lit(0)
+    for field, weight in FIELD_WEIGHTS.items():
+        if field in c:
+            s = F.trim(c[field].cast("string"))
+            points = F.lit(weight) + (F.coalesce(extra[field](s), F.lit(0)) if field in extra else 0)
+            total = total + F.when(F.coalesce(s, F.lit("")) != "", points).otherwise(0)
+    return F.least(F.lit(100.0), total / sum(FIELD_WEIGHTS.values()) * 100)
+
+
+def blocked_page(html: Column, short: int = 500, small: int = 10_000, least_text: int = 100) -> Column:
+    """Why a page holds nothing, or null: too short; a blocking word anywhere in a small page, in the title or first heading of another;
+    no page structure; hardly any text. A null page is too short."""
+    low = F.lower(html)
+    head = F.concat(F.regexp_extract(low, r"<title[^>]*>([^\r\n]*?)</title>", 1), F.lit(" "), F.regexp_extract(low, r"<h1[^>]*>([^\r\n]*?)</h1>", 1))
+    is_small = F.length(html) < small
+    word = lambda x: F.get(F.filter(F.array(*map(F.lit, BLOCK_WORDS)), lambda w: F.contains(x, w)), F.lit(0))
+    in_page, in_head = F.when(is_small, word(low)), F.when(~is_small, word(head))
+    structure = low.rlike("|".join(PAGE_MARKS))
+    return (
+        F.when(F.coalesce(F.length(html), F.lit(0)) < short, "Content too short").when(in_page.isNotNull(), F.concat(F.lit("Contains block indicator: "), in_page))
+        .when(in_head.isNotNull(), F.concat(F.lit("Title/H1 contains block indicator: "), in_head)).when(~structure, "Missing HTML structure")
+        .when(F.length(F.regexp_replace(F.regexp_replace(html, "<[^>]*>", ""), r"^\s+|\s+$", "")) < least_text, "Very low text content")
+    )

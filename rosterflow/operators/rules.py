@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .events import ago, engaged_hot, engagement_all_time, engagement_recent, unsnooze
+
 LIVE = ("open", "in_progress")
 
 
@@ -57,3 +59,52 @@ def fail_stale(jobs: DataFrame, as_of: str, hours: int = 1) -> DataFrame:
     """Jobs that have been running for longer than ``hours`` have failed."""
     stuck = (F.col("status") == "running") & (F.col("started_at") < F.lit(as_of).cast("timestamp") - F.make_dt_interval(F.lit(0), F.lit(hours)))
     return jobs.withColumn("status", F.when(stuck, "failed").otherwise(F.col("status")))
+
+
+def changed_people(events: DataFrame, since: str, as_of: str, idle_days: int = 7) -> DataFrame:
+    """person_id of those whose all-time score may differ from what it was at ``since``: they have events since, or were last seen so long
+    before that they count as idle from some moment since on. Other events are not looked at."""
+    start, now = F.lit(since).cast("timestamp"), F.lit(as_of).cast("timestamp")
+    idle = F.make_dt_interval(F.lit(idle_days))
+    at = F.col("occurred_at")
+    new = (at > start) & (at <= now)
+    lapsed = (at >= start - idle) & (at < now - idle)
+    return events.filter("person_id is not null").filter(new | lapsed).select("person_id").distinct()
+
+
+def refresh_scores(items: DataFrame, events: DataFrame, as_of: str, since: str | None = None) -> DataFrame:
+    """items with the all-time score of live ones' persons as of a time, 0 for those without events. With ``since``, at which scores were
+    right, only events of changed persons are summed, and other items keep theirs. Events after as_of do not count."""
+    past = events.filter(F.col("occurred_at") <= F.lit(as_of).cast("timestamp"))
+    live = F.col("status").isin(*LIVE)
+    if since is not None:
+        who = changed_people(past, since, as_of)
+        past = past.join(who, "person_id", "left_semi")
+    scores = engagement_all_time(past, as_of).withColumnRenamed("score", "_score")
+    out = items.join(scores, "person_id", "left")
+    fresh = F.coalesce("_score", F.lit(0)) if since is None else F.coalesce("_score", "engagement_score", F.lit(0))
+    return out.withColumn("engagement_score", F.when(live, fresh).otherwise(F.col("engagement_score"))).select(*items.columns)
+
+
+def reconcile(items: DataFrame, events: DataFrame, sequences: DataFrame, campaigns: DataFrame, as_of: str, since: str | None = None, days: int = 7) -> DataFrame:
+    """The periodic job as a new state of items: person_id, trigger_reason, trigger_detail, campaign_id, last_activity_at, engagement_score,
+    status, snoozed_until.
+
+    Due snoozes end; persons with events in the last days are held against the hot rule, and those whose sequence ended against its own;
+    what is found refreshes live items or adds open ones; then live items get their scores. sequences: campaign_id, person_id, status,
+    last_sent_step, updated_at; a campaign that is not there gives no item.
+    """
+    items = unsnooze(items, as_of)
+    recent = events.filter((F.col("occurred_at") >= ago(as_of, days)) & F.col("person_id").isNotNull()).select("person_id").distinct()
+    theirs = events.join(recent, "person_id", "left_semi")
+    made = campaigns.select(F.col("id").alias("campaign_id"))
+    hot = engaged_hot(theirs, items, as_of).join(made, "campaign_id", "left_semi").select("person_id", F.lit("engaged_hot").alias("trigger_reason"), F.col("reason").alias("trigger_detail"), "campaign_id", "last_activity_at", F.col("engagement_score").cast("long").alias("engagement_score"))
+    replied = events.filter("event_type = 'reply'").select("person_id", "campaign_id")
+    ended = sequences.filter("status = 'completed' and person_id is not null").join(made, "campaign_id", "left_semi").join(replied, ["person_id", "campaign_id"], "left_anti")
+    ended = ended.groupBy("person_id").agg(F.max_by(F.struct("campaign_id", "last_sent_step", "updated_at"), F.struct("updated_at", "campaign_id")).alias("s")).select("person_id", "s.*")
+    ended = ended.join(items.filter(F.col("status").isin(*LIVE) & (F.col("trigger_reason") == "sequence_exhausted")).select("person_id"), "person_id", "left_anti").join(engagement_recent(events, as_of), "person_id", "left")
+    ended = ended.select("person_id", F.lit("sequence_exhausted").alias("trigger_reason"), F.concat(F.lit("Sequence completed — no response after "), F.col("last_sent_step").cast("string"), F.lit(" emails")).alias("trigger_detail"),
+        "campaign_id", F.col("updated_at").alias("last_activity_at"), F.coalesce("score", F.lit(0)).cast("long").alias("engagement_score"))
+    added = hot.unionByName(ended).withColumns({"status": F.lit("open"), "snoozed_until": F.lit(None).cast("timestamp")})
+    columns = ["person_id", "trigger_reason", "trigger_detail", "campaign_id", "last_activity_at", "engagement_score", "status", "snoozed_until"]
+    return refresh_scores(items.select(columns).unionByName(added.select(columns)), events, as_of, since)

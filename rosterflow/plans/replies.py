@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +10,7 @@ from ..registry import query
 from ..roles import EMAIL, Roles
 from ..streaming import replies as rp
 from ..streaming.ingest import append_once
+from .turns import scratch
 
 HEX = "lpad(lower(hex({k})), 8, '0')"
 #: Mail from the reply events: a third answers by a tag, some is automatic, some comes from strangers; bodies have signatures of three shapes.
@@ -147,16 +146,3 @@ def events_appended_once(r: Roles) -> DataFrame:
     for batch in (0, 1, 1, 2):
         write(e.filter(F.col("id") % 3 == batch), batch)
     return r.spark.read.parquet(store).select("id", "campaign_id", "event_type", "email", "provider_event_id", F.col("batch").cast("int").alias("batch"))
-
-
-def scratch(r: Roles, name: str) -> str:
-    """A new folder that all executors share; only a session in one JVM may do without the setting."""
-    root = r.spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not r.spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "file:///tmp/checkpoints"
-    path = f"{root.rstrip('/')}/rosterflow-{uuid.uuid4().hex}"
-    folder = r.spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(r.spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
-    return f"{path}/{name}"

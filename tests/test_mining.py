@@ -96,3 +96,77 @@ def test_merges_equal_the_fold_one_by_one(spark):
         got = merge.merge_contacts(spark.createDataFrame(rows, schema), "k", settled=settled).collect()
         assert {r.k: (r.email, r.contact_name, r.company_name, r.phone, r.additional_emails, r.source, r.confidence) for r in got} == {k: fold(k, settled) for k in "abc"}
         assert sum(r.merged for r in got) == sum(r[1] is not None for r in rows)
+
+
+def test_labels_in_every_language(spark):
+    from rosterflow.operators import miners
+
+    lines = {"Organisation: X": "company", "bedrijf - X": "company", "公司: X": "company", "имя : X": "name", "Yetkili Kişi: X": "name", "담당자: X": "name", "メールアドレス: a@b.co": "email", "адрес: X": "address", "Straße: X": "address",
+             "tél: 1": "phone", "Cep Telefonu: 1": "phone", "موقع الويب: X": "website", "국가: X": "country", "市: X": "city", "cargo: X": "title", "country/region: X": "country", "note: X": None, "companyx: X": None, "company X": None, "city: a@b.co": "email"}
+    df = spark.createDataFrame(list(lines.items()), "text string, want string")
+    assert [(r.text, r.f) for r in df.select("text", miners.label_of(F.col("text"))["field"].alias("f")).collect()] == list(lines.items())
+
+
+def test_tables_in_texts(spark):
+    from rosterflow.operators import tables
+
+    texts = [
+        (1, "Hello, all\n\nName\tE-mail\tFirm\nANN LEE\tAnn@X.co\tacme\n\tnone\tb\nJo\tjo@x.co\t\nbye"),
+        (2, 'x\n"Lee, Ann",ann@x.co,www.acme.com\n"Poe, Ed",ed@x.co,www.poe.com\n'),
+        (3, "| a@x.co | Acme Ltd | Germany |\n| b@x.co | Bolt GmbH | France |\n| | Cog Inc | Spain |"),
+        (4, "Write to us, or to a@x.co\nWe wait, and answer"), (5, None), (6, ""), (7, "a@x.co,b"), (8, "a@x.co\tAcme Ltd\n\nb@x.co\tBolt Ltd"), (9, "x," * 3000 + "a@x.co\n" + "y," * 3000 + "b@x.co"),
+    ]
+    got = {(r.id, r.line): r for r in tables.mine_tables(spark.createDataFrame(texts, "id int, text string")).collect()}
+    assert sorted(got) == [(1, 3), (1, 5), (2, 1), (2, 2), (3, 0), (3, 1), (9, 0), (9, 1)]
+    assert (got[1, 3].name, got[1, 3].email, got[1, 3].company, got[1, 5].company) == ("Ann Lee", "ann@x.co", "Acme", None)
+    assert (got[2, 1].website, got[2, 1].email) == ("https://www.acme.com", "ann@x.co") and (got[3, 1].company, got[3, 1].country) == ("Bolt GmbH", "France")
+
+
+def test_values_by_kind(spark):
+    from rosterflow.operators import tables
+
+    kinds = {"a@b.co": "email", "+49 (30) 1234567": "phone", "https://x": "website", "acme.io": "website", "Germany": "country", "Acme Corp": "company", "Social Media Ads": "source", "Ann Lee": "name", "Ann": None, "": None, None: None, "12": None}
+    df = spark.createDataFrame(list(kinds.items()), "v string, want string")
+    assert [(r.v, r.k) for r in df.select("v", tables.value_kind(F.col("v")).alias("k")).collect()] == list(kinds.items())
+
+
+def test_miners_take_turns(spark, tmp_path):
+    from rosterflow.operators import miners, tables
+
+    texts = [(1, "Name: A\nMail: a@x.co"), (2, "N\ta@x.co\nM\tb@x.co"), (3, "just c@x.co"), (4, "nothing"), (5, None), (6, "  ")]
+    asked = []
+
+    def keep(df, name):
+        df.write.parquet(f"{tmp_path}/{name}")
+        return spark.read.parquet(f"{tmp_path}/{name}")
+
+    def seen(name, miner):
+        def run(df, *a):
+            asked.append((name, df.count()))
+            return miner(df, *a)
+
+        return name, run
+
+    states, found = tables.mine_in_turn(spark.createDataFrame(texts, "id int, text string"), [seen("labels", miners.mine_labels), seen("tables", tables.mine_tables), seen("addresses", miners.mine_addresses)], keep)
+    assert sorted(map(tuple, states.collect())) == [(1, "SUCCESS", "labels", 1), (2, "SUCCESS", "tables", 2), (3, "SUCCESS", "addresses", 1), (4, "FAILED", "addresses", 0), (5, "EMPTY", None, 0), (6, "EMPTY", None, 0)]
+    assert asked == [("labels", 4), ("tables", 3), ("addresses", 2)] and found.count() == 4
+
+
+def test_reconcile(spark):
+    from rosterflow.operators import rules
+
+    ts = lambda df, *cs: df.withColumns({c: F.col(c).cast("timestamp") for c in cs})
+    day = lambda d: f"2024-01-{d:02d}"
+    events = [(1, 1, "open", day(28), None), (2, 1, "open", day(29), None), (3, 2, "click", day(30), "http://x/pricing"), (4, 3, "open", day(1), None), (5, 4, "reply", day(30), None), (6, 4, "open", day(30), None), (7, 5, "open", day(20), None), (8, 5, "open", day(21), None)]
+    events = ts(spark.createDataFrame([(i, p, k, t, u, 1) for i, p, k, t, u in events], "id int, person_id int, event_type string, occurred_at string, url string, campaign_id int"), "occurred_at")
+    items = [(2, "engaged_hot", "old", 1, day(1), 0, "snoozed", day(30)), (3, "sequence_exhausted", "old", 1, day(1), 7, "open", None), (4, "engaged_hot", "old", 1, day(1), 7, "done", None)]
+    columns = "person_id int, trigger_reason string, trigger_detail string, campaign_id int, last_activity_at string, engagement_score long, status string, snoozed_until string"
+    items = ts(spark.createDataFrame(items, columns), "last_activity_at", "snoozed_until")
+    sequences = ts(spark.createDataFrame([(1, 3, "completed", 4, day(9)), (1, 4, "completed", 4, day(9)), (1, 5, "completed", 2, day(9)), (9, 1, "completed", 2, day(9)), (1, 2, "active", 1, day(9))], "campaign_id int, person_id int, status string, last_sent_step int, updated_at string"), "updated_at")
+    campaigns = spark.createDataFrame([(1,)], "id int")
+    got = rules.reconcile(items, events, sequences, campaigns, "2024-01-31").collect()
+    assert sorted((r.person_id, r.trigger_reason, r.status, r.engagement_score) for r in got) == [
+        (1, "engaged_hot", "open", 2), (2, "engaged_hot", "open", 3), (3, "sequence_exhausted", "open", -1), (4, "engaged_hot", "done", 7), (5, "sequence_exhausted", "open", 0),
+    ]
+    assert next(r for r in got if r.person_id == 5).trigger_detail == "Sequence completed — no response after 2 emails"
+    assert {r.person_id for r in rules.changed_people(events, "2024-01-29 00:00:00", "2024-01-31").collect()} == {2, 4} and {r.person_id for r in rules.changed_people(events, "2024-01-25 00:00:00", "2024-01-31").collect()} == {1, 2, 4, 5}
