@@ -10,14 +10,16 @@ from .email import domain, local_part
 
 #: Mailbox names of no person, forms of address, and what follows a name.
 DESK_PREFIXES = (
-    "info contact support hello help sales admin webmaster noreply no-reply mail email enquiry enquiries office general team hr marketing "
-    "billing accounts jobs careers press media news legal compliance"
-).split()
+    "info", "contact", "support", "hello", "help", "sales", "admin", "webmaster", "noreply", "no-reply", "mail", "email", "enquiry",
+    "enquiries", "office", "general", "team", "hr", "marketing", "billing", "accounts", "jobs", "careers", "press", "media", "news",
+    "legal", "compliance",
+)
 TITLES = (
-    "mr mrs ms miss dr prof professor sir madam mx rev reverend fr father br brother sr sister hon honorable judge justice eng engr arch atty "
-    "attorney cpa esq esquire phd md dds dvm od herr frau señor señora monsieur madame bay bayan sayın"
-).split()
-SUFFIXES = "jr sr i ii iii iv v phd md dds dvm esq cpa".split()
+    "mr", "mrs", "ms", "miss", "dr", "prof", "professor", "sir", "madam", "mx", "rev", "reverend", "fr", "father", "br", "brother", "sr",
+    "sister", "hon", "honorable", "judge", "justice", "eng", "engr", "arch", "atty", "attorney", "cpa", "esq", "esquire", "phd", "md",
+    "dds", "dvm", "od", "herr", "frau", "señor", "señora", "monsieur", "madame", "bay", "bayan", "sayın",
+)
+SUFFIXES = ("jr", "sr", "i", "ii", "iii", "iv", "v", "phd", "md", "dds", "dvm", "esq", "cpa")
 _NAME = "([A-ZÀ-ÿ][a-zA-ZÀ-ÿ]+)\\s+([A-ZÀ-ÿ][a-zA-ZÀ-ÿ]+)"
 #: Where names stand, in the order of trust; the last two in either case.
 NAME_PLACES = (_NAME + r"\s*[-|,]", _NAME + r"\s*[<(]", r"(?iu)(?:contact|name|person|rep|representative):\s*" + _NAME, r"(?iu)(?:by|from)\s+" + _NAME)
@@ -27,6 +29,8 @@ POSITIONS = (
     r"(?i)(?:position|title|role):\s*([^,\n]+)",
     r"(?iu)\b(Müdür|Yönetici|Mühendis|Uzman|Direktör|Koordinatör|Temsilci|Satış|Pazarlama)\b[^,\n]*",
 )
+#: A word's edge, where words are of ASCII letters, digits and underscores, whatever the Java release.
+EDGE = "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 #: Names made up, and cities with what their country's name begins with.
 MADE_UP = r"(?i)^((john|jane) (doe|smith)$|(test|user|contact|admin)\s)"
 CITIES = {"paris": "france", "london": "uk|united kingdom|england", "tokyo": "japan", "new york": "usa|united states|us"}
@@ -34,12 +38,12 @@ CITIES = {"paris": "france", "london": "uk|united kingdom|england", "tokyo": "ja
 
 def person_name(email: Column, context: Column) -> Column:
     """struct(first_name, last_name) or null: none for a desk's mailbox; else from the context, else from first.last@ or first_last@."""
-    person = ~F.lower(local_part(email)).isin(DESK_PREFIXES)
+    person = ~F.lower(local_part(email)).isin(*DESK_PREFIXES)
     good = lambda x: F.length(x).between(2, 50)
     found = []
     for place in NAME_PLACES:
         first, last = (F.regexp_extract(context, place, g) for g in (1, 2))
-        found.append(F.when(good(first) & good(last) & ~F.lower(first).isin(TITLES) & ~F.lower(last).isin(SUFFIXES), F.struct(first.alias("first_name"), last.alias("last_name"))))
+        found.append(F.when(good(first) & good(last) & ~F.lower(first).isin(*TITLES) & ~F.lower(last).isin(*SUFFIXES), F.struct(first.alias("first_name"), last.alias("last_name"))))
     first, last = (F.initcap(F.regexp_extract(F.lower(local_part(email)), "^([a-z]+)[._]([a-z]+)$", g)) for g in (1, 2))
     found.append(F.when(good(first) & good(last), F.struct(first.alias("first_name"), last.alias("last_name"))))
     return F.when(person, F.coalesce(*found))
@@ -47,7 +51,7 @@ def person_name(email: Column, context: Column) -> Column:
 
 def position_of(context: Column) -> Column:
     """The first pattern's match of 2 to 100 characters; of a labelled position the label stays."""
-    found = [F.trim(F.regexp_extract(context, p, 0)) for p in POSITIONS]
+    found = [F.trim(F.regexp_extract(context, p.replace(r"\b", EDGE), 0)) for p in POSITIONS]
     return F.coalesce(*[F.when(F.length(x).between(2, 100), x) for x in found])
 
 

@@ -7,12 +7,16 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import company as co
 from ..functions import contact as ct
 from ..functions import email as em
+from ..functions import mining as mn
 from ..operators import events as ev
 from ..operators import miners, rules, tables
+from ..operators import normalize as nz
 from ..registry import query
 from ..roles import AS_OF, Roles
+from .enrich import _ATLAS as ATLAS
 
 
 def scratch(r: Roles, name: str) -> str:
@@ -116,3 +120,45 @@ def item_scores_refreshed(r: Roles) -> DataFrame:
     items = r.action_items.withColumn("engagement_score", F.lit(-1).cast("long"))
     before = rules.refresh_scores(items, events, "2024-01-21 00:00:00")
     return rules.refresh_scores(before, events, AS_OF, since="2024-01-21 00:00:00").select("id", "engagement_score")
+
+
+_GOOD = "case when length({x}) between 2 and 200 and regexp_matches({x}, '[a-zA-ZÀ-ÿ]') and lower({x}) not in " + str(co.PAGE_WORDS) + " then {x} end"
+
+
+def _company(x: str) -> str:
+    return _GOOD.replace("{x}", f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))")
+
+
+def _plain(pattern: str) -> str:
+    """A pattern for the SQL side, where words are of ASCII letters as well, and letters of any script fold."""
+    return pattern.replace("(?iu)", "(?i)").replace("'", "''")
+
+
+_PLACES = ", ".join(_company(f"regexp_extract(c, '{_plain(p)}', 1)") for p in co.PLACES)
+_BARE = "case " + " ".join(f"when ends_with(host, '{e}') then left(host, length(host) - {len(e)})" for e in co.ENDINGS) + " else host end"
+_NAMES = ", ".join(
+    f"case when length(regexp_extract(c, '{_plain(p)}', 1)) between 2 and 50 and length(regexp_extract(c, '{_plain(p)}', 2)) between 2 and 50 and lower(regexp_extract(c, '{_plain(p)}', 1)) not in {tuple(mn.TITLES)} "
+    f"and lower(regexp_extract(c, '{_plain(p)}', 2)) not in {tuple(mn.SUFFIXES)} then regexp_extract(c, '{_plain(p)}', 1) || ' ' || regexp_extract(c, '{_plain(p)}', 2) end"
+    for p in mn.NAME_PLACES
+)
+_POSITIONS = ", ".join(f"case when length(trim(regexp_extract(c, '{_plain(p)}', 0))) between 2 and 100 then trim(regexp_extract(c, '{_plain(p)}', 0)) end" for p in mn.POSITIONS)
+_SOCIAL = "|".join(x.replace(".", "\\.") for x in co.SOCIAL)
+
+
+@query("candidates_normalized", f"""with n(name, code) as (values {", ".join(map(str, ATLAS))}),
+    e as (select distinct doc_id as id, text, lower(x) as email from (select doc_id, text, unnest(regexp_extract_all(text, '{em.PATTERN}')) as x from (select doc_id, replace(text, 'example.', 'acme-tools.') as text from documents))),
+    g as (select *, instr(lower(text), email) as pos from e where length(email) between 5 and 254 and length(email) - length(replace(email, '@', '')) = 1 and length(split_part(email, '@', 1)) <= 64 and not regexp_matches(email, '{nz.NO_ADDRESS}') and not regexp_matches(email, '{nz.NO_PERSON}')),
+    k as (select id, email, split_part(email, '@', 2) as host, split_part(email, '@', 1) as desk, regexp_replace(substr(text, greatest(pos - 50, 1), pos - greatest(pos - 50, 1) + length(email) + 50), '^\\s+|\\s+$', '', 'g') as c from g),
+    w as (select *, list_filter(string_split_regex(regexp_replace({_BARE}, '^www\\.', ''), '[-_.]'), lambda x: x <> '') as words, ' ' || regexp_replace(lower(c), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g') || ' ' as spaced, regexp_extract(c, '\\b([A-Z]{{2}})\\b', 1) as pair,
+      list_filter(regexp_extract_all(c, '(?i)https?://[^\\s<>"]+'), lambda u: not regexp_matches(lower(u), '{_SOCIAL}')) as links from k)
+    select id, email, case when desk in {tuple(mn.DESK_PREFIXES)} then null else coalesce({_NAMES}, case when regexp_matches(desk, '^[a-z]+[._][a-z]+$') and length(regexp_extract(desk, '^([a-z]+)', 1)) between 2 and 50 and length(regexp_extract(desk, '([a-z]+)$', 1)) between 2 and 50
+        then upper(desk[1]) || regexp_extract(desk, '^.([a-z]*)', 1) || ' ' || upper(regexp_extract(desk, '[._](.)', 1)) || regexp_extract(desk, '[._].(.*)$', 1) end) end as name,
+      coalesce({_PLACES}, case when host not in {co.PROVIDERS} then {_company("array_to_string(list_transform(words, lambda x: upper(x[1]) || x[2:]), ' ')")} end) as company_name,
+      coalesce(links[1], case when host not in {co.SITELESS_PROVIDERS} then 'https://' || host end) as website, coalesce({_POSITIONS}) as position,
+      coalesce((select first(code order by length(name) desc, name) from n where contains(w.spaced, ' ' || name || ' ')), case when pair in (select code from n) then pair end) as country_code, left(c, 200) as snippet from w""")
+def candidates_normalized(r: Roles) -> DataFrame:
+    # all addresses of the supplied texts are examples, which no candidate may be: they get another host
+    texts = r.table("documents").select("doc_id", F.replace("text", F.lit("example."), F.lit("acme-tools.")).alias("text"))
+    c = nz.candidates_of(texts, dict(ATLAS), "doc_id")
+    name = F.when(F.col("first_name").isNotNull(), F.concat_ws(" ", "first_name", "last_name"))
+    return c.select("id", "email", name.alias("name"), "company_name", "website", "position", "country_code", "snippet")
