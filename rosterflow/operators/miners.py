@@ -101,14 +101,16 @@ def mine_labels(df: DataFrame, id_col: str = "id", text_col: str = "text") -> Da
 
 
 def mine_addresses(df: DataFrame, id_col: str = "id", text_col: str = "text", above: int = 8, below: int = 4) -> DataFrame:
-    """id, email, line, context: each address of a text at the first line that holds it, with the lines around. Within the row."""
+    """id, email, line, context: each address of a text at the first line that holds it, with the lines around. Within the row; only the
+    lines around an address leave it, so that a text of many addresses takes time in proportion."""
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\r?\n", -1)
-    each = df.select(F.col(id_col).alias("id"), lines.alias("lines")).filter(F.array_join("lines", "\n").contains("@"))
-    found = each.select("id", "lines", F.posexplode("lines").alias("line", "text")).filter(F.col("text").contains("@"))
-    found = found.select("id", "lines", "line", F.explode(em.extract_emails(F.col("text"))).alias("email"))
-    start = F.greatest(F.col("line") - above, F.lit(0))
-    context = F.array_join(F.slice("lines", start + 1, F.col("line") + below + 1 - start), "\n")
-    return found.groupBy("id", "email").agg(F.min_by(F.struct("line", context.alias("context")), "line").alias("at")).select("id", "email", "at.line", "at.context")
+    each = df.filter(F.col(text_col).contains("@")).select(F.col(id_col).alias("id"), lines.alias("lines"))
+    start = lambda i: F.greatest(i - above, F.lit(0))
+    context = lambda i: F.array_join(F.slice(F.col("lines"), start(i) + 1, i + below + 1 - start(i)), "\n")
+    spots = F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("line"), F.when(x.contains("@"), em.extract_emails(x)).alias("emails"))), lambda s: F.coalesce(F.size(s["emails"]), F.lit(0)) > 0)
+    found = each.select("id", F.explode(F.transform(spots, lambda s: F.struct(s["line"].alias("line"), s["emails"].alias("emails"), context(s["line"]).alias("context")))).alias("s"))
+    found = found.select("id", "s.line", "s.context", F.explode("s.emails").alias("email"))
+    return found.groupBy("id", "email").agg(F.min_by(F.struct("line", "context"), "line").alias("at")).select("id", "email", "at.line", "at.context")
 
 
 def candidates(results: DataFrame, emails_col: str = "emails") -> DataFrame:

@@ -42,18 +42,6 @@ def access_counts(users: DataFrame, tree: DataFrame, df: DataFrame, owner_col: s
     return role.select("viewer", F.when(F.col("_all"), F.lit(total)).otherwise(F.col("rows")).alias("rows")).filter("rows > 0")
 
 
-def closure_sql(spark, users: DataFrame, depth: int = 32) -> DataFrame:
-    """The same by a recursive query, for trees without cycles."""
-    return spark.sql(
-        """with recursive reach(viewer, member, depth) as (
-             select id, id, 0 from {users}
-             union all
-             select r.viewer, u.id, r.depth + 1 from reach r join {users} u on u.reports_to = r.member where r.depth < {depth}
-           ) select viewer, member, min(depth) as depth from reach group by viewer, member""".replace("{depth}", str(depth)),
-        users=users,
-    )
-
-
 def scoped(df: DataFrame, owner_col: str, tree: DataFrame, viewer, role: str) -> DataFrame:
     """Rows whose owner is the viewer or reports to them; owners and admins see all."""
     if role in ("owner", "admin"):

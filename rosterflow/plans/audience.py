@@ -22,12 +22,15 @@ def resolve(r: Roles, list_id: int, campaign_id: int, mode: str = "exclude_inval
     persons = r.persons.select(F.col("id").alias("person_id"), "email", "first_name", "last_name", "verification_status", F.lower("email").alias("email_key"))
     prospects = r.prospects.select(F.col("id").alias("prospect_id"), F.col("email").alias("p_email"), F.col("name").alias("p_name"), F.col("company").alias("p_company"), F.col("verification_status").alias("p_status"))
     canonical = members.filter("person_id is not null").select("prospect_id", "person_id").join(persons, "person_id").join(prospects, "prospect_id", "left")
-    # one person for each address: the least id, as keyed people are unique by it
-    by_email = persons.groupBy("email_key").agg(F.min_by(F.struct("person_id", "email", "first_name", "last_name", "verification_status"), "person_id").alias("p")).select("email_key", "p.*")
-    fallback = members.filter("person_id is null").select("prospect_id").join(prospects, "prospect_id").withColumn("email_key", F.lower("p_email")).join(by_email, "email_key", "left")
+    unnamed = members.filter("person_id is null").select("prospect_id").join(prospects, "prospect_id").withColumn("email_key", F.lower("p_email"))
+    # one person for each address of the list: the least id, as keyed people are unique by it
+    asked = persons.join(unnamed.select("email_key").distinct(), "email_key", "left_semi")
+    by_email = asked.groupBy("email_key").agg(F.min_by(F.struct("person_id", "email", "first_name", "last_name", "verification_status"), "person_id").alias("p")).select("email_key", "p.*")
+    fallback = unnamed.join(by_email, "email_key", "left")
     columns = ["prospect_id", "person_id", "email", "first_name", "last_name", "verification_status", "p_email", "p_name", "p_company", "p_status"]
     both = canonical.select(columns).unionByName(fallback.select(columns))
-    latest = latest_per_key(r.affiliations, "person_id", "created_at", "id", ["company_name", "position"])
+    theirs = r.affiliations.join(both.select("person_id").distinct(), "person_id", "left_semi")
+    latest = latest_per_key(theirs, "person_id", "created_at", "id", ["company_name", "position"])
     both = both.join(latest, "person_id", "left").select(
         "prospect_id", "person_id", F.coalesce("email", "p_email").alias("email"), full_name(F.col("first_name"), F.col("last_name"), F.col("p_name")).alias("name"),
         F.coalesce("company_name", "p_company").alias("company"), "position", F.coalesce("verification_status", "p_status", F.lit("unknown")).alias("status"),

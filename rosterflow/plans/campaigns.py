@@ -125,6 +125,18 @@ def event_dedup(r: Roles) -> DataFrame:
     return insert_or_ignore(e.limit(0), e, ["campaign_id", "event_type", "email_key", "provider_event_id"], ["occurred_at", "id"], need="provider_event_id").groupBy("campaign_id", "event_type").agg(F.count("*").alias("n"))
 
 
+@query("events_onto_held", """with e as (select *, lower(email) as e from campaign_events), old as (select * from e where id % 3 = 0), new as (select * from e where id % 3 > 0 or id % 4 = 0)
+    select id, campaign_id, event_type from (select *, row_number() over (partition by campaign_id, event_type, e, provider_event_id order by occurred_at, id) as rn from new) x
+    where provider_event_id is null or (rn = 1 and not exists (select 1 from old o where o.campaign_id = x.campaign_id and o.event_type = x.event_type and o.e = x.e and o.provider_event_id = x.provider_event_id))""", "campaign_events")
+def events_onto_held(r: Roles) -> DataFrame:
+    """What is new of events that partly repeat those held."""
+    from ..operators.merge import insert_or_ignore
+
+    e = r.campaign_events.withColumn("email_key", F.lower("email"))
+    fresh = insert_or_ignore(e.filter("id % 3 = 0"), e.filter("id % 3 > 0 or id % 4 = 0"), ["campaign_id", "event_type", "email_key", "provider_event_id"], ["occurred_at", "id"], need="provider_event_id")
+    return fresh.select("id", "campaign_id", "event_type")
+
+
 @query("recipient_states", """with e as (select person_id, event_type, occurred_at, id, row_number() over (partition by person_id order by occurred_at desc, id desc) as rn from campaign_events where event_type in ('open', 'click', 'bounce', 'reply')),
     x as (select person_id, max(case when event_type = 'reply' then (epoch_us(occurred_at), id) end) as r, max(case when event_type = 'bounce' then (epoch_us(occurred_at), id) end) as b, max(case when rn = 1 then event_type end) as last from e group by 1),
     c as (select person_id, count(*) filter (where event_type = 'open') as opens, count(*) filter (where event_type = 'click') as clicks, min(occurred_at) filter (where event_type = 'open') as first_open from campaign_events group by 1)

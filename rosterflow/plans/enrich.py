@@ -9,6 +9,7 @@ from ..functions import company as co
 from ..functions import signature as sg
 from ..operators import countries as cn
 from ..operators import html_miners as hm
+from ..operators import page_cards as pc
 from ..registry import query
 from ..roles import Roles
 
@@ -95,3 +96,20 @@ def cards_mined(r: Roles) -> DataFrame:
     one = F.concat(F.lit('<p>top@page.com</p><div class="row card"><h3>Firm &amp; Co '), (F.col("id") % 13).cast("string"), F.lit('</h3><a href="mailto:A'), s, F.lit('@firm.com">m</a><a href="tel:+49301234567">t</a><a href="https://linkedin.com/x">l</a><a href="https://firm.com/'), s, F.lit('">w</a></div>'))
     rest = F.concat(F.lit('<div class="card"><h3>No mail</h3></div><li class=\'exhibitor\'><b>Bolt</b> <span>c'), s, F.lit("&#64;bolt.com</span> Tel 0212 555 01 02 </li>"))
     return hm.mine_cards(r.persons.select("id", F.concat(one, rest).alias("html")), "id")
+
+
+_LI = ('<ul><li><b>Firm ', '</b><br>Phone: +49 30 1234567<br>Country: Germany<br><a href="mailto:A', '@firm.com?x=1">write</a> <a href="https://www.facebook.com/f">f</a> <a href="https://firm.com/x">w</a></li>')
+_DL = ('</ul><dl><dt>Firma<dd>Bolt ', '<dt>Tel<dd>+49 40 7654321<dt>E-mail</dt><dd>b', '@bolt.com</dd><dt>Web:</dt><dd>www.bolt.com</dd></dl>')
+_NEST = ('<section><h4>Outer</h4><p>Address: Main St. 1</p><section><h4>Inner ', ' &amp; Co</h4><p>City: Rome<br>Ansprechpartner: Eva Roth<br>c', '@inner.org</p></section><p>Phone: 12</p></section>')
+
+
+@query("cards_in_pages", """with p as (select page_id as id from pages where html is not null)
+    select id, 'a' || id || '@firm.com' as email, 'Firm ' || id as company, null as name, '+49 30 1234567' as phone, 'https://firm.com/x' as website, 'Germany' as country, null as city, null as address from p
+    union all select id, 'b' || id || '@bolt.com', 'Bolt ' || id, null, '+49 40 7654321', 'https://www.bolt.com', null, null, null from p
+    union all select id, 'c' || id || '@inner.org', 'Inner ' || id || ' & Co', 'Eva Roth', null, null, null, 'Rome', null from p""")
+def cards_in_pages(r: Roles) -> DataFrame:
+    """Three shapes of cards, one of them nested, at the end of each supplied page."""
+    k = F.col("page_id").cast("string")
+    cards = F.concat(*[x for part in (_LI, _DL, _NEST) for x in (F.lit(part[0]), k, F.lit(part[1]), k, F.lit(part[2]))])
+    pages = r.table("pages").select("page_id", F.concat(F.regexp_replace("html", "@", " at "), cards).alias("html"))
+    return pc.mine_page_cards(pages).drop("title")

@@ -61,16 +61,6 @@ def import_outcomes(r: Roles) -> DataFrame:
     return import_batch(rows, is_valid).groupBy("job_id", "outcome").agg(F.count("*").alias("n"))
 
 
-@query("person_upsert", """with inc as (select organizer_id, lower(email) as email, id as ord, nullif(trim(last_name), '') as last_name, owner_id from persons where id % 2 = 0),
-    old as (select organizer_id, lower(email) as email, nullif(trim(last_name), '') as last_name, owner_id from persons where id % 2 = 1 and id < 1400)
-    select coalesce(o.organizer_id, n.organizer_id) as organizer_id, coalesce(o.email, n.email) as email, coalesce(n.last_name, o.last_name) as last_name, coalesce(o.owner_id, n.owner_id) as owner_id
-    from old o full join (select organizer_id, email, arg_max(last_name, ord) as last_name, arg_min(owner_id, ord) as owner_id from inc group by 1, 2) n on n.organizer_id = o.organizer_id and n.email = o.email""", "persons")
-def person_upsert(r: Roles) -> DataFrame:
-    p = r.persons.withColumn("last_name", F.nullif(F.trim("last_name"), F.lit("")))
-    merged = upsert_persons(p.filter("id % 2 = 1 and id < 1400"), p.filter("id % 2 = 0").withColumn("ord", F.col("id")))
-    return merged.select("organizer_id", "email", "last_name", "owner_id")
-
-
 @query("person_upsert_whole", """with p as (select organizer_id, lower(trim(email)) as email, id, nullif(trim(last_name), '') as last_name, owner_id, epoch(created_at) as made, min(epoch(created_at)) over () as lo, max(epoch(created_at)) over () as hi from persons),
     k as (select *, coalesce(2 * made < lo + hi, false) as before from p where email <> ''), f as (select organizer_id, email, before, arg_max(last_name, id) as last_name, arg_min(owner_id, id) as owner_id from k group by 1, 2, 3)
     select coalesce(o.organizer_id, n.organizer_id) as organizer_id, coalesce(o.email, n.email) as email, coalesce(n.last_name, o.last_name) as last_name, coalesce(o.owner_id, n.owner_id) as owner_id

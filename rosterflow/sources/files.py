@@ -87,14 +87,17 @@ def read_sheet_like(spark: SparkSession, path: str) -> DataFrame:
     cells = cells.withColumn("row", F.monotonically_increasing_id())
     first = cells.filter("block = 0").withColumn("rank", F.row_number().over(Window.partitionBy("file").orderBy("row"))).filter("rank <= 5")
     head = first.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("row", "cells"))).alias("first"))
-    found, fields = [], {}
-    for r in head.collect():  # five rows a file
-        if header := infer_header([list(x.cells) for x in r.first]):
-            found.append((r.file, r.first[header[0]].row, {f: k for k, f in header[1].items()}))
-            fields |= dict.fromkeys(header[1].values())
-    if not found:
+
+    def infer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [(file, rows[h[0]]["row"], {f: k for k, f in h[1].items()}) for file, rows in zip(batch.file, batch["first"], strict=True) if (h := infer_header([list(x["cells"]) for x in rows]))]
+            yield pd.DataFrame(found, columns=["file", "header", "places"])
+
+    headers = head.mapInPandas(infer, "file string, header bigint, places map<string,int>")  # a row a file
+    named = {r.field for r in headers.select(F.explode(F.map_keys("places")).alias("field")).distinct().collect()}
+    fields = [f for f in HEADER_WORDS if f in named]  # no more than there are fields
+    if not fields:
         return spark.createDataFrame([], "email string")
-    headers = F.broadcast(spark.createDataFrame(found, "file string, header bigint, places map<string,int>"))  # a row a file
     rows = cells.join(headers, "file").filter((F.col("block") > 0) | (F.col("row") > F.col("header"))).filter(F.length("value") > 0)
     return rows.select(*[F.nullif(F.get("cells", F.col("places")[f]), F.lit("")).alias(f) for f in fields])
 

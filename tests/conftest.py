@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -12,6 +13,6 @@ os.environ.setdefault("PYTHONPATH", str(Path(__file__).resolve().parent.parent))
 def spark():
     from rosterflow.session import get_session
 
-    s = get_session("tests", "local[4]", **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "4g", "spark.ui.showConsoleProgress": "false"})
+    s = get_session("tests", "local[4]", **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "4g", "spark.ui.showConsoleProgress": "false", "spark.checkpoint.dir": f"file://{tempfile.mkdtemp(prefix='checkpoints-')}"})
     s.sparkContext.setLogLevel("ERROR")
     yield s

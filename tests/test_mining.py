@@ -170,3 +170,38 @@ def test_reconcile(spark):
     ]
     assert next(r for r in got if r.person_id == 5).trigger_detail == "Sequence completed — no response after 2 emails"
     assert {r.person_id for r in rules.changed_people(events, "2024-01-29 00:00:00", "2024-01-31").collect()} == {2, 4} and {r.person_id for r in rules.changed_people(events, "2024-01-25 00:00:00", "2024-01-31").collect()} == {1, 2, 4, 5}
+
+
+def test_page_cards(spark):
+    import time
+
+    from rosterflow.operators import page_cards as pc
+
+    pages = [
+        (1, '<table><tr><th>Firm<td>Acme<tr><td>Name</td><td>Eva Roth</td><td>E-Mail:</td><td>eva@acme.de</td></tr></table>'),
+        (2, "<div>short <span>x@yy.de</span></div>"), (3, None), (4, ""), (5, "<p>no-reply@y.de</p><b>z@y.de</b>"),
+        (6, "<script>a@script.de</script><ul><li>Tel: +49 30 1234567<li><b>Bolt</b><div><div>info@bolt.de</div></div></ul></div></p>"),
+        (7, '<li><a href="mailto:Q@y.de">q@y.de</a> City: Bonn</li><li>q@y.de<br>Country: Peru</li>'),
+    ]
+    got = {(r.id, r.email): r for r in pc.mine_page_cards(spark.createDataFrame(pages, "page_id int, html string")).collect()}
+    assert sorted(got) == [(1, "eva@acme.de"), (2, "x@yy.de"), (6, "info@bolt.de"), (7, "q@y.de")]
+    assert (got[1, "eva@acme.de"].name, got[1, "eva@acme.de"].company) == ("Eva Roth", "Acme")
+    assert got[6, "info@bolt.de"].company == "Bolt" and got[6, "info@bolt.de"].phone is None and got[2, "x@yy.de"].company == "Yy" and got[7, "q@y.de"].country == "Peru"
+    for odd in ("<b>" * 20000 + "<li></li>" * 20000, "<span>" * 20000 + "<a>x</a>" * 20000, "</p>" * 50000, "<p>" * 50000, "<td>x" * 50000):
+        start = time.process_time()
+        elements, _ = pc.tree_of(odd)
+        assert time.process_time() - start < 5 and all(e[1] < k for k, e in enumerate(elements))
+
+
+def test_candidates_around_addresses(spark):
+    from rosterflow.operators import normalize as nz
+
+    texts = [
+        (1, "Acme Tools | Sales Director\nContact: Eva Roth, eva@acme.de, +49 30 1234567, Peru"), (2, "john.smith@firm.co.uk wrote. noreply@x.de a@b.png x@test.example.com"), (3, None), (4, ""),
+        (5, "info@mail.com öLead https://facebook.com/x https://own.io/a BR " + "w " * 40 + "info@mail.com"), (6, "a@b.de, " * 3000),
+    ]
+    got = {(r.id, r.email): r for r in nz.candidates_of(spark.createDataFrame(texts, "id int, text string"), {"peru": "PE", "brazil": "BR"}).collect()}
+    assert sorted(got) == [(1, "eva@acme.de"), (2, "john.smith@firm.co.uk"), (5, "info@mail.com"), (6, "a@b.de")]
+    one, two, five = got[1, "eva@acme.de"], got[2, "john.smith@firm.co.uk"], got[5, "info@mail.com"]
+    assert (one.first_name, one.last_name, one.company_name, one.country_code, one.website) == ("Eva", "Roth", "Acme Tools", "PE", "https://acme.de") and one.position.startswith("Sales")
+    assert (two.first_name, two.last_name, two.company_name) == ("John", "Smith", "Firm") and (five.first_name, five.website, five.country_code) == (None, "https://own.io/a", "BR")
