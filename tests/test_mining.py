@@ -197,11 +197,11 @@ def test_candidates_around_addresses(spark):
     from rosterflow.operators import normalize as nz
 
     texts = [
-        (1, "Acme Tools | Sales Director\nContact: Eva Roth, eva@acme.de, +49 30 1234567, Peru"), (2, "john.smith@firm.co.uk wrote. noreply@x.de a@b.png x@test.example.com"), (3, None), (4, ""),
+        (1, "Acme tools | Sales Director\nContact: Eva Roth, eva@acme.de, +49 30 1234567, Peru"), (2, "john.smith@firm.co.uk wrote. noreply@x.de a@b.png x@test.example.com"), (3, None), (4, ""),
         (5, "info@mail.com öLead https://facebook.com/x https://own.io/a BR " + "w " * 40 + "info@mail.com"), (6, "a@b.de, " * 3000),
     ]
     got = {(r.id, r.email): r for r in nz.candidates_of(spark.createDataFrame(texts, "id int, text string"), {"peru": "PE", "brazil": "BR"}).collect()}
     assert sorted(got) == [(1, "eva@acme.de"), (2, "john.smith@firm.co.uk"), (5, "info@mail.com"), (6, "a@b.de")]
     one, two, five = got[1, "eva@acme.de"], got[2, "john.smith@firm.co.uk"], got[5, "info@mail.com"]
-    assert (one.first_name, one.last_name, one.company_name, one.country_code, one.website) == ("Eva", "Roth", "Acme Tools", "PE", "https://acme.de") and one.position.startswith("Sales")
+    assert (one.first_name, one.last_name, one.company_name, one.country_code, one.website) == ("Eva", "Roth", "Acme tools", "PE", "https://acme.de") and one.position.startswith("Sales")
     assert (two.first_name, two.last_name, two.company_name) == ("John", "Smith", "Firm") and (five.first_name, five.website, five.country_code) == (None, "https://own.io/a", "BR")
