@@ -279,3 +279,37 @@ def test_pipeline_takes_nulls_empty_tables_repeats_and_clashing_columns(spark, t
     assert {r.doc_id for r in got} == {2, 3, None} or {r.doc_id for r in got} == {1, 3, None}
     docs.limit(0).write.parquet(f"{tmp_path}/empty/documents.parquet")
     assert pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+
+
+STORY = "Paragraph of the story, which goes on for a while, and says more than any teaser does. "
+
+
+def test_an_article_keeps_all_that_it_holds():
+    e = html_extract.extract
+    short = "<ul><li>one<li>two</ul><figure><figcaption>cap</figcaption></figure><dl><dt>t<dd>d</dl><table><tr><td>cell</table>"
+    for text in (f"<p>{STORY * 30}</p>", f"<p>{STORY}</p>" * 30):
+        assert e(f"<body><nav>n</nav><article>{text}{short}</article><footer>f</footer></body>").split("\n")[-6:] == ["one", "two", "cap", "t", "d", "cell"]
+    for tag in ("<div class=comment>", "<p class=notice>", "<section class=search>"):
+        assert STORY.strip() in e(f"<body><article><p>Begin of it, well.</p><p>And on.</p>{tag}{STORY * 5}</article></body>")
+    deep = f"<body><article>{'<div>' * 100}<p>{STORY}</p>{'</div>' * 100}<p>Last.</p></article><p>{STORY}</p></body>"
+    assert e(deep).split("\n") == [STORY.strip(), "Last."]
+
+
+def test_what_is_no_article_goes():
+    e = html_extract.extract
+    told = [STORY.strip()] * 6
+    assert e(f"<body>{f'<div>{STORY}</div>' * 6}<div class=bottom>Copyright 2024 ACME</div></body>").split("\n") == told
+    talk = "<div class=talk>" + "<div><b>Joe</b> Nice one, thanks.</div>" * 5 + "</div>"
+    assert e(f"<body><div class=story>{f'<p>{STORY}</p>' * 6}</div>{talk}</body>").split("\n") == told
+    assert e(f"<body><div class=ad>{STORY}</div><article><h1>Title.</h1><p>Short one.</p></article></body>") == "Title.\nShort one."
+    inside = "<div class=ad>Buy now, today!</div><ul><li><a href=/a>Go here, now.</a><li><a href=/b>And here.</a></ul>" + "<div class=comment>Nice, I say.</div>" * 3
+    assert e(f"<body><article>{f'<p>{STORY}</p>' * 6}{inside}</article></body>").split("\n") == told
+
+
+@pytest.mark.parametrize("page", ["<b>" * 10_000 + "<li></li>" * 10_000, "<span>" * 10_000 + "<a>x</a>" * 10_000, "<section><p>x" * 15_000, "<div class=a><b>x" * 12_000, "<table><tr><td>" * 13_000, "<li>x" * 40_000])
+def test_pages_of_any_mix_of_tags_take_linear_time(page):
+    import time
+
+    began = time.process_time()
+    html_extract.extract(page)
+    assert time.process_time() - began < 4
