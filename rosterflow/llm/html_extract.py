@@ -269,7 +269,10 @@ def extract(html: str, threshold: float = 0.15, smooth: float = 0.5) -> str:
     best = max(score.values(), default=0.0)
     if not best:  # links alone
         return ""
-    node, rejected = _content_node(page, found, score, threshold * best), _rejected(page, found, plain)
+    rejected = _rejected(page, found, plain)
+    sound = [b for b in found if rejected[b[4]] < 0] or found
+    best = max(score[b[0]] for b in sound) or best
+    node = _content_node(page, sound, score, threshold * best)
     last = len(page.tag) if node < 0 else node + page.size[node]
     trusted = node >= 0 and page.tag[node] == "article"
 
