@@ -35,17 +35,47 @@ PAIRS = (
 WORDLIKE = 0.5
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 SEGMENT = 256
+#: Folds that lengthen an array copy what they have at each step, so they go over this many entries at a time.
+CHUNK = 64
+#: A long text is cut into pieces of so many characters, in which a place is found without going through the text from its start.
+PIECE = 4096
 
 
-def find_spans(pattern: str, group: int, least: int, rank: int) -> Column:
-    """Spans of a pattern in ``text``: the pieces between matches and the matches give each one's place by their lengths."""
+def let(name: str, value: str, body: str) -> str:
+    """SQL: body with a value worked out once, under a name."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def in_chunks(array: str, total: str, zero: str, start: str, step: str, done: str) -> str:
+    """SQL: the joined results of a fold over each chunk of an array. total: a chunk's own amount, from its entries (``c``), of type of zero;
+    start: the fold's state, from ``at``, what all chunks before came to by ``total`` (a sum, or the largest, by ``a`` and ``x``)."""
+    chunks = f"transform(sequence(0, (size({array}) - 1) div {CHUNK}), k -> slice({array}, cast(k * {CHUNK} + 1 as int), {CHUNK}))"
+    before = f"aggregate(transform(cs, c -> {total}), named_struct('at', {zero}, 'out', array_remove(array({zero}), {zero})), (a, x) -> named_struct('at', {step}, 'out', array_append(a.out, a.at)), a -> a.out)"
+    each = f"flatten(transform(cs, (c, k) -> {let('at', 'bs[k]', start.replace('{fold}', done))}))"
+    return f"if(size({array}) = 0, array(), {let('cs', chunks, let('bs', before, each))})"
+
+
+def find_spans(pattern: str, group: int, least: int, rank: int, text: bool = False) -> Column:
+    """Spans of a pattern in ``text``, with the matches' texts (s) where asked for: the pieces between matches and the matches give each
+    one's place by their lengths, summed chunk by chunk."""
     p = pattern.replace("\\", "\\\\").replace("'", "\\'")
-    spans = f"""aggregate(arrays_zip(split(text, '{p}', -1), regexp_extract_all(text, '{p}', 0), regexp_extract_all(text, '{p}', {group})),
-        named_struct('at', 0, 'out', cast(array() as {SPAN})),
+    kind = SPAN.replace("end:int", "end:int,s:string") if text else SPAN
+    parts = f"arrays_zip(split(text, '{p}', -1), regexp_extract_all(text, '{p}', 0), regexp_extract_all(text, '{p}', {group}))"
+    held = ", 's', x.`1`" if text else ""
+    fold = f"""aggregate(c, named_struct('at', at, 'out', cast(array() as {kind})),
         (s, x) -> named_struct('at', s.at + length(x.`0`) + coalesce(length(x.`1`), 0),
-            'out', if(length(x.`2`) >= {least}, array_append(s.out, named_struct('start', s.at + length(x.`0`), 'kind', {rank}, 'end', s.at + length(x.`0`) + length(x.`1`))), s.out)),
+            'out', if(length(x.`2`) >= {least}, array_append(s.out, named_struct('start', s.at + length(x.`0`), 'kind', {rank}, 'end', s.at + length(x.`0`) + length(x.`1`){held})), s.out)),
         s -> s.out)"""
-    return F.expr(f"if(text rlike '{p}', {spans}, cast(array() as {SPAN}))")
+    total = "aggregate(c, 0, (a, x) -> a + length(x.`0`) + coalesce(length(x.`1`), 0))"
+    spans = let("zs", parts, in_chunks("zs", total, "0", "{fold}", "a.at + x", fold))
+    return F.expr(f"cast(if(text rlike '{p}', {spans}, array()) as {kind})")
+
+
+def overlaps(spans: str, r: str) -> str:
+    """SQL: does r overlap one of the spans? They are in order and apart, so halving finds the last that begins before r ends."""
+    middle = "cast((a.lo + a.hi) div 2 as int)"
+    at = f"aggregate(sequence(1, 32), named_struct('lo', 0, 'hi', size({spans})), (a, k) -> if(a.lo >= a.hi, a, if({spans}[{middle}].start < {r}.end, named_struct('lo', {middle} + 1, 'hi', a.hi), named_struct('lo', a.lo, 'hi', {middle}))), a -> a.lo)"
+    return f"(size({spans}) > 0 and {let('i', at, f'i > 0 and {spans}[greatest(i - 1, 0)].end > {r}.start')})"
 
 
 def window_entropy(window: int) -> str:
@@ -77,14 +107,15 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Extra columns do not matter, whatever their names."""
     d = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     d = d.withColumns({f"s{k}": find_spans(p, group, least, k) for k, (_, p, group, least) in enumerate(PATTERNS)})
-    d = d.withColumn("base", F.array_sort(F.concat("s0", "s1", "s2"))).drop("s0", "s1", "s2")
-    d = d.withColumn("runs", find_spans(CANDIDATE, 0, 20, len(PATTERNS)))
-    d = d.withColumn("runs", F.expr("filter(transform(filter(runs, r -> not exists(base, b -> b.start < r.end and r.start < b.end)), r -> named_struct('r', r, 's', substring(text, r.start + 1, r.end - r.start))), r -> " + " and ".join(["true", *(f"not r.s rlike '^(?:{a})$'".replace("\\", "\\\\") for a in allow)]) + ")"))
+    d = d.withColumn("base", F.array_sort(F.concat("s0", "s1", "s2")))
+    d = d.withColumn("runs", find_spans(CANDIDATE, 0, 20, len(PATTERNS), text=True))
+    apart = " or ".join(overlaps(f"s{k}", "r") for k in range(len(PATTERNS)))
+    d = d.withColumn("runs", F.expr(f"filter(runs, r -> not ({apart}) and " + " and ".join(["true", *(f"not r.s rlike '^(?:{a})$'".replace("\\", "\\\\") for a in allow)]) + ")")).drop("s0", "s1", "s2")
     # long runs are gone along in overlapping segments, so that no step looks through a long string
     parts = f"transform(sequence(0, (length(r.s) - 1) div {SEGMENT}), k -> substring(r.s, k * {SEGMENT} + 1, {SEGMENT + window - 1}))"
     best = f"array_max(transform({parts}, s -> {window_entropy(window)}))"
     least = f"case when r.s rlike '^[0-9a-fA-F]+$' then {float(hex_bits)}D " + "".join(f"when r.s rlike '^(?:{c})$' then {float(bits)}D " for c, bits in classes) + f"else {float(mixed_bits)}D end"
-    d = d.withColumn("added", F.expr(f"transform(filter(runs, r -> {best} >= {least} and not {wordlike('r.s')}), r -> r.r)"))
+    d = d.withColumn("added", F.expr(f"transform(filter(runs, r -> {best} >= {least} and not {wordlike('r.s')}), r -> named_struct('start', r.start, 'kind', r.kind, 'end', r.end))"))
     return d.withColumn("spans", F.array_sort(F.concat("base", "added"))).drop("runs", "added")
 
 
@@ -107,11 +138,15 @@ def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """docs with every span replaced by ``mask``; overlapping spans count as one. Rows without a span are unchanged."""
     d = scan_secrets(docs, id_col, text_col, **options)
     safe = mask.replace("'", "\\'")
-    text = F.expr(
-        f"""aggregate(spans, named_struct('at', 0, 'out', ''),
-            (s, x) -> named_struct('at', greatest(s.at, x.end), 'out', if(x.start < s.at, s.out, concat(s.out, substring(text, s.at + 1, x.start - s.at), '{safe}'))),
-            s -> concat(s.out, substring(text, s.at + 1, length(text))))"""
-    )
+    # what stands between the end of all spans before and a span's start, from the pieces of the text that hold it
+    first, last = f"cast({{a}} div {PIECE} as int)", f"cast({{b}} div {PIECE} as int)"
+    part = f"substring(array_join(slice(ps, {first} + 1, {last} - {first} + 1), ''), {{a}} % {PIECE} + 1, {{b}} - {{a}})"
+    between = part.replace("{a}", "s.at").replace("{b}", "x.start")
+    fold = f"""aggregate(c, named_struct('at', at, 'out', cast(array() as array<string>)),
+        (s, x) -> named_struct('at', greatest(s.at, x.end), 'out', if(x.start < s.at, s.out, array_append(s.out, concat({between}, '{safe}')))), s -> s.out)"""
+    masked = in_chunks("spans", "aggregate(c, 0, (a, x) -> greatest(a, x.end))", "0", "{fold}", "greatest(a.at, x)", fold)
+    end = "aggregate(spans, 0, (a, x) -> greatest(a, x.end))"
+    text = F.expr(let("ps", f"regexp_extract_all(text, '(?s).{{1,{PIECE}}}', 0)", f"concat(array_join({masked}, ''), substring(text, {end} + 1, length(text)))"))
     d = d.withColumn("clean", F.when(F.size("spans") == 0, F.col(f"row.`{text_col}`")).otherwise(text))
     fixed = {text_col: F.col("clean")}
     if length_col in docs.columns:

@@ -358,3 +358,18 @@ def test_stale_archives_are_not_read_and_gaps_are_logged(spark, tmp_path):
     got = sorted(((r.page_id, r.record_type, r.refers_to) for r in warc.archive_round_trip(df, folder).collect()), key=repr)
     assert got == [(3, "response", None), (None, "response", None), (None, "revisit", 3)]
     assert spark.read.parquet(f"{folder}/gaps").count() == 0
+
+
+def test_many_findings_in_one_text_take_time_in_proportion(spark):
+    """Base findings side by side, overlapping ones, and runs beside them, over chunks and pieces of the text."""
+    rng = random.Random(8)
+    parts, clean = [], []
+    for k in range(3000):
+        word, key = rng.choice(["é😀 ", "and ", "x" * rng.randint(1, 40) + " "]), "".join(rng.choice("ABCDEFGHJKMNPQRSTUVWXYZ") + rng.choice("23456789") + rng.choice("abcdefghjkmnpqrstuvwxyz") for _ in range(8))
+        parts += [word, "token=" + key + " "]
+        clean += [word, "[secret] "]
+    text = "".join(parts)
+    docs = frame(spark, [(1, text), (2, "none"), (3, text[:9000])])
+    spans = {r.doc_id: r.spans.split(",") for r in secrets.secret_report(docs).collect()}
+    assert len(spans[1]) == 3000 and all(text[int(a) : int(b)].startswith("token=") for _, a, b in (x.split(":") for x in spans[1]))
+    assert {r.doc_id: r.text for r in secrets.redact_secrets(docs).collect()}[1] == "".join(clean)
