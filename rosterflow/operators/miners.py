@@ -32,11 +32,12 @@ LABELS = {
         "البريد الإلكتروني", "إيميل", "بريد", "электронная почта", "почта", "имейл", "电子邮件", "邮箱", "电邮", "メール", "メールアドレス", "eメール", "이메일", "메일", "전자메일",
     ),
     "phone": (
-        "phone", "telephone", "tel", "mobile", "cell", "cellphone", "phone number", "contact number", "fax", "telefon", "gsm", "cep", "cep telefonu", "mobil", "faks",
+        "phone", "telephone", "tel", "mobile", "cell", "cellphone", "phone number", "contact number", "telefon", "gsm", "cep", "cep telefonu", "mobil",
         "téléphone", "tél", "portable", "numéro", "handy", "mobiltelefon", "rufnummer", "teléfono", "móvil", "celular", "número", "telefono", "cellulare", "numero",
-        "telefoon", "mobiel", "telefone", "telemóvel", "هاتف", "تلفون", "جوال", "موبايل", "رقم", "فاكس", "телефон", "тел", "мобильный", "сотовый", "факс",
-        "电话", "手机", "移动电话", "联系电话", "传真", "電話", "携帯", "携帯電話", "ファックス", "전화", "휴대폰", "핸드폰", "팩스",
+        "telefoon", "mobiel", "telefone", "telemóvel", "هاتف", "تلفون", "جوال", "موبايل", "رقم", "телефон", "тел", "мобильный", "сотовый",
+        "电话", "手机", "移动电话", "联系电话", "電話", "携帯", "携帯電話", "전화", "휴대폰", "핸드폰",
     ),
+    "fax": ("fax", "faks", "فاكس", "факс", "传真", "ファックス", "팩스"),  # a phone where there is no other
     "country": (
         "country", "nation", "country/region", "ülke", "memleket", "pays", "land", "staat", "país", "nación", "paese", "nazione", "nação",
         "بلد", "دولة", "الدولة", "страна", "государство", "国家", "国", "地区", "国名", "국가", "나라",
@@ -61,7 +62,7 @@ LABELS = {
         "المسمى الوظيفي", "وظيفة", "منصب", "должность", "позиция", "звание", "职位", "头衔", "职务", "役職", "職位", "肩書き", "직함", "직위", "역할",
     ),
 }
-FIELDS = tuple(LABELS)
+FIELDS = tuple(f for f in LABELS if f != "fax")
 FIELD_OF = {word: field for field, words in reversed(LABELS.items()) for word in words}
 LABELLED = r"(?iu)^(" + one_of(FIELD_OF) + r")\s*[:\-]\s*(.+)$"
 
@@ -97,7 +98,8 @@ def mine_labels(df: DataFrame, id_col: str = "id", text_col: str = "text") -> Da
     opens = F.when((F.col("field") == "company") & (before == 1), 1).otherwise(0)
     part = labelled.withColumn("opens", opens).withColumn("contact", F.sum("opens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     last = lambda f: F.max_by("value", F.when(F.col("field") == f, F.col("line")))
-    return part.groupBy("id", "contact").agg(*[last(f).alias(f) for f in FIELDS]).withColumn("email", F.lower(F.regexp_extract("email", em.PATTERN, 0))).filter("email != ''")
+    values = {f: F.coalesce(last(f), last("fax")) if f == "phone" else last(f) for f in FIELDS}
+    return part.groupBy("id", "contact").agg(*[v.alias(f) for f, v in values.items()]).withColumn("email", F.lower(F.regexp_extract("email", em.PATTERN, 0))).filter("email != ''")
 
 
 def mine_addresses(df: DataFrame, id_col: str = "id", text_col: str = "text", above: int = 8, below: int = 4) -> DataFrame:

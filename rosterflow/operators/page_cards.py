@@ -173,7 +173,7 @@ def mine_page_cards(pages: DataFrame, id_col: str = "page_id", html_col: str = "
     value = lambda f: F.get(F.filter("fields", lambda p: p["field"] == f), F.lit(0))["value"]
     filled = {f: value(f) for f in FIELDS if f != "email"}
     filled["company"] = F.coalesce(filled["company"], "bold", co.company_of_domain(F.col("email")))
-    filled["phone"] = F.coalesce(filled["phone"], "number")
+    filled["phone"] = F.coalesce(filled["phone"], value("fax"), "number")
     filled["website"] = F.coalesce(ct.clean_website(filled["website"]), "link")
     rows = cards.select("id", "email", "n", *[v.alias(f) for f, v in filled.items()])
     return rows.groupBy("id", "email").agg(*[F.min_by(f, F.when(F.col(f).isNotNull(), F.col("n"))).alias(f) for f in filled])
