@@ -23,7 +23,8 @@ def scratch(r: Roles, name: str) -> str:
     """A new folder that all executors share; only a session in one JVM may do without the setting."""
     root = r.spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not r.spark.sparkContext.master.startswith("local["):
+        master = r.spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file:///tmp/checkpoints"
     path = f"{root.rstrip('/')}/rosterflow-{uuid.uuid4().hex}"
