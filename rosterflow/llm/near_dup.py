@@ -12,8 +12,8 @@ agree too rarely to be similar go; the others are verified on their whole weight
 
 Buckets that hold more than one class then may hide links between members that never led. Their nodes are compared by prefix filtering,
 which is exact: two sets above the threshold have a shingle in common among the rarest of either, and may not have too little left from
-there on. Nodes of a rare shingle's most frequent class meet those of its other classes, in tiles of bounded size; what passes both
-bounds and lies in different classes is verified. A class is never compared with itself, and no list of a bucket's pairs is made.
+there on. A rare shingle's nodes are cut by the weights that a partner may have (``by_total``); those of its most frequent class meet
+those of its other classes, in tiles of bounded size; what passes both bounds and lies in different classes is verified. A class is never compared with itself, and no list of a bucket's pairs is made.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,8 @@ TABLE_BITS = 16
 #: Document frequencies are kept for 2**DF_BITS values of a word's hash: 2 MB whatever the vocabulary; words with one value share their sum.
 DF_BITS = 18
 TILE = 256
+#: Totals of one band differ by this factor at most.
+BAND = 1.125
 
 
 def _words(text: str) -> list[bytes]:
@@ -168,19 +171,43 @@ def rare_prefixes(sets: DataFrame, threshold: float) -> DataFrame:
     return materialize(each.select("key", "node", "label", "behind", "total"), "prefixes")
 
 
-def tiles(prefixes: DataFrame, samples: DataFrame) -> DataFrame:
-    """Rows of tiles: in each bucket the nodes of all classes but its most frequent (``lead``) meet every node, in tiles of about
-    TILE by TILE, each with key, i, j, lead, other (is its class not the most frequent one?), node, label, behind, total, samples."""
-    by_class = prefixes.groupBy("key", "label").agg(F.count("*").alias("c"))
-    stats = by_class.groupBy("key").agg(F.sum("c").alias("n"), F.max("c").alias("most"), F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("classes"))
-    stats = materialize(stats.filter("classes > 1"), "prefix_sizes")
-    rows = Spread(stats, "key").join(prefixes, stats, "key", by="node").join(samples, "node")
+def by_total(prefixes: DataFrame, threshold: float) -> DataFrame:
+    """The buckets of rare_prefixes, each cut by total weight: key, node, label, behind, total, small, large.
+
+    What two sets share weighs at least threshold / (1 + threshold) of their totals together, and no more than what is behind in
+    either. So the lighter of a pair reaches totals up to ``behind`` over that share, less its own; a set whose reach ends below its own
+    total is the heavier one of each of its pairs. Totals fall into bands. A set is large in its own band, and small in all bands from
+    its own to that of its reach, which are four at most. A pair above the threshold meets in the heavier one's band."""
+    reach = F.col("behind") / (threshold / (1 + threshold) - 1e-6) - F.col("total")
+    band = lambda x: F.floor(F.log(x) / math.log(BAND))
+    small = F.col("_reach") >= F.col("total") * (1 - 1e-9)
+    cut = prefixes.withColumn("_reach", reach).withColumns({"small": small, "_home": band("total")})
+    cut = cut.withColumn("_band", F.explode(F.sequence("_home", F.when(F.col("small"), F.greatest("_home", band(F.col("_reach") * (1 + 1e-9)))).otherwise(F.col("_home")))))
+    return cut.select(F.xxhash64("key", "_band").alias("key"), "node", "label", "behind", "total", "small", (F.col("_band") == F.col("_home")).alias("large"))
+
+
+def tiles(buckets: DataFrame, samples: DataFrame) -> DataFrame:
+    """Rows of tiles of about TILE by TILE, each with key, i, j, lead, node, label, behind, total, samples: in each bucket the small nodes
+    (``lead``) of all classes but its most frequent meet every large node, and those of the most frequent class the large ones of others."""
+    count = lambda c: F.count_if(c)
+    by_class = buckets.groupBy("key", "label").agg(F.count("*").alias("c"), count(F.col("small")).alias("s"), count(F.col("large")).alias("l"))
+    stats = by_class.groupBy("key").agg(F.sum("c").alias("n"), F.sum("s").alias("s"), F.sum("l").alias("l"), F.count("*").alias("classes"), F.max_by(F.struct("label", "s", "l"), F.struct("c", "label")).alias("main"))
+    stats = stats.filter("classes > 1 and s > 0 and l > 0")
+    # leads and others of both kinds of tiles: 0, small ones of other classes; 1, those of the most frequent class
+    stats = stats.select("key", "n", F.col("main.label").alias("main"), (F.col("s") - F.col("main.s")).alias("s0"), F.col("l").alias("l0"), F.col("main.s").alias("s1"), (F.col("l") - F.col("main.l")).alias("l1"))
+    stats = materialize(stats, "prefix_sizes")
+    rows = Spread(stats, "key").join(buckets, stats, "key", by="node").join(samples, "node")
     deal = lambda part, n: F.pmod(F.xxhash64("node", F.lit(part)), n)
-    rows = rows.withColumns({"wide": F.ceil((F.col("n") - F.col("most")) / TILE), "long": F.ceil(F.col("n") / TILE), "other": F.col("label") != F.col("main")})
-    every = rows.withColumns({"lead": F.lit(False), "j": deal(2, F.col("long")), "i": F.explode(F.sequence(F.lit(0).cast("long"), F.col("wide") - 1))})
-    other = rows.filter("other").withColumns({"lead": F.lit(True), "i": deal(1, F.col("wide")), "j": F.explode(F.sequence(F.lit(0).cast("long"), F.col("long") - 1))})
-    names = ["key", "i", "j", "lead", "other", "node", "label", "behind", "total", "samples"]
-    return every.select(names).unionByName(other.select(names)).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", F.desc("lead"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    names = ["key", "i", "j", "lead", "node", "label", "behind", "total", "samples"]
+    main, out = F.col("label") == F.col("main"), []
+    for kind, lead, other in ((0, ~main, F.lit(True)), (1, main, ~main)):
+        wide, long = F.ceil(F.col(f"s{kind}") / TILE), F.ceil(F.col(f"l{kind}") / TILE)
+        met = rows.filter((F.col(f"s{kind}") > 0) & (F.col(f"l{kind}") > 0))
+        leads = met.filter(F.col("small") & lead).withColumns({"lead": F.lit(True), "_i": deal(1, wide), "j": every(long)})
+        others = met.filter(F.col("large") & other).withColumns({"lead": F.lit(False), "j": deal(2, long), "_i": every(wide)})
+        out += [x.withColumn("i", F.col("_i") * 2 + kind).select(names) for x in (leads, others)]
+    return reduce(DataFrame.unionByName, out).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", F.desc("lead"))
 
 
 def _fixed(column: pa.Array, width: int) -> np.ndarray:
@@ -330,25 +357,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             share, tile, held, leads = threshold / (1 + threshold) - 1e-6, None, [], None
             for batch in batches:
                 place = np.stack([batch.column(c).to_numpy() for c in range(3)], 1)
-                lead, other = (batch.column(c).to_numpy(zero_copy_only=False) for c in (3, 4))
-                node, label = (_fixed(batch.column(c), 16) for c in (5, 6))
-                behind, total = (batch.column(c).to_numpy() for c in (7, 8))
-                sample = _fixed(batch.column(9), 4 * n_samples).view(np.uint32)
+                lead = batch.column(3).to_numpy(zero_copy_only=False)
+                node, label = (_fixed(batch.column(c), 16) for c in (4, 5))
+                behind, total = (batch.column(c).to_numpy() for c in (6, 7))
+                sample = _fixed(batch.column(8), 4 * n_samples).view(np.uint32)
                 cuts = [0, *(np.flatnonzero((place[1:] != place[:-1]).any(1) | (lead[1:] != lead[:-1])) + 1), len(place)]
                 for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
                     if stop == start:
                         continue
                     if (at := tuple(place[start])) != tile:
                         tile, held, leads = at, [], None
-                    part = tuple(x[start:stop] for x in (node, label, behind, total, sample, other))
+                    part = tuple(x[start:stop] for x in (node, label, behind, total, sample))
                     if lead[start]:
                         held.append(part)
                         continue
                     if leads is None:
                         leads = tuple(np.concatenate(x) for x in zip(*held, strict=True)) if held else ()
                     for x in range(0, stop - start if leads else 0, TILE):
-                        n, lab, beh, tot, sam, oth = (c[x : x + TILE] for c in part)
+                        n, lab, beh, tot, sam = (c[x : x + TILE] for c in part)
                         able = np.minimum.outer(beh, leads[2]) >= share * np.add.outer(tot, leads[3])
+                        able &= np.less_equal.outer(leads[3], tot).T
                         able &= (lab[:, None, :] != leads[1][None, :, :]).any(2)
                         one, two = np.nonzero(able)
                         fit = np.empty(len(one), bool)
@@ -356,13 +384,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                             fit[k : k + 50_000] = (sam[one[k : k + 50_000]] == leads[4][two[k : k + 50_000]]).sum(1) >= least
                         one, two = one[fit], two[fit]
                         if len(one):
-                            a, b = ([bytes(v) for v in c] for c in (n[one], leads[0][two]))
-                            once = np.array([not o or p < q for o, p, q in zip(oth[one], a, b, strict=True)])  # two of the others meet twice
-                            columns = (a, b, [bytes(v) for v in lab[one]], [bytes(v) for v in leads[1][two]])
-                            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()).filter(pa.array(once)) for c in columns], ["a", "b", "la", "lb"])
+                            # of equal totals both may lead: the larger node comes first in either case
+                            rows = [max((bytes(n[o]), bytes(lab[o]), bytes(leads[0][t]), bytes(leads[1][t])), (bytes(leads[0][t]), bytes(leads[1][t]), bytes(n[o]), bytes(lab[o]))) for o, t in zip(one, two, strict=True)]
+                            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.binary()) for c in (0, 2, 1, 3)], ["a", "b", "la", "lb"])
 
         prefixes = rare_prefixes(sets.join(crowd, "node"), threshold)
-        met = tiles(prefixes, samples).mapInArrow(meet, "a binary, b binary, la binary, lb binary").distinct()
+        met = tiles(by_total(prefixes, threshold), samples).mapInArrow(meet, "a binary, b binary, la binary, lb binary").distinct()
         more = verified(met, agreeing=True)
         links = links.unionByName(more)
         joined = components(more.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("least"))

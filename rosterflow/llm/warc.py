@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MembershipFilter, materialize, scratch_path
+from .common import MembershipFilter, Spread, materialize, scratch_path
 
 MAGIC = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
@@ -155,8 +155,9 @@ def payload_roles(pages: DataFrame, id_col: str, html_col: str, least: int = 0)
     rows = pages.select(F.col(id_col).alias("id"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     rows = rows.select("id", F.unhex(F.sha2("html", 256)).alias("digest"), F.octet_length("html").alias("size")).filter(F.col("size") >= least)
     rows = materialize(rows, "payloads")
-    groups = rows.groupBy("digest").agg(F.max("id").alias("leader"), F.count("*").alias("n")).filter("n > 1").select("digest", "leader")
-    return rows.join(groups, "digest").filter("not id <=> leader").select("id", "digest", "leader")
+    groups = materialize(rows.groupBy("digest").agg(F.max("id").alias("leader"), F.count("*").alias("n")).filter("n > 1"), "shared")
+    # one payload may stand on a large part of all pages
+    return Spread(groups, "digest").join(rows, groups.select("digest", "leader"), "digest", by="id").filter("not id <=> leader").select("id", "digest", "leader")
 
 
 def archive_folder(folder: str) -> tuple[arrow_fs.FileSystem, str]:
@@ -265,6 +266,6 @@ def archive_round_trip(pages: DataFrame, folder: str | None = None, id_col: str
     if written.isEmpty():
         return spark.createDataFrame([], f"{id_col} {kind.simpleString()}, payload_bytes bigint, payload_digest string, record_type string, refers_to {kind.simpleString()}")
     found = materialize(read_archives(spark, folder, listed=written).drop("payload", "url"), "read")
-    found.filter("kind = 'gap'").select("file", "start", "end", "reason").coalesce(1).write.mode("overwrite").parquet(f"{folder}/gaps")
+    found.filter("kind = 'gap'").select("file", "start", "end", "reason").write.mode("overwrite").parquet(f"{folder}/gaps")
     r = found.filter("kind = 'record'")
     return r.select(F.col("page_id").cast(kind).alias(id_col), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))

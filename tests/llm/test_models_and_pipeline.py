@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rosterflow.llm import html_extract, near_dup, toxicity
+from rosterflow.llm import html_extract, near_dup, toxicity, warc
 
 SF = "/root/testdata/sf0.01"
 
@@ -313,3 +313,31 @@ def test_pages_of_any_mix_of_tags_take_linear_time(page):
     began = time.process_time()
     html_extract.extract(page)
     assert time.process_time() - began < 4
+
+
+def test_pairs_that_meet_in_tiles_are_those_of_the_bounds(spark):
+    rng = random.Random(21)
+    rows, samples, t = [], [], 0.8
+    for k in range(900):
+        node, total = k.to_bytes(16, "big"), rng.choice([1.0, 5.0, 5.05, rng.uniform(4, 9)])
+        rows.append((rng.randrange(2), node, (rng.choice([0, 0, 0, rng.randrange(40)])).to_bytes(16, "big"), rng.uniform(t, 1) * total, total))
+        samples.append((node, b""))
+    buckets = near_dup.by_total(spark.createDataFrame(rows, "key bigint, node binary, label binary, behind double, total double"), t)
+    met = near_dup.tiles(buckets, spark.createDataFrame(samples, "node binary, samples binary")).collect()
+    sides = {}
+    for r in met:
+        sides.setdefault((r.key, r.i, r.j), ([], []))[r.lead].append((bytes(r.node), bytes(r.label)))
+    found = {frozenset((a, b)) for others, leads in sides.values() for a, la in leads for b, lb in others if la != lb}
+    want = {frozenset((a[1], b[1])) for a, b in itertools.combinations(rows, 2) if a[0] == b[0] and a[2] != b[2] and min(a[3], b[3]) >= t / (1 + t) * (a[4] + b[4])}
+    assert len(want) > 1_000 and want <= found
+    # just under the threshold no set may be the lighter one: nothing is compared, however many there are
+    under = [(1, k.to_bytes(16, "big"), k.to_bytes(16, "big"), 0.88 * x, x) for k, x in enumerate([5.0, 5.01] * 1500)]
+    samples = spark.createDataFrame([(node, b"") for _, node, *_ in under], "node binary, samples binary")
+    under = near_dup.by_total(spark.createDataFrame(under, "key bigint, node binary, label binary, behind double, total double"), t)
+    assert near_dup.tiles(under, samples).count() == 0
+
+
+def test_one_payload_on_most_pages_has_one_response(spark):
+    df = spark.createDataFrame([(k, "u", "same" if k % 3 else f"own {k}") for k in range(600)], "page_id bigint, url string, html string")
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.archive_round_trip(df).collect()}
+    assert got == {k: ("response", None) if k % 3 == 0 or k == 599 else ("revisit", 599) for k in range(600)}
