@@ -156,7 +156,7 @@ def after(df: DataFrame, key: str, last: object, n: int) -> DataFrame:
 
 
 def json_merge(old: Column, new: Column) -> Column:
-    """Top-level merge of two JSON objects: the new one's fields win. Null counts as an empty object."""
-    parsed = lambda x: F.coalesce(F.from_json(x, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    """Top-level merge of two JSON objects: the new one's fields win, values keep their kinds. Null counts as an empty object."""
+    parsed = lambda x: F.coalesce(F.from_json(x, "map<string,variant>"), F.create_map().cast("map<string,variant>"))
     kept = F.map_filter(parsed(old), lambda k, v: ~F.map_contains_key(parsed(new), k))
     return F.to_json(F.map_concat(kept, parsed(new)))

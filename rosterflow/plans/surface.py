@@ -263,3 +263,42 @@ def crawls_ended(r: Roles) -> DataFrame:
     contacts = F.when((page > 12) | (F.col("c_custkey") % 7 == 0), 0).otherwise(5)
     pages = r.table("customer").select(job.alias("job_id"), page.alias("page"), contacts.alias("contacts"), F.floor(page / (1 + job % 4)).cast("string").alias("content_hash"))
     return ev.crawl_stop(pages)
+
+
+@query("typed_json", """with m as (select id, json_merge_patch(json_object('a', id, 'b', last_name is null, 'd', json_object('x', organizer_id)), json_object('b', owner_id, 'c', json_array(id, 1))) as j from persons)
+    select id, json_extract_string(j, '$.a') as a, json_extract_string(j, '$.b') as b, json_extract_string(j, '$.c[0]') as c0, json_extract_string(j, '$.d.x') as x,
+      concat_ws(',', json_type(j, '$.a') = 'UBIGINT', json_type(j, '$.b') = 'UBIGINT', json_type(j, '$.c') = 'ARRAY', json_type(j, '$.d') = 'OBJECT') as kinds from m""", "persons")
+def typed_json(r: Roles) -> DataFrame:
+    old = F.to_json(F.struct(F.col("id").alias("a"), F.col("last_name").isNull().alias("b"), F.struct(F.col("organizer_id").alias("x")).alias("d")))
+    new = F.to_json(F.struct(F.col("owner_id").alias("b"), F.array(F.col("id"), F.lit(1)).alias("c")))
+    m = r.persons.select("id", F.parse_json(rel.json_merge(old, new)).alias("j"))
+    kind = lambda path, name: F.startswith(F.schema_of_variant(F.variant_get("j", path, "variant")), F.lit(name)).cast("string")
+    get = lambda path: F.variant_get("j", path, "string")
+    kinds = F.concat_ws(",", kind("$.a", "BIGINT"), kind("$.b", "BIGINT"), kind("$.c", "ARRAY"), kind("$.d", "OBJECT"))
+    return m.select("id", get("$.a").alias("a"), get("$.b").alias("b"), get("$.c[0]").alias("c0"), get("$.d.x").alias("x"), kinds.alias("kinds"))
+
+
+@query("addresses_united", """with m as (select id, string_split(emails, ',') as e, ['first@d1.example', string_split(emails, ',')[1]] as more from mining_results)
+    select id, array_to_string(list_sort(list_distinct(list_concat(e, more))), ',') as united, len(list_distinct(list_concat(e, more))) as n_united, len(list_concat(e, more)) as n_all from m""", "mining_results")
+def addresses_united(r: Roles) -> DataFrame:
+    m = r.mining_results.select("id", F.split("emails", ",").alias("e")).withColumn("more", F.array(F.lit("first@d1.example"), F.get("e", F.lit(0))))
+    united = F.array_union("e", "more")
+    return m.select("id", F.array_join(F.sort_array(united), ",").alias("united"), F.size(united).cast("long").alias("n_united"), F.size(F.concat("e", "more")).cast("long").alias("n_all"))
+
+
+@query("person_has_intent", "select p.id from persons p where exists (select 1 from campaign_events e where e.person_id = p.id and e.event_type in ('reply', 'click'))", "persons campaign_events")
+def person_has_intent(r: Roles) -> DataFrame:
+    strong = r.campaign_events.filter(F.col("event_type").isin("reply", "click")).select(F.col("person_id").alias("id"))
+    return r.persons.select("id").join(strong, "id", "left_semi")
+
+
+@query("prospects_without_tags", "select list_id, prospect_id from list_members where coalesce(len(string_split(nullif(tags, ''), ',')), 0) = 0", "list_members")
+def prospects_without_tags(r: Roles) -> DataFrame:
+    tags = F.filter(F.split("tags", ","), lambda x: x != "")
+    return r.list_members.filter(F.coalesce(F.size(tags), F.lit(0)) == 0).select("list_id", "prospect_id")
+
+
+@query("contacts_by_source", """select source, count(*) as contacts, count(email) as addressed, count(distinct lower(trim(email))) as addresses, count(phone) filter (where email is null) as only_phone
+    from contacts group by 1""", "contacts")
+def contacts_by_source(r: Roles) -> DataFrame:
+    return r.contacts.groupBy("source").agg(F.count("*").alias("contacts"), F.count("email").alias("addressed"), F.countDistinct(F.lower(F.trim("email"))).alias("addresses"), F.count(F.when(F.col("email").isNull(), F.col("phone"))).alias("only_phone"))
