@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import contact as ct
 from ..functions import email as em
-from .miners import mine_labels
+from .miners import labels_within, spread
 
 #: Class words of the elements that hold one contact each, and the elements that may.
 CARD_WORDS = "card|exhibitor|member|profile|company|vendor|listing|person|speaker|team-member|contact-item|exhibitor-item"
@@ -38,7 +38,8 @@ def directory_text(html: Column) -> Column:
 
 def mine_directory(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """id, contact and its fields, of a page's entries that have an e-mail, as mine_labels gives them. Null pages have none."""
-    return mine_labels(pages.select(F.col(id_col).alias("id"), directory_text(F.col(html_col)).alias("text")))
+    dealt = spread(pages.select(id_col, html_col), id_col)
+    return labels_within(dealt.select(F.col(id_col).alias("id"), directory_text(F.col(html_col)).alias("text")))
 
 
 def mine_cards(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
