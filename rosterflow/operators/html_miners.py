@@ -44,9 +44,9 @@ def mine_directory(pages: DataFrame, id_col: str = "page_id", html_col: str = "h
 
 def mine_cards(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """id, card (its number on the page, from 1), email, company, phone, website of cards that hold an address. A card reaches up to the
-    next one; its first heading or bold text is its company. Within the row: no shuffle."""
+    next one; its first heading or bold text is its company. Within the row, once pages are dealt by id."""
     pieces = F.split(_visible(F.col(html_col)), f"(?i)(?={CARD})", -1)
-    cards = pages.select(F.col(id_col).alias("id"), F.posexplode(pieces).alias("card", "piece")).filter(F.col("piece").rlike(f"(?i)^{CARD}") & F.col("piece").rlike("@|&#64;"))
+    cards = spread(pages.select(id_col, html_col), id_col).select(F.col(id_col).alias("id"), F.posexplode(pieces).alias("card", "piece")).filter(F.col("piece").rlike(f"(?i)^{CARD}") & F.col("piece").rlike("@|&#64;"))
     piece = F.col("piece")
     text = _decoded(F.regexp_replace(piece, "<[^>]*>", " "))
     linked = F.lower(F.regexp_extract(piece, r"""(?i)href\s*=\s*["']mailto:([^"'?]+)""", 1))

@@ -115,6 +115,21 @@ def test_candidates_keep_numbered_mailboxes(spark):
     assert sorted(r.email for r in got) == ["desk100000@plain.net", "desk1350000@plain.net", "desk99999@plain.net"]
 
 
+def test_rows_of_one_split_are_mined_by_several_tasks(spark):
+    from rosterflow.operators import html_miners as hm
+    from rosterflow.operators import miners
+
+    s = F.col("id").cast("string")
+    one_split = spark.range(0, 64, 1, 1)
+    labels = miners.mine_labels(one_split.select("id", F.concat(F.lit("Name: Ann\nE-mail: a"), s, F.lit("@x.co")).alias("text")))
+    directory = hm.mine_directory(one_split.select("id", F.concat(F.lit("<b>Firm</b><br><b>Email:</b> a"), s, F.lit("@x.co<br>")).alias("html")), "id")
+    cards = hm.mine_cards(one_split.select("id", F.concat(F.lit('<div class="card"><b>Firm</b> a'), s, F.lit("@x.co</div>")).alias("html")), "id")
+    for mined in (labels, directory, cards):
+        rows = mined.select("id", "email", F.spark_partition_id().alias("task")).collect()
+        assert sorted((r.id, r.email) for r in rows) == [(i, f"a{i}@x.co") for i in range(64)]
+        assert len({r.task for r in rows}) > 1
+
+
 def test_tables_in_texts(spark):
     from rosterflow.operators import tables
 
