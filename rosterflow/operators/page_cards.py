@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from ..functions import company as co
 from ..functions import contact as ct
 from ..functions import email as em
 from ..functions.signature import bound
-from .miners import FIELDS, field_of, label_of
+from .miners import FIELDS, field_of, label_of, spread
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 SILENT = frozenset(("script", "style", "noscript", "template"))
@@ -28,6 +29,9 @@ NEAREST = ("tr", "li", "div", "td", "dd", "article", "section")
 TEXT_TAGS = ("td", "th", "li", "p", "div", "span", "dd", "dt", "address")
 BOLD = ("h1", "h2", "h3", "h4", "h5", "h6", "b", "strong")
 
+#: Trees of so many characters of pages are held at once in a task.
+SLICE = 500_000
+
 ELEMENT = "struct<tag:string,parent:int,size:int,start:int,stop:int,chars:int,nearest:int,href:string>"
 TREE = f"elements array<{ELEMENT}>, pieces array<struct<owner:int,text:string>>"
 
@@ -99,22 +103,35 @@ def tree_of(html: str | None) -> tuple[list, list]:
     return builder.finish()
 
 
+def _structs(rows: list[list], names: dict[str, pa.DataType]) -> pa.Array:
+    """A list of structs for each page, from tuples, column by column."""
+    places = np.cumsum([0, *map(len, rows)], dtype=np.int32)
+    columns = [pa.array([x[k] for row in rows for x in row], kind) for k, kind in enumerate(names.values())]
+    return pa.ListArray.from_arrays(pa.array(places), pa.StructArray.from_arrays(columns, list(names)))
+
+
+def tree_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, elements, pieces from batches of id and html. Trees leave after every SLICE characters of pages, so that no task ever holds
+    those of a whole batch."""
+    element = {n: pa.string() if n in ("tag", "href") else pa.int32() for n in ("tag", "parent", "size", "start", "stop", "chars", "nearest", "href")}
+    piece = {"owner": pa.int32(), "text": pa.string()}
+    for batch in batches:
+        start, size, trees = 0, 0, []
+        for at, html in enumerate(batch.column(1), 1):
+            page = html.as_py()
+            trees.append(tree_of(page))
+            size += len(page or "")
+            if size > SLICE or at == batch.num_rows:
+                lists = [_structs([t[0] for t in trees], element), _structs([t[1] for t in trees], piece)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, at - start), *lists], ["id", "elements", "pieces"])
+                start, size, trees = at, 0, []
+
+
 def with_trees(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """id, elements, pieces of each page. elements: tag, parent (its place among the elements, -1 for none), size (how many follow within it),
     start and stop (its pieces), chars of its text, nearest (the closest block that may hold a contact), href. A null page has none."""
-    names = ["tag", "parent", "size", "start", "stop", "chars", "nearest", "href"]
-    element = pa.struct([(n, pa.string() if n in ("tag", "href") else pa.int32()) for n in names])
-    piece = pa.struct([("owner", pa.int32()), ("text", pa.string())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            trees = [tree_of(x) for x in batch.column(1).to_pylist()]
-            elements = pa.array([[dict(zip(names, e, strict=True)) for e in es] for es, _ in trees], pa.list_(element))
-            pieces = pa.array([[{"owner": o, "text": t} for o, t in ps] for _, ps in trees], pa.list_(piece))
-            yield pa.RecordBatch.from_arrays([batch.column(0), elements, pieces], ["id", "elements", "pieces"])
-
     schema = T.StructType([T.StructField("id", pages.schema[id_col].dataType), *T.StructType.fromDDL(TREE).fields])
-    return pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).mapInArrow(run, schema)
+    return pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).mapInArrow(tree_batches, schema)
 
 
 def _element(at: Column) -> Column:
@@ -158,9 +175,9 @@ def mine_page_cards(pages: DataFrame, id_col: str = "page_id", html_col: str = "
     An address's card is the block around it, the smallest of nested ones; labels may stand before their values or beside them (in the cell,
     term or line before). Without a label the company is the card's first heading or bold text, else the domain's words; the phone is the
     first number, the site the first link that is no social network's. Of several cards for an address the first value of a field counts.
-    Mailboxes of no person go. Within the row up to the cards; null and empty pages have none; id_col must tell pages apart.
+    Mailboxes of no person go. Within the row up to the cards, once pages are dealt by id; null and empty pages have none; id_col must tell pages apart.
     """
-    trees = with_trees(pages, id_col, html_col)
+    trees = with_trees(spread(pages.select(id_col, html_col), id_col), id_col, html_col)
     linked = F.filter(F.transform("elements", lambda e, i: F.struct(F.lower(F.trim(F.regexp_extract(F.coalesce(e["href"], F.lit("")), r"(?i)^mailto:([^?]+)", 1))).alias("email"), i.alias("at"))), lambda x: x["email"].contains("@"))
     stands = F.filter("pieces", lambda p: p["text"].contains("@") & F.coalesce(_element(p["owner"])["tag"].isin(*TEXT_TAGS), F.lit(False)))
     written = F.flatten(F.transform(stands, lambda p: F.transform(em.extract_emails(p["text"]), lambda e: F.struct(e.alias("email"), p["owner"].alias("at")))))

@@ -130,6 +130,22 @@ def test_rows_of_one_split_are_mined_by_several_tasks(spark):
         assert len({r.task for r in rows}) > 1
 
 
+def test_trees_leave_a_batch_in_slices():
+    import pyarrow as pa
+
+    from rosterflow.operators import page_cards as pc
+
+    pages = ["<p>" + "<b>x</b> " * 20_000, None, "", "<p>y", *["<p>" + "z" * 100_000] * 12]
+    got = list(pc.tree_batches(iter([pa.RecordBatch.from_arrays([pa.array(range(len(pages))), pa.array(pages)], ["id", "html"])])))
+    rows = [r for b in got for r in b.to_pylist()]
+    names = ("tag", "parent", "size", "start", "stop", "chars", "nearest", "href")
+    want = [pc.tree_of(p) for p in pages]
+    assert [r["id"] for r in rows] == list(range(len(pages)))
+    assert [[tuple(e[n] for n in names) for e in r["elements"]] for r in rows] == [es for es, _ in want]
+    assert [[(p["owner"], p["text"]) for p in r["pieces"]] for r in rows] == [ps for _, ps in want]
+    assert max(sum(len(pages[i] or "") for i in b.column(0).to_pylist()) for b in got) <= pc.SLICE + 100_004 and len(got) == 3
+
+
 def test_tables_in_texts(spark):
     from rosterflow.operators import tables
 
