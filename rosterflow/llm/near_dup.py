@@ -13,7 +13,9 @@ agree too rarely to be similar go; the others are verified on their whole weight
 Buckets that hold more than one class then may hide links between members that never led. Their nodes are compared by prefix filtering,
 which is exact: two sets above the threshold have a shingle in common among the rarest of either, and may not have too little left from
 there on. A rare shingle's nodes are cut by the weights that a partner may have (``by_total``); those of its most frequent class meet
-those of its other classes, in tiles of bounded size; what passes both bounds and lies in different classes is verified. A class is never compared with itself, and no list of a bucket's pairs is made.
+those of its other classes, in tiles of bounded size; what may have a partner there meets again with the whole sets, and is verified within
+the tile, the most agreeing pairs first, until what is similar is of one class. A class is never compared with itself, and no list of a bucket's
+pairs is made: a tile gives its rows and fewer links than it has classes.
 """
 
 from __future__ import annotations
@@ -157,17 +159,24 @@ def rare_prefixes(sets: DataFrame, threshold: float) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for node, label, keys, weights in zip(*(batch.column(c) for c in range(4)), strict=True):
-                k, w = np.frombuffer(keys.as_buffer(), np.int64), np.frombuffer(weights.as_buffer(), np.float32).astype(float)
-                same = lambda x, n=len(k): pa.DictionaryArray.from_arrays(pa.array(np.zeros(n, np.int32)), pa.array([x.as_py()], pa.binary())).dictionary_decode()
-                yield pa.RecordBatch.from_arrays([same(node), same(label), pa.array(k), pa.array(w), pa.array(np.full(len(k), w.sum()))], ["node", "label", "key", "weight", "total"])
+            for node, keys, weights in zip(*(batch.column(c) for c in range(3)), strict=True):
+                k, w = np.frombuffer(keys.as_buffer(), np.int64), np.frombuffer(weights.as_buffer(), np.float32)
+                same = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(k), np.int32)), pa.array([node.as_py()], pa.binary())).dictionary_decode()
+                yield pa.RecordBatch.from_arrays([same, pa.array(k), pa.array(w)], ["node", "key", "weight"])
 
-    each = materialize(sets.select("node", "label", "shingles", "weights").mapInArrow(rows, "node binary, label binary, key bigint, weight double, total double"), "shingles")
+    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = [float(np.frombuffer(w.as_buffer(), np.float32).astype(float).sum()) for w in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(total, pa.float64())], ["node", "label", "total"])
+
+    # what a set has once does not travel with each of its shingles: it meets them again where they are by node
+    whole = materialize(sets.select("node", "label", "weights").mapInArrow(totals, "node binary, label binary, total double"), "totals")
+    each = materialize(sets.select("node", "shingles", "weights").mapInArrow(rows, "node binary, key bigint, weight float"), "shingles")
     # a shingle of one set is the rarest there is, and makes no pair
     shared = materialize(each.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "frequencies")
     each = Spread(shared, "key").join(each, shared, "key", by="node")
-    behind = F.sum("weight").over(Window.partitionBy("node").orderBy(F.desc("n"), F.desc("key")).rowsBetween(Window.unboundedPreceding, 0))
-    each = each.withColumn("behind", behind).filter(F.col("behind") >= (threshold - 1e-6) * F.col("total"))
+    behind = F.sum(F.col("weight").cast("double")).over(Window.partitionBy("node").orderBy(F.desc("n"), F.desc("key")).rowsBetween(Window.unboundedPreceding, 0))
+    each = each.select("key", "node", behind.alias("behind")).join(whole, "node").filter(F.col("behind") >= (threshold - 1e-6) * F.col("total"))
     return materialize(each.select("key", "node", "label", "behind", "total"), "prefixes")
 
 
@@ -207,7 +216,12 @@ def tiles(buckets: DataFrame, samples: DataFrame) -> DataFrame:
         leads = met.filter(F.col("small") & lead).withColumns({"lead": F.lit(True), "_i": deal(1, wide), "j": every(long)})
         others = met.filter(F.col("large") & other).withColumns({"lead": F.lit(False), "j": deal(2, long), "_i": every(wide)})
         out += [x.withColumn("i", F.col("_i") * 2 + kind).select(names) for x in (leads, others)]
-    return reduce(DataFrame.unionByName, out).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", F.desc("lead"))
+    return in_tiles(reduce(DataFrame.unionByName, out))
+
+
+def in_tiles(rows: DataFrame) -> DataFrame:
+    """Rows of one tile in one task and in a row, leads before the others."""
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", F.desc("lead"), "node")
 
 
 def _fixed(column: pa.Array, width: int) -> np.ndarray:
@@ -215,9 +229,35 @@ def _fixed(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), width)
 
 
+def _tile_columns(rows: pa.RecordBatch, n_samples: int) -> tuple[np.ndarray, ...]:
+    """label, behind, total, samples of a tile's rows."""
+    return _fixed(rows.column(5), 16), rows.column(6).to_numpy(), rows.column(7).to_numpy(), _fixed(rows.column(8), 4 * n_samples).view(np.uint32)
+
+
+def _by_tile(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, pa.RecordBatch]]:
+    """Leads and others of each tile that has both, from rows that stand as in_tiles leaves them."""
+    tile, held = None, ([], [])
+
+    def whole() -> Iterator[tuple[pa.RecordBatch, pa.RecordBatch]]:
+        if held[0] and held[1]:
+            yield tuple(pa.Table.from_batches(x).combine_chunks().to_batches()[0] for x in held)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        place, lead = np.stack([batch.column(c).to_numpy() for c in range(3)], 1), batch.column(3).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero((place[1:] != place[:-1]).any(1) | (lead[1:] != lead[:-1])) + 1), len(place)]
+        for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
+            if (at := tuple(place[start])) != tile:
+                yield from whole()
+                tile, held = at, ([], [])
+            held[0 if lead[start] else 1].append(batch.slice(start, stop - start))
+    yield from whole()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 14, rows: int = 3) -> DataFrame:
     """One row per row of docs: id_col, class_id (the least id of its class), class_size, n_links (verified links of its text to other
-    texts), kept (its id is the class's).
+    texts, of those that its class is made from), kept (its id is the class's).
 
     A null text is empty; texts without words are equal to each other and to nothing else. Repeated rows belong to one class, and each
     counts in its size. Of equal degrees the larger node leads, of equal shares the larger label; neither changes the classes. Texts go
@@ -327,15 +367,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             mask = pa.array(similar, pa.bool_())
             yield pa.RecordBatch.from_arrays([c.filter(mask) for c in (a, b, batch.column(3), batch.column(4))], ["a", "b", "la", "lb"])
 
-    def verified(pairs: DataFrame, agreeing: bool) -> DataFrame:
+    def verified(pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b, la, lb) that are similar. b's set goes to a task once, before the sets of all the a."""
         pairs = materialize(pairs, "pairs")
         leads = pairs.groupBy("b").agg(F.count("*").alias("n"))
         spread = Spread(leads, "b")
-        if not agreeing:
-            x = spread.join(pairs, samples.select(F.col("node").alias("b"), F.col("samples").alias("sb")), "b", by="a")
-            x = x.join(samples.select(F.col("node").alias("a"), F.col("samples").alias("sa")), "a")
-            pairs = x.select("a", "b", "la", "lb", "sa", "sb").mapInArrow(agree, "a binary, b binary, la binary, lb binary")
+        x = spread.join(pairs, samples.select(F.col("node").alias("b"), F.col("samples").alias("sb")), "b", by="a")
+        x = x.join(samples.select(F.col("node").alias("a"), F.col("samples").alias("sa")), "a")
+        pairs = x.select("a", "b", "la", "lb", "sa", "sb").mapInArrow(agree, "a binary, b binary, la binary, lb binary")
         members = spread.many(pairs.join(sets.select(F.col("node").alias("a"), "shingles", "weights"), "a"), "b", by="a")
         first = spread.one(sets.withColumnRenamed("node", "b").join(leads, "b", "left_semi"), "b").withColumns({c: F.lit(None).cast("binary") for c in ("a", "la", "lb")})
         names = ["b", "_part", "a", "la", "lb", "shingles", "weights"]
@@ -344,7 +383,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     leaders = shared.groupBy("key").agg(F.max(F.struct("degree", "node")).alias("top")).select("key", F.col("top.node").alias("b"))
     pairs = by_key.join(shared.select("key", F.col("node").alias("a")), leaders, "key", by="a").filter("a != b").select("a", "b").distinct()
-    links = verified(pairs.select("a", "b", F.col("a").alias("la"), F.col("b").alias("lb")), agreeing=False)
+    links = verified(pairs.select("a", "b", F.col("a").alias("la"), F.col("b").alias("lb")))
     classes = components(links)
     label = F.coalesce("label", "node").alias("label")
 
@@ -353,44 +392,61 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     crowd = materialize(by_key.join(labelled, several, "key", by="node").select("node", "label").distinct(), "crowd")
     if not crowd.isEmpty():
 
-        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            share, tile, held, leads = threshold / (1 + threshold) - 1e-6, None, [], None
-            for batch in batches:
-                place = np.stack([batch.column(c).to_numpy() for c in range(3)], 1)
-                lead = batch.column(3).to_numpy(zero_copy_only=False)
-                node, label = (_fixed(batch.column(c), 16) for c in (4, 5))
-                behind, total = (batch.column(c).to_numpy() for c in (6, 7))
-                sample = _fixed(batch.column(8), 4 * n_samples).view(np.uint32)
-                cuts = [0, *(np.flatnonzero((place[1:] != place[:-1]).any(1) | (lead[1:] != lead[:-1])) + 1), len(place)]
-                for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
-                    if stop == start:
-                        continue
-                    if (at := tuple(place[start])) != tile:
-                        tile, held, leads = at, [], None
-                    part = tuple(x[start:stop] for x in (node, label, behind, total, sample))
-                    if lead[start]:
-                        held.append(part)
-                        continue
-                    if leads is None:
-                        leads = tuple(np.concatenate(x) for x in zip(*held, strict=True)) if held else ()
-                    for x in range(0, stop - start if leads else 0, TILE):
-                        n, lab, beh, tot, sam = (c[x : x + TILE] for c in part)
-                        able = np.minimum.outer(beh, leads[2]) >= share * np.add.outer(tot, leads[3])
-                        able &= np.less_equal.outer(leads[3], tot).T
-                        able &= (lab[:, None, :] != leads[1][None, :, :]).any(2)
-                        one, two = np.nonzero(able)
-                        fit = np.empty(len(one), bool)
-                        for k in range(0, len(one), 50_000):
-                            fit[k : k + 50_000] = (sam[one[k : k + 50_000]] == leads[4][two[k : k + 50_000]]).sum(1) >= least
-                        one, two = one[fit], two[fit]
-                        if len(one):
-                            # of equal totals both may lead: the larger node comes first in either case
-                            rows = [max((bytes(n[o]), bytes(lab[o]), bytes(leads[0][t]), bytes(leads[1][t])), (bytes(leads[0][t]), bytes(leads[1][t]), bytes(n[o]), bytes(lab[o]))) for o, t in zip(one, two, strict=True)]
-                            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.binary()) for c in (0, 2, 1, 3)], ["a", "b", "la", "lb"])
+        shape = "key bigint, i bigint, j bigint, lead boolean, node binary, label binary, behind double, total double, samples binary"
+        share = threshold / (1 + threshold) - 1e-6
+
+        def pairs_within(leads: pa.RecordBatch, others: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Places of leads and of others that may be similar and are of different classes, and on how many samples they agree."""
+            lab, beh, tot, sam = _tile_columns(leads, n_samples)
+            found = []
+            for x in range(0, others.num_rows, TILE):
+                lab2, beh2, tot2, sam2 = _tile_columns(others.slice(x, TILE), n_samples)
+                able = np.minimum.outer(beh, beh2) >= share * np.add.outer(tot, tot2)
+                able &= np.less_equal.outer(tot, tot2)
+                able &= (lab[:, None, :] != lab2[None, :, :]).any(2)
+                one, two = np.nonzero(able)
+                for k in range(0, len(one), 50_000):
+                    o, t = one[k : k + 50_000], two[k : k + 50_000]
+                    agreed = (sam[o] == sam2[t]).sum(1)
+                    fit = agreed >= least
+                    found.append((o[fit], t[fit] + x, agreed[fit]))
+            return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, int),) * 3
+
+        def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Of each tile the rows that may have a partner in it."""
+            for leads, others in _by_tile(batches):
+                one, two, _ = pairs_within(leads, others)
+                if len(one):
+                    yield leads.take(pa.array(np.unique(one)))
+                    yield others.take(pa.array(np.unique(two)))
+
+        def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Links that make one class of several within a tile. The pairs that agree most come first; what they have made one class of
+            is not compared again, so a tile has fewer links than classes."""
+            for leads, others in _by_tile(batches):
+                one, two, agreed = pairs_within(leads, others)
+                sets_of = [[(np.frombuffer(k.as_buffer(), np.uint64), np.frombuffer(w.as_buffer(), np.float32)) for k, w in zip(x.column(9), x.column(10), strict=True)] for x in (leads, others)]
+                labels = [x.column(5).to_pylist() for x in (leads, others)]
+                top = {x: x for each in labels for x in each}
+                out = []
+                for x in np.argsort(-agreed, kind="stable"):
+                    o, t = one[x], two[x]
+                    ends = []
+                    for y in (labels[0][o], labels[1][t]):
+                        while top[y] != y:
+                            top[y] = y = top[top[y]]
+                        ends.append(y)
+                    if ends[0] != ends[1] and similarity(sets_of[0][o], sets_of[1][t]) >= threshold:
+                        top[ends[0]] = ends[1]
+                        # of equal totals both may lead: the larger node comes first in either case
+                        out.append(max((n := leads.column(4)[o].as_py(), labels[0][o], m := others.column(4)[t].as_py(), labels[1][t]), (m, labels[1][t], n, labels[0][o])))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.binary()) for c in (0, 2, 1, 3)], ["a", "b", "la", "lb"])
 
         prefixes = rare_prefixes(sets.join(crowd, "node"), threshold)
-        met = tiles(by_total(prefixes, threshold), samples).mapInArrow(meet, "a binary, b binary, la binary, lb binary").distinct()
-        more = verified(met, agreeing=True)
+        partners = materialize(tiles(by_total(prefixes, threshold), samples).mapInArrow(met, shape), "partners")
+        with_sets = in_tiles(partners.join(sets, "node").select(*partners.columns, "shingles", "weights"))
+        more = materialize(with_sets.mapInArrow(united, "a binary, b binary, la binary, lb binary").distinct(), "links")
         links = links.unionByName(more)
         joined = components(more.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("least"))
         # a node without a link so far is a class of its own
