@@ -341,3 +341,15 @@ def test_one_payload_on_most_pages_has_one_response(spark):
     df = spark.createDataFrame([(k, "u", "same" if k % 3 else f"own {k}") for k in range(600)], "page_id bigint, url string, html string")
     got = {r.page_id: (r.record_type, r.refers_to) for r in warc.archive_round_trip(df).collect()}
     assert got == {k: ("response", None) if k % 3 == 0 or k == 599 else ("revisit", 599) for k in range(600)}
+
+
+def test_tiles_are_whole_across_batches():
+    """Leads and others of a tile meet where a batch ends within it; a tile without either gives nothing."""
+    import pyarrow as pa
+
+    rows = [(1, 0, 0, True, b"a"), (1, 0, 0, True, b"b"), (1, 0, 0, False, b"c"), (1, 0, 0, False, b"d"), (2, 0, 0, True, b"e"), (3, 0, 1, False, b"f"), (4, 1, 0, True, b"g"), (4, 1, 0, False, b"h")]
+    names = ["key", "i", "j", "lead", "node"]
+    for width in range(1, len(rows) + 1):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[x : x + width], strict=True)], names) for x in range(0, len(rows), width)]
+        got = [tuple(x.column(4).to_pylist() for x in tile) for tile in near_dup._by_tile(iter(batches))]
+        assert got == [([b"a", b"b"], [b"c", b"d"]), ([b"g"], [b"h"])]
