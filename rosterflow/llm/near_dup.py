@@ -16,6 +16,8 @@ there on. A rare shingle's nodes are cut by the weights that a partner may have
 those of its other classes, in tiles of bounded size; what may have a partner there meets again with the whole sets, and is verified within
 the tile, the most agreeing pairs first, until what is similar is of one class. A class is never compared with itself, and no list of a bucket's
 pairs is made: a tile gives its rows and fewer links than it has classes.
+
+A whole set takes several times the room of its text, so texts travel (``bodies``), and each task makes the sets that it needs.
 """
 
 from __future__ import annotations
@@ -28,10 +30,11 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import MembershipFilter, Spread, WordCache, materialize
+from .common import MembershipFilter, Spread, materialize
 
 SHINGLE = 5
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -55,12 +58,10 @@ class Sets:
     """Weighted shingle sets and their samples. idf: by the upper bits of a word's hash."""
 
     def __init__(self, idf: np.ndarray, samples: int, seed: int = 7):
-        self.hashes = WordCache(xxhash.xxh64_intdigest)
         self.idf = idf
         rng = np.random.default_rng(seed)
         size = 1 << TABLE_BITS
         self.r = rng.gamma(2, 1, size).astype(np.float32)
-        self.inverse = (1 / self.r).astype(np.float32)
         self.log_c = np.log(rng.gamma(2, 1, size)).astype(np.float32)
         self.beta = rng.random(size, np.float32)
         self.odd = rng.integers(0, 1 << 63, samples, np.uint64) << np.uint64(1) | np.uint64(1)
@@ -68,7 +69,7 @@ class Sets:
     def weighted(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Sorted shingle hashes and their weights."""
         n = len(words)
-        h = np.fromiter(map(self.hashes.__getitem__, words), np.uint64, n)
+        h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, n)
         idf = self.idf[(h >> np.uint64(64 - DF_BITS)).astype(np.int64)]
         width = min(SHINGLE, n)
         m = n - width + 1
@@ -79,26 +80,47 @@ class Sets:
         shingle ^= shingle >> np.uint64(29)
         shingle *= MULTIPLIER
         shingle ^= shingle >> np.uint64(32)
-        found, first, times = np.unique(shingle, return_index=True, return_counts=True)
-        return found, (weight[first] / width * times).astype(np.float32)
+        order = np.argsort(shingle)
+        shingle, weight = shingle[order], weight[order]
+        new = np.ones(m, bool)
+        np.not_equal(shingle[1:], shingle[:-1], out=new[1:])
+        if new.all():
+            return shingle, (weight / width).astype(np.float32)
+        first = np.flatnonzero(new)
+        return shingle[first], (weight[first] / width * np.diff(first, append=m)).astype(np.float32)
 
     def samples(self, sets: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """A row of 32-bit samples for each set that is not empty."""
         k = np.concatenate([s[0] for s in sets])
         log_w = np.log(np.concatenate([s[1] for s in sets]))
         starts = np.cumsum([0, *[len(s[0]) for s in sets[:-1]]])
-        low = k.astype(np.uint32)
+        low = k.astype(np.uint32) * np.uint32(0x85EBCA6B)
         out = np.empty((len(sets), len(self.odd)), np.uint32)
-        shift = np.uint64(64 - TABLE_BITS)
+        shift, n = np.uint64(64 - TABLE_BITS), len(k)
+        # all steps write into the same few arrays; the halves of a key are written in place
+        h, key, t_int, sign = np.empty(n, np.uint64), np.empty(n, "<i8"), np.empty(n, np.int32), np.empty(n, np.int32)
+        at, upper, lower = h.view(np.int64), key.view("<i4")[1::2], key.view("<u4")[::2]
+        r, beta, log_a, t = (np.empty(n, np.float32) for _ in range(4))
         for j, odd in enumerate(self.odd):
-            at = (k * odd >> shift).astype(np.int32)
-            r, beta = self.r[at], self.beta[at]
-            t = np.floor(log_w * self.inverse[at] + beta)
-            log_a = self.log_c[at] - r * (t - beta + np.float32(1))
-            bits = log_a.view(np.int32)
-            order = (bits ^ (bits >> 31 & 0x7FFFFFFF)).astype(np.int64)
+            np.multiply(k, odd, out=h)
+            np.right_shift(h, shift, out=h)
+            for table, held in ((self.r, r), (self.beta, beta), (self.log_c, log_a)):
+                np.take(table, at, out=held, mode="clip")
+            np.divide(log_w, r, out=t)
+            t += beta
+            np.floor(t, out=t)
+            t_int[:] = t
+            # log_a = log_c - r * (t - beta + 1)
+            t -= beta
+            t += np.float32(1)
+            t *= r
+            log_a -= t
             # the least log_a first; the sample is the shingle and its t, which also settles ties
-            key = order << 32 | ((low * np.uint32(0x85EBCA6B)) ^ (t.astype(np.int32).view(np.uint32) * np.uint32(0xC2B2AE35))).astype(np.int64)
+            bits = log_a.view(np.int32)
+            np.right_shift(bits, 31, out=sign)
+            sign &= 0x7FFFFFFF
+            np.bitwise_xor(bits, sign, out=upper)
+            np.bitwise_xor(low, t_int.view(np.uint32) * np.uint32(0xC2B2AE35), out=lower)
             out[:, j] = np.minimum.reduceat(key, starts).astype(np.uint32)
         return out
 
@@ -113,11 +135,11 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes, counts, shift = WordCache(xxhash.xxh64_intdigest), np.zeros(1 << DF_BITS, np.int64), np.uint64(64 - DF_BITS)
+    counts, shift = np.zeros(1 << DF_BITS, np.int64), np.uint64(64 - DF_BITS)
     for batch in batches:
         for text in batch.column(0):
             words = set(_words(text.as_py()))
-            h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+            h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
             counts[np.unique((h >> shift).astype(np.int64))] += 1
     at = np.flatnonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["slot", "df"])
@@ -151,27 +173,22 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def rare_prefixes(sets: DataFrame, threshold: float) -> DataFrame:
-    """Buckets (key, node, label, behind, total) by rare shingles, of sets with node, label, shingles, weights: of each set, from the
-    rarest on, the shingles that stand before the last ``threshold`` of its weight. The first shingle that two sets above the threshold
-    have in common is among these in both, and what they have in common weighs no more than what stands from there on (``behind``) in
-    either."""
+def rare_prefixes(bodies: DataFrame, whole: DataFrame, idf: Broadcast, threshold: float) -> DataFrame:
+    """Buckets (key, node, label, behind, total) by rare shingles, of texts with node, words; whole: node, label, total. Of each text's set,
+    from the rarest on, the shingles that stand before the last ``threshold`` of its weight. The first shingle that two sets above the
+    threshold have in common is among these in both, and what they have in common weighs no more than what stands from there on
+    (``behind``) in either."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = Sets(idf.value, 1)
         for batch in batches:
-            for node, keys, weights in zip(*(batch.column(c) for c in range(3)), strict=True):
-                k, w = np.frombuffer(keys.as_buffer(), np.int64), np.frombuffer(weights.as_buffer(), np.float32)
+            for node, words in zip(batch.column(0), batch.column(1), strict=True):
+                k, w = sets.weighted(words.as_py().split())
                 same = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(k), np.int32)), pa.array([node.as_py()], pa.binary())).dictionary_decode()
-                yield pa.RecordBatch.from_arrays([same, pa.array(k), pa.array(w)], ["node", "key", "weight"])
-
-    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            total = [float(np.frombuffer(w.as_buffer(), np.float32).astype(float).sum()) for w in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(total, pa.float64())], ["node", "label", "total"])
+                yield pa.RecordBatch.from_arrays([same, pa.array(k.view(np.int64)), pa.array(w)], ["node", "key", "weight"])
 
     # what a set has once does not travel with each of its shingles: it meets them again where they are by node
-    whole = materialize(sets.select("node", "label", "weights").mapInArrow(totals, "node binary, label binary, total double"), "totals")
-    each = materialize(sets.select("node", "shingles", "weights").mapInArrow(rows, "node binary, key bigint, weight float"), "shingles")
+    each = materialize(bodies.select("node", "words").mapInArrow(rows, "node binary, key bigint, weight float"), "shingles")
     # a shingle of one set is the rarest there is, and makes no pair
     shared = materialize(each.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "frequencies")
     each = Spread(shared, "key").join(each, shared, "key", by="node")
@@ -272,13 +289,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = Sets(sent.value, n_samples)
-        known: dict[bytes, bytes] = {}  # copies in one task are signed once
+        known: dict[bytes, tuple[bytes, float]] = {}  # copies in one task are signed once
         waiting: dict[bytes, tuple] = {}
 
         def flush() -> None:
             if waiting:
                 for node, sample in zip(waiting, sets.samples(list(waiting.values())), strict=True):
-                    known[node] = sample.tobytes()
+                    known[node] = sample.tobytes(), float(waiting[node][1].astype(float).sum())
                 waiting.clear()
 
         for batch in batches:
@@ -294,15 +311,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                         flush()
                         size = 0
                 elif not words:
-                    known[node] = b""
+                    known[node] = b"", 0.0
             flush()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.binary()), pa.array([known[n] for n in nodes], pa.binary())], ["id", "node", "samples"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.binary()), *(pa.array([known[n][c] for n in nodes], t) for c, t in ((0, pa.binary()), (1, pa.float64())))], ["id", "node", "samples", "total"])
             if len(known) > 20_000:
                 known.clear()
 
-    signed = materialize(texts.mapInArrow(sign, f"id {id_kind}, node binary, samples binary"), "signed")
+    signed = materialize(texts.mapInArrow(sign, f"id {id_kind}, node binary, samples binary, total double"), "signed")
     # equal texts meet here, after each task has brought its own together
-    nodes = materialize(signed.groupBy("node").agg(F.min(F.struct("id", "samples")).alias("x"), F.count("*").alias("n")).select("node", "x.id", "x.samples", "n"), "nodes")
+    nodes = materialize(signed.groupBy("node").agg(F.min(F.struct("id", "samples", "total")).alias("x"), F.count("*").alias("n")).select("node", "x.id", "x.samples", "x.total", "n"), "nodes")
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -323,31 +340,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     by_key = Spread(sizes, "key")
     shared = by_key.join(placed, sizes, "key", by="node")
     shared = materialize(shared.withColumn("degree", F.sum("n").over(Window.partitionBy("node"))).select("key", "node", "degree"), "buckets")
-    # whole sets, of the first row of each node that shares a bucket
-    wanted = nodes.join(shared, "node", "left_semi").select("id")
+    # whole texts, of the first row of each node that shares a bucket
+    wanted = materialize(nodes.join(shared, "node", "left_semi").select("node", "id", "samples", "total"), "wanted")
     sieve = MembershipFilter(wanted, "id")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = Sets(sent.value, 1)
         for batch in batches:
             at, size, out = 0, 0, []
             for text in batch.column(1):
                 words = _words(text.as_py())
                 if words:
-                    k, w = sets.weighted(words)
-                    out.append((_node(words), k.tobytes(), w.tobytes()))
-                    size += len(words)
+                    out.append((_node(words), b" ".join(words)))
+                    size += len(out[-1][1])
                 at += 1
-                if size > 500_000 or at == batch.num_rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.binary()) for c in range(3)], ["node", "shingles", "weights"])
+                if size > 4_000_000 or at == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.binary()) for c in range(2)], ["node", "words"])
                     size, out = 0, []
 
     by_id = sieve.mark(texts, "id", "maybe").filter("maybe").select("id", "text")
-    sets = by_id.mapInArrow(whole, "node binary, shingles binary, weights binary")
-    sets = materialize(sets.groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("weights").alias("weights")), "sets")
+    bodies = materialize(by_id.mapInArrow(whole, "node binary, words binary").groupBy("node").agg(F.first("words").alias("words")), "bodies")
     # samples of similar sets agree in threshold * n of n cases; far fewer than that would be 4 standard deviations away
     least = max(1, math.floor(n_samples * threshold - 4 * math.sqrt(n_samples * threshold * (1 - threshold))))
-    samples = nodes.select("node", "samples")
+    samples = wanted.select("node", "samples")
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -356,29 +370,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(mask) for c in range(4)], ["a", "b", "la", "lb"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lead = None
+        sets, lead = Sets(sent.value, 1), None
         for batch in batches:
-            similar, (b, a, k, w) = [], (batch.column(c) for c in (0, 2, 5, 6))
+            similar, (b, a, words) = [], (batch.column(c) for c in (0, 2, 5))
             for x in range(batch.num_rows):
-                one = (np.frombuffer(k[x].as_buffer(), np.uint64), np.frombuffer(w[x].as_buffer(), np.float32))
+                one = sets.weighted(words[x].as_py().split())
                 if not a[x].is_valid:
-                    lead = (one[0].copy(), one[1].copy())
+                    lead = one
                 similar.append(a[x].is_valid and similarity(lead, one) >= threshold)
             mask = pa.array(similar, pa.bool_())
             yield pa.RecordBatch.from_arrays([c.filter(mask) for c in (a, b, batch.column(3), batch.column(4))], ["a", "b", "la", "lb"])
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b, la, lb) that are similar. b's set goes to a task once, before the sets of all the a."""
+        """Those of the pairs (a, b, la, lb) that are similar. b's text goes to a task once, before the texts of all the a."""
         pairs = materialize(pairs, "pairs")
-        leads = pairs.groupBy("b").agg(F.count("*").alias("n"))
-        spread = Spread(leads, "b")
+        spread = Spread(pairs.groupBy("b").agg(F.count("*").alias("n")), "b")
         x = spread.join(pairs, samples.select(F.col("node").alias("b"), F.col("samples").alias("sb")), "b", by="a")
         x = x.join(samples.select(F.col("node").alias("a"), F.col("samples").alias("sa")), "a")
-        pairs = x.select("a", "b", "la", "lb", "sa", "sb").mapInArrow(agree, "a binary, b binary, la binary, lb binary")
-        members = spread.many(pairs.join(sets.select(F.col("node").alias("a"), "shingles", "weights"), "a"), "b", by="a")
-        first = spread.one(sets.withColumnRenamed("node", "b").join(leads, "b", "left_semi"), "b").withColumns({c: F.lit(None).cast("binary") for c in ("a", "la", "lb")})
-        names = ["b", "_part", "a", "la", "lb", "shingles", "weights"]
-        x = first.select(names).unionByName(members.select(names)).repartition("b", "_part").sortWithinPartitions("b", "_part", F.asc_nulls_first("a"))
+        fit = materialize(x.select("a", "b", "la", "lb", "sa", "sb").mapInArrow(agree, "a binary, b binary, la binary, lb binary"), "fit")
+        names = ["b", "_part", "a", "la", "lb", "node"]
+        members = spread.many(fit, "b", by="a").withColumn("node", F.col("a"))
+        first = spread.one(fit.select("b").distinct(), "b").withColumns({c: F.lit(None).cast("binary") for c in ("a", "la", "lb")} | {"node": F.col("b")})
+        x = first.select(names).unionByName(members.select(names)).join(bodies, "node").select(*names[:-1], "words")
+        x = x.repartition("b", "_part").sortWithinPartitions("b", "_part", F.asc_nulls_first("a"))
         return materialize(x.mapInArrow(verify, "a binary, b binary, la binary, lb binary"), "links")
 
     leaders = shared.groupBy("key").agg(F.max(F.struct("degree", "node")).alias("top")).select("key", F.col("top.node").alias("b"))
@@ -423,9 +437,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """Links that make one class of several within a tile. The pairs that agree most come first; what they have made one class of
             is not compared again, so a tile has fewer links than classes."""
+            sets = Sets(sent.value, 1)
             for leads, others in _by_tile(batches):
                 one, two, agreed = pairs_within(leads, others)
-                sets_of = [[(np.frombuffer(k.as_buffer(), np.uint64), np.frombuffer(w.as_buffer(), np.float32)) for k, w in zip(x.column(9), x.column(10), strict=True)] for x in (leads, others)]
+                made: dict[bytes, tuple] = {}
+
+                def of(rows: pa.RecordBatch, x: int) -> tuple[np.ndarray, np.ndarray]:
+                    if (node := rows.column(4)[x].as_py()) not in made:  # noqa: B023
+                        made[node] = sets.weighted(rows.column(9)[x].as_py().split())  # noqa: B023
+                    return made[node]  # noqa: B023
+
                 labels = [x.column(5).to_pylist() for x in (leads, others)]
                 top = {x: x for each in labels for x in each}
                 out = []
@@ -436,17 +457,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                         while top[y] != y:
                             top[y] = y = top[top[y]]
                         ends.append(y)
-                    if ends[0] != ends[1] and similarity(sets_of[0][o], sets_of[1][t]) >= threshold:
+                    if ends[0] != ends[1] and similarity(of(leads, o), of(others, t)) >= threshold:
                         top[ends[0]] = ends[1]
                         # of equal totals both may lead: the larger node comes first in either case
                         out.append(max((n := leads.column(4)[o].as_py(), labels[0][o], m := others.column(4)[t].as_py(), labels[1][t]), (m, labels[1][t], n, labels[0][o])))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.binary()) for c in (0, 2, 1, 3)], ["a", "b", "la", "lb"])
 
-        prefixes = rare_prefixes(sets.join(crowd, "node"), threshold)
+        marked = MembershipFilter(crowd, "node", bits=22)
+        prefixes = rare_prefixes(marked.mark(bodies, "node", "maybe").filter("maybe"), crowd.join(wanted.select("node", "total"), "node"), sent, threshold)
         partners = materialize(tiles(by_total(prefixes, threshold), samples).mapInArrow(met, shape), "partners")
-        with_sets = in_tiles(partners.join(sets, "node").select(*partners.columns, "shingles", "weights"))
-        more = materialize(with_sets.mapInArrow(united, "a binary, b binary, la binary, lb binary").distinct(), "links")
+        with_words = in_tiles(partners.join(bodies, "node").select(*partners.columns, "words"))
+        more = materialize(with_words.mapInArrow(united, "a binary, b binary, la binary, lb binary").distinct(), "links")
         links = links.unionByName(more)
         joined = components(more.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("least"))
         # a node without a link so far is a class of its own
