@@ -353,3 +353,27 @@ def test_tiles_are_whole_across_batches():
         batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[x : x + width], strict=True)], names) for x in range(0, len(rows), width)]
         got = [tuple(x.column(4).to_pylist() for x in tile) for tile in near_dup._by_tile(iter(batches))]
         assert got == [([b"a", b"b"], [b"c", b"d"]), ([b"g"], [b"h"])]
+
+
+def test_near_duplicates_move_texts_and_no_larger_sets(spark, monkeypatch):
+    """Sets take several times the room of short-worded texts; no table between steps holds a value that is larger than the texts."""
+    rng = random.Random(9)
+    rows = []
+    for group in range(20):
+        text = [rng.choice("abcdefghij") + str(rng.randrange(100)) for _ in range(300)]
+        for copy in range(4):
+            rows.append((group * 10 + copy, " ".join(text)))
+            text[rng.randrange(300)] = f"z{copy}"
+    largest, kept = {}, near_dup.materialize
+
+    def recorded(df, name):
+        out = kept(df, name)
+        for c, kind in out.dtypes:
+            if kind == "binary":
+                largest[name, c] = max(largest.get((name, c), 0), out.agg(F.max(F.octet_length(c))).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(near_dup, "materialize", recorded)
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert all(r.class_id == r.doc_id // 10 * 10 for r in got)
+    assert max(largest.values()) <= max(len(t) for _, t in rows), largest
