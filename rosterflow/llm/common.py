@@ -35,6 +35,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def most_files(spark: SparkSession, size: int, each: int) -> int:
+    """How many files a table made from ``size`` bytes or rows needs at most, ``each`` to a file: two for every core, or more if it is larger.
+
+    The session's shuffle partitions may be many more than a small table fills, and every file costs a few processes where Hadoop sets
+    permissions by commands: until such a child has started its command it shares, and is counted with, all of its executor's memory.
+    coalesce() to this number leaves the partitions as they are, one after the other in a task, and moves no row."""
+    return max(2 * spark.sparkContext.defaultParallelism, size // each)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower case for A-Z alone. Where a text is plain ASCII, lower() gives the same and is cheaper."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

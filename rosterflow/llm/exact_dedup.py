@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MembershipFilter, Spread, ascii_lower, materialize, scratch_path
+from .common import MembershipFilter, Spread, ascii_lower, materialize, most_files, scratch_path
 
 
 def sha256(text: Column) -> Column:
@@ -34,7 +34,8 @@ class DigestIndex:
     def flush(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
         run = f"{self.path}/runs/run={self.flushed}"
         self.rows(docs, id_col, text_col).select("digest", "id").sortWithinPartitions("digest", "id").write.option("maxRecordsPerFile", self.memtable_rows).parquet(run)
-        MembershipFilter(self.spark.read.parquet(run), "digest", self.filter_bits).bitmap.write.parquet(f"{self.path}/filters/run={self.flushed}")
+        bitmap = MembershipFilter(self.spark.read.parquet(run), "digest", self.filter_bits).bitmap
+        bitmap.coalesce(most_files(self.spark, 1 << (self.filter_bits - 3), 8 << 20)).write.parquet(f"{self.path}/filters/run={self.flushed}")
         self.flushed += 1
 
     def runs(self, start: int = 0) -> DataFrame:
@@ -50,6 +51,7 @@ class DigestIndex:
             new = self.runs(self.merged).select("digest", F.col("id").alias("least_id"), F.col("id").alias("last_id"), F.lit(1).cast("long").alias("n"))
             rows = new.unionByName(self.level()) if self.levels else new
             level = rows.groupBy("digest").agg(F.min("least_id").alias("least_id"), F.max("last_id").alias("last_id"), F.sum("n").alias("n"))
+            level = level.coalesce(most_files(self.spark, rows.count(), self.memtable_rows))
             level.sortWithinPartitions("digest").write.parquet(f"{self.path}/levels/level={self.levels}")
             self.merged, self.levels = self.flushed, self.levels + 1
         return self.level()
@@ -81,6 +83,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sieve = MembershipFilter(hits, "digest", filter_bits)
     kept = F.max("id") if keep == "largest" else F.min("id")
     classes = sieve.mark(index.rows(docs, id_col, text_col), "digest", "_hit").filter("_hit").groupBy("digest", "text").agg(kept.alias("keep_id"), F.count("*").alias("group_size"))
+    classes = classes.coalesce(most_files(docs.sparkSession, index.runs().count(), 1_000))
     return index, sieve, spread, classes
 
 
@@ -121,4 +124,4 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     maybe = spread.many(row.filter("_hit"), "_digest", by="_id").join(spread.one(each, "_digest"), ["_digest", "_part", "_text"], "left")
     unmatched = maybe.filter("group_size is null").select("_row.*")
     leaders = maybe.filter("group_size is not null").filter(F.col("keep_id").eqNullSafe(F.col("_id"))).dropDuplicates(["_digest", "_id"]).select("_row.*")
-    return alone.unionByName(unmatched).unionByName(leaders)
+    return alone.unionByName(unmatched.unionByName(leaders).coalesce(most_files(docs.sparkSession, index.runs().count(), 1_000)))

@@ -29,12 +29,13 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import MembershipFilter, Spread, materialize
+from .common import MembershipFilter, Spread, materialize, most_files
 
 SHINGLE = 5
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -44,6 +45,8 @@ DF_BITS = 18
 TILE = 256
 #: Totals of one band differ by this factor at most.
 BAND = 1.125
+#: Tables between steps have a file for so many bytes of texts, or two for each core.
+FILE_BYTES = 8 << 20
 
 
 def _words(text: str) -> list[bytes]:
@@ -135,8 +138,10 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts, shift = np.zeros(1 << DF_BITS, np.int64), np.uint64(64 - DF_BITS)
+    """Documents by slot; the bytes of all texts stand in the slot after the last."""
+    counts, shift = np.zeros((1 << DF_BITS) + 1, np.int64), np.uint64(64 - DF_BITS)
     for batch in batches:
+        counts[-1] += pc.sum(pc.binary_length(batch.column(0))).as_py() or 0
         for text in batch.column(0):
             words = set(_words(text.as_py()))
             h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
@@ -147,33 +152,38 @@ def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
 
 def inverse_frequencies(texts: DataFrame) -> np.ndarray:
     """1 + log((documents + 1) / (df + 1)) by the upper DF_BITS of a word's hash; df counts the documents that hold a word of that value."""
+    return frequencies_and_size(texts)[0]
+
+
+def frequencies_and_size(texts: DataFrame) -> tuple[np.ndarray, int]:
+    """The inverse frequencies, and the bytes of all texts."""
     n_docs = texts.count()
     counts = texts.select("text").mapInArrow(_document_frequencies, "slot bigint, df bigint").groupBy("slot").agg(F.sum("df").alias("df")).toArrow()
-    df = np.zeros(1 << DF_BITS)
+    df = np.zeros((1 << DF_BITS) + 1)
     df[counts.column("slot").to_numpy()] = counts.column("df").to_numpy()
-    return (1 + np.log((n_docs + 1) / (df + 1))).astype(np.float32)
+    return (1 + np.log((n_docs + 1) / (df[:-1] + 1))).astype(np.float32), int(df[-1])
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, files: int) -> DataFrame:
     """node, label: the least node of its component. links: a, b. Labels take their neighbours' least, then that label's own label.
-    Hubs and the labels of large components are spread over the tasks."""
-    both = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    degrees = materialize(both.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("m")), "degrees")
+    Hubs and the labels of large components are spread over the tasks. Tables between steps have ``files`` files at most."""
+    both = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().coalesce(files), "edges")
+    degrees = materialize(both.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("m")).coalesce(files), "degrees")
     hubs = Spread(degrees, "a")
-    labels = materialize(degrees.select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
+    labels = materialize(degrees.select(F.col("a").alias("node"), F.least("a", "m").alias("label")).coalesce(files), "labels")
     edges = both.select(F.col("a").alias("to"), F.col("b").alias("node"))
     while True:
         near = hubs.join(edges, labels, "node", by="to").groupBy("to").agg(F.min("label").alias("near"))
-        step = materialize(labels.join(near.withColumnRenamed("to", "node"), "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label")), "labels")
+        step = materialize(labels.join(near.withColumnRenamed("to", "node"), "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label")).coalesce(files), "labels")
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
         large = Spread(step.groupBy("label").agg(F.count("*").alias("n")), "label")
-        new = materialize(large.join(step, jump, "label", by="node").select("node", "was", F.least("label", "further").alias("label")), "labels")
+        new = materialize(large.join(step, jump, "label", by="node").select("node", "was", F.least("label", "further").alias("label")).coalesce(files), "labels")
         labels = new.select("node", "label")
         if new.filter("label < was").isEmpty():
             return labels
 
 
-def rare_prefixes(bodies: DataFrame, whole: DataFrame, idf: Broadcast, threshold: float) -> DataFrame:
+def rare_prefixes(bodies: DataFrame, whole: DataFrame, idf: Broadcast, threshold: float, files: int) -> DataFrame:
     """Buckets (key, node, label, behind, total) by rare shingles, of texts with node, words; whole: node, label, total. Of each text's set,
     from the rarest on, the shingles that stand before the last ``threshold`` of its weight. The first shingle that two sets above the
     threshold have in common is among these in both, and what they have in common weighs no more than what stands from there on
@@ -188,13 +198,13 @@ def rare_prefixes(bodies: DataFrame, whole: DataFrame, idf: Broadcast, threshold
                 yield pa.RecordBatch.from_arrays([same, pa.array(k.view(np.int64)), pa.array(w)], ["node", "key", "weight"])
 
     # what a set has once does not travel with each of its shingles: it meets them again where they are by node
-    each = materialize(bodies.select("node", "words").mapInArrow(rows, "node binary, key bigint, weight float"), "shingles")
+    each = materialize(bodies.select("node", "words").mapInArrow(rows, "node binary, key bigint, weight float").coalesce(files), "shingles")
     # a shingle of one set is the rarest there is, and makes no pair
-    shared = materialize(each.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "frequencies")
+    shared = materialize(each.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").coalesce(files), "frequencies")
     each = Spread(shared, "key").join(each, shared, "key", by="node")
     behind = F.sum(F.col("weight").cast("double")).over(Window.partitionBy("node").orderBy(F.desc("n"), F.desc("key")).rowsBetween(Window.unboundedPreceding, 0))
     each = each.select("key", "node", behind.alias("behind")).join(whole, "node").filter(F.col("behind") >= (threshold - 1e-6) * F.col("total"))
-    return materialize(each.select("key", "node", "label", "behind", "total"), "prefixes")
+    return materialize(each.select("key", "node", "label", "behind", "total").coalesce(files), "prefixes")
 
 
 def by_total(prefixes: DataFrame, threshold: float) -> DataFrame:
@@ -212,7 +222,7 @@ def by_total(prefixes: DataFrame, threshold: float) -> DataFrame:
     return cut.select(F.xxhash64("key", "_band").alias("key"), "node", "label", "behind", "total", "small", (F.col("_band") == F.col("_home")).alias("large"))
 
 
-def tiles(buckets: DataFrame, samples: DataFrame) -> DataFrame:
+def tiles(buckets: DataFrame, samples: DataFrame, files: int | None = None) -> DataFrame:
     """Rows of tiles of about TILE by TILE, each with key, i, j, lead, node, label, behind, total, samples: in each bucket the small nodes
     (``lead``) of all classes but its most frequent meet every large node, and those of the most frequent class the large ones of others."""
     count = lambda c: F.count_if(c)
@@ -221,7 +231,7 @@ def tiles(buckets: DataFrame, samples: DataFrame) -> DataFrame:
     stats = stats.filter("classes > 1 and s > 0 and l > 0")
     # leads and others of both kinds of tiles: 0, small ones of other classes; 1, those of the most frequent class
     stats = stats.select("key", "n", F.col("main.label").alias("main"), (F.col("s") - F.col("main.s")).alias("s0"), F.col("l").alias("l0"), F.col("main.s").alias("s1"), (F.col("l") - F.col("main.l")).alias("l1"))
-    stats = materialize(stats, "prefix_sizes")
+    stats = materialize(stats.coalesce(files) if files else stats, "prefix_sizes")
     rows = Spread(stats, "key").join(buckets, stats, "key", by="node").join(samples, "node")
     deal = lambda part, n: F.pmod(F.xxhash64("node", F.lit(part)), n)
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
@@ -284,7 +294,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark, id_type = docs.sparkSession, docs.schema[id_col].dataType
     id_kind = id_type.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sent = spark.sparkContext.broadcast(inverse_frequencies(texts))
+    idf, size = frequencies_and_size(texts)
+    sent, files = spark.sparkContext.broadcast(idf), most_files(spark, size, FILE_BYTES)
     n_samples = bands * rows
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,9 +328,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             if len(known) > 20_000:
                 known.clear()
 
-    signed = materialize(texts.mapInArrow(sign, f"id {id_kind}, node binary, samples binary, total double"), "signed")
+    signed = materialize(texts.mapInArrow(sign, f"id {id_kind}, node binary, samples binary, total double").coalesce(files), "signed")
     # equal texts meet here, after each task has brought its own together
-    nodes = materialize(signed.groupBy("node").agg(F.min(F.struct("id", "samples", "total")).alias("x"), F.count("*").alias("n")).select("node", "x.id", "x.samples", "x.total", "n"), "nodes")
+    nodes = materialize(signed.groupBy("node").agg(F.min(F.struct("id", "samples", "total")).alias("x"), F.count("*").alias("n")).select("node", "x.id", "x.samples", "x.total", "n").coalesce(files), "nodes")
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -336,12 +347,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([node, pa.array(keys.view(np.int64).ravel())], ["node", "key"])
 
     placed = nodes.select("node", "samples").mapInArrow(buckets, "node binary, key bigint")
-    sizes = materialize(placed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "bucket_sizes")
+    sizes = materialize(placed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").coalesce(files), "bucket_sizes")
     by_key = Spread(sizes, "key")
     shared = by_key.join(placed, sizes, "key", by="node")
-    shared = materialize(shared.withColumn("degree", F.sum("n").over(Window.partitionBy("node"))).select("key", "node", "degree"), "buckets")
+    shared = materialize(shared.withColumn("degree", F.sum("n").over(Window.partitionBy("node"))).select("key", "node", "degree").coalesce(files), "buckets")
     # whole texts, of the first row of each node that shares a bucket
-    wanted = materialize(nodes.join(shared, "node", "left_semi").select("node", "id", "samples", "total"), "wanted")
+    wanted = materialize(nodes.join(shared, "node", "left_semi").select("node", "id", "samples", "total").coalesce(files), "wanted")
     sieve = MembershipFilter(wanted, "id")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,7 +369,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     size, out = 0, []
 
     by_id = sieve.mark(texts, "id", "maybe").filter("maybe").select("id", "text")
-    bodies = materialize(by_id.mapInArrow(whole, "node binary, words binary").groupBy("node").agg(F.first("words").alias("words")), "bodies")
+    bodies = materialize(by_id.mapInArrow(whole, "node binary, words binary").groupBy("node").agg(F.first("words").alias("words")).coalesce(files), "bodies")
     # samples of similar sets agree in threshold * n of n cases; far fewer than that would be 4 standard deviations away
     least = max(1, math.floor(n_samples * threshold - 4 * math.sqrt(n_samples * threshold * (1 - threshold))))
     samples = wanted.select("node", "samples")
@@ -383,27 +394,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b, la, lb) that are similar. b's text goes to a task once, before the texts of all the a."""
-        pairs = materialize(pairs, "pairs")
+        pairs = materialize(pairs.coalesce(files), "pairs")
         spread = Spread(pairs.groupBy("b").agg(F.count("*").alias("n")), "b")
         x = spread.join(pairs, samples.select(F.col("node").alias("b"), F.col("samples").alias("sb")), "b", by="a")
         x = x.join(samples.select(F.col("node").alias("a"), F.col("samples").alias("sa")), "a")
-        fit = materialize(x.select("a", "b", "la", "lb", "sa", "sb").mapInArrow(agree, "a binary, b binary, la binary, lb binary"), "fit")
+        fit = materialize(x.select("a", "b", "la", "lb", "sa", "sb").mapInArrow(agree, "a binary, b binary, la binary, lb binary").coalesce(files), "fit")
         names = ["b", "_part", "a", "la", "lb", "node"]
         members = spread.many(fit, "b", by="a").withColumn("node", F.col("a"))
         first = spread.one(fit.select("b").distinct(), "b").withColumns({c: F.lit(None).cast("binary") for c in ("a", "la", "lb")} | {"node": F.col("b")})
         x = first.select(names).unionByName(members.select(names)).join(bodies, "node").select(*names[:-1], "words")
         x = x.repartition("b", "_part").sortWithinPartitions("b", "_part", F.asc_nulls_first("a"))
-        return materialize(x.mapInArrow(verify, "a binary, b binary, la binary, lb binary"), "links")
+        return materialize(x.mapInArrow(verify, "a binary, b binary, la binary, lb binary").coalesce(4 * files), "links")
 
     leaders = shared.groupBy("key").agg(F.max(F.struct("degree", "node")).alias("top")).select("key", F.col("top.node").alias("b"))
     pairs = by_key.join(shared.select("key", F.col("node").alias("a")), leaders, "key", by="a").filter("a != b").select("a", "b").distinct()
     links = verified(pairs.select("a", "b", F.col("a").alias("la"), F.col("b").alias("lb")))
-    classes = components(links)
+    classes = components(links, files)
     label = F.coalesce("label", "node").alias("label")
 
-    labelled = materialize(shared.select("key", "node").join(classes, "node", "left").select("key", "node", label), "labelled")
+    labelled = materialize(shared.select("key", "node").join(classes, "node", "left").select("key", "node", label).coalesce(files), "labelled")
     several = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
-    crowd = materialize(by_key.join(labelled, several, "key", by="node").select("node", "label").distinct(), "crowd")
+    crowd = materialize(by_key.join(labelled, several, "key", by="node").select("node", "label").distinct().coalesce(files), "crowd")
     if not crowd.isEmpty():
 
         shape = "key bigint, i bigint, j bigint, lead boolean, node binary, label binary, behind double, total double, samples binary"
@@ -465,22 +476,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.binary()) for c in (0, 2, 1, 3)], ["a", "b", "la", "lb"])
 
         marked = MembershipFilter(crowd, "node", bits=22)
-        prefixes = rare_prefixes(marked.mark(bodies, "node", "maybe").filter("maybe"), crowd.join(wanted.select("node", "total"), "node"), sent, threshold)
-        partners = materialize(tiles(by_total(prefixes, threshold), samples).mapInArrow(met, shape), "partners")
+        prefixes = rare_prefixes(marked.mark(bodies, "node", "maybe").filter("maybe"), crowd.join(wanted.select("node", "total"), "node"), sent, threshold, files)
+        partners = materialize(tiles(by_total(prefixes, threshold), samples, files).mapInArrow(met, shape).coalesce(4 * files), "partners")
         with_words = in_tiles(partners.join(bodies, "node").select(*partners.columns, "words"))
-        more = materialize(with_words.mapInArrow(united, "a binary, b binary, la binary, lb binary").distinct(), "links")
+        more = materialize(with_words.mapInArrow(united, "a binary, b binary, la binary, lb binary").distinct().coalesce(4 * files), "links")
         links = links.unionByName(more)
-        joined = components(more.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("least"))
+        joined = components(more.select(F.col("la").alias("a"), F.col("lb").alias("b")), files).select(F.col("node").alias("label"), F.col("label").alias("least"))
         # a node without a link so far is a class of its own
         classes = classes.unionByName(joined.select(F.col("label").alias("node"), "label").join(classes, "node", "left_anti"))
         classes = Spread(classes.groupBy("label").agg(F.count("*").alias("n")), "label").join(classes, joined, "label", by="node", how="left").select("node", F.coalesce("least", "label").alias("label"))
     ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
-    of_node = materialize(nodes.select("node", "id", "n").join(classes, "node", "left").join(ends, "node", "left").select("node", "id", "n", label, F.coalesce("n_links", F.lit(0)).alias("n_links")), "labels")
-    of_class = materialize(of_node.groupBy("label").agg(F.min("id").alias("class_id"), F.sum("n").alias("class_size"), F.count("*").alias("nodes")), "classes")
+    of_node = materialize(nodes.select("node", "id", "n").join(classes, "node", "left").join(ends, "node", "left").select("node", "id", "n", label, F.coalesce("n_links", F.lit(0)).alias("n_links")).coalesce(files), "labels")
+    of_class = materialize(of_node.groupBy("label").agg(F.min("id").alias("class_id"), F.sum("n").alias("class_size"), F.count("*").alias("nodes")).coalesce(files), "classes")
     of_node = Spread(of_class, "label", "nodes").join(of_node, of_class, "label", by="node").select("node", "class_id", "class_size", "n_links")
     return Spread(nodes, "node").join(signed.select("id", "node"), of_node, "node", by="id").select(
         F.col("id").alias(id_col), "class_id", "class_size", "n_links", F.col("id").eqNullSafe(F.col("class_id")).alias("kept")
-    )
+    ).coalesce(files)
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -493,4 +504,4 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rest = row.filter("_maybe").join(found.groupBy("_id").agg(F.max("kept").alias("_kept")), "_id", "left")
     outside = rest.filter("_kept is null").select("_row.*")
     leaders = rest.filter("_kept").dropDuplicates(["_id"]).select("_row.*")
-    return alone.unionByName(outside).unionByName(leaders)
+    return alone.unionByName(outside.unionByName(leaders).coalesce(most_files(docs.sparkSession, found.count(), 1_000)))

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rosterflow.llm import html_extract, near_dup, toxicity, warc
+from rosterflow.llm import common, exact_dedup, html_extract, near_dup, toxicity, warc
 
 SF = "/root/testdata/sf0.01"
 
@@ -377,3 +377,25 @@ def test_near_duplicates_move_texts_and_no_larger_sets(spark, monkeypatch):
     got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert all(r.class_id == r.doc_id // 10 * 10 for r in got)
     assert max(largest.values()) <= max(len(t) for _, t in rows), largest
+
+
+@pytest.mark.parametrize("drop", [exact_dedup.drop_exact_copies, near_dup.drop_near_copies])
+def test_small_tables_of_the_dedup_stages_are_few_files(spark, tmp_path, monkeypatch, drop):
+    """Every file costs processes on local disks: their number follows the texts and the cores, not the session's shuffle partitions."""
+    rng = random.Random(11)
+    rows = []
+    for group in range(120):
+        text = [f"w{rng.randrange(1000)}" for _ in range(60)]
+        rows += [(group * 10 + k, " ".join(text[:50] + [f"z{k // 2}"] + text[50:])) for k in range(4)]
+    session = spark.newSession()
+    for k, v in {"shuffle.partitions": 61, "adaptive.coalescePartitions.enabled": "false"}.items():
+        session.conf.set(f"spark.sql.{k}", v)
+    number = itertools.count()
+    for module in (common, exact_dedup):
+        monkeypatch.setattr(module, "scratch_path", lambda _, name: f"file://{tmp_path}/{next(number)}/{name}")
+    kept = drop(session.createDataFrame(rows, "doc_id bigint, text string").coalesce(2))
+    kept.write.parquet(f"{tmp_path}/out")
+    assert session.read.parquet(f"{tmp_path}/out").count() == (240 if drop is exact_dedup.drop_exact_copies else 120)
+    files = collections.Counter(p.parent.relative_to(tmp_path) for p in tmp_path.rglob("part-*.parquet"))
+    assert max(files.values()) <= 8 * spark.sparkContext.defaultParallelism, files.most_common(5)
+    assert sum(n <= 2 * spark.sparkContext.defaultParallelism + 2 for n in files.values()) >= len(files) - 3, files
